@@ -103,7 +103,7 @@ def option_column(category: Column, option: Column) -> Column:
 
 def strip_justification(col: Column) -> Column:
     """Cut from the first opening parenthesis on."""
-    return F.trim(F.regexp_replace(col, r"(?s)\s*\([^\n]*$", ""))
+    return F.trim(F.regexp_replace(col, r"\s*\(.*$", ""))
 
 
 def normalize_prediction(col: Column) -> Column:
@@ -151,9 +151,14 @@ def after_segment(path: Column, segment: str) -> Column:
     return F.when(at > 0, F.try_element_at(parts, (at + 1).cast("int")))
 
 
-def version_of(path: Column, pattern: str = r"(v\d+(?:\.\d+)*)", fallback: str = "unknown") -> Column:
-    found = F.regexp_extract(path, pattern, 1)
-    return F.when(found != "", found).otherwise(fallback)
+# Version stamp in a catalog file name.
+VERSION_PATTERN = r"(v\d{4}-\d{2}-\d{2}_\d+K)"
+
+
+def version_of(path: Column) -> Column:
+    """``<date>_<version>`` of a catalog file; null without a version stamp."""
+    version = F.regexp_extract(path, VERSION_PATTERN, 1)
+    return F.when(version != "", F.concat_ws("_", F.substring(version, 2, 10), version))
 
 
 def model_short_name(model: Column, known: dict[str, str] | None = None) -> Column:

@@ -4,6 +4,11 @@ from importlib import import_module
 
 _MODULES = (
     "fewshot",
+    "catalog",
+    "agreement",
+    "grading",
+    "answers",
+    "conditions",
 )
 
 
