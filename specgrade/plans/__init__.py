@@ -4,11 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "fewshot",
-    "catalog",
     "agreement",
-    "grading",
-    "answers",
-    "conditions",
 )
 
 
