@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Two-sided 95% quantiles of Student's t for 1 to 30 degrees of freedom.
 T_QUANTILE_975 = (
@@ -46,7 +46,7 @@ def corrected_chi_square(b: Column, c: Column) -> Column:
     return F.when(n > 0, F.pow(F.abs(b - c) - 1, F.lit(2)).cast("double") / n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(stat: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom. Runs on aggregated rows only."""
     return stat.map(lambda x: None if x is None or math.isnan(x) else math.erfc(math.sqrt(x / 2.0)))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from specgrade.functions import fixed_values as fv
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(text: pd.Series) -> pd.Series:
     """NFKD without combining marks (Spark has no normalise function)."""
 
@@ -22,10 +22,28 @@ def _decompose(text: pd.Series) -> pd.Series:
     return text.map(fold)
 
 
+def _single_folds() -> dict[str, str]:
+    """Letters of the Latin blocks that fold to one letter, by rule."""
+    folds = {}
+    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            folds[chr(code)] = base
+    return folds
+
+
+_FOLDS = _single_folds()
+_FOLD_FROM, _FOLD_TO = "".join(_FOLDS), "".join(_FOLDS.values())
+
+
 def fold_accents(col: Column) -> Column:
-    """Strip accents. Plain ASCII values stay in the JVM; only the others reach Python."""
-    other = F.when(col.rlike(r"[^\x00-\x7F]"), col)
-    return F.coalesce(_decompose(other), col)
+    """Strip accents (compatibility decomposition without combining marks).
+
+    Latin letters are folded in the JVM; only values that hold other characters reach Python.
+    """
+    latin = F.translate(col, _FOLD_FROM, _FOLD_TO)
+    other = F.when(latin.rlike(r"[^\x00-\x7F]"), latin)
+    return F.coalesce(_decompose(other), latin)
 
 
 def squeeze(col: Column) -> Column:

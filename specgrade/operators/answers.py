@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from specgrade.functions import fixed_values as fv
 from specgrade.functions.columns import names, not_blank
@@ -270,7 +270,26 @@ class _KeyPage(HTMLParser):
                 return
 
 
-@F.pandas_udf("taxa array<struct<pos:int,taxon_id:long,scientific_name:string,family:string>>, options array<struct<category_id:int,option_id:int,category:string,label:string>>")
+def _rows_of(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+# Types are objects here: a type given as text would need a session at import.
+_PAGE_TYPE = T.StructType(
+    [
+        T.StructField(
+            "taxa",
+            _rows_of(pos=T.IntegerType(), taxon_id=T.LongType(), scientific_name=T.StringType(), family=T.StringType()),
+        ),
+        T.StructField(
+            "options",
+            _rows_of(category_id=T.IntegerType(), option_id=T.IntegerType(), category=T.StringType(), label=T.StringType()),
+        ),
+    ]
+)
+
+
+@F.pandas_udf(_PAGE_TYPE)
 def _key_page(html: pd.Series) -> pd.DataFrame:
     out = []
     for text in html:

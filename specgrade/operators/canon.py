@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions import fixed_values as fv
 from specgrade.functions.text import normalize
+from specgrade.session import local_table
 
 
 def trait_dimension(traits: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -42,36 +43,57 @@ def _token(norm: Column, vocabulary: Column) -> Column:
     )
 
 
-def canonical_values(raw: DataFrame, dimension: DataFrame, trait: str = "trait", value: str = "raw") -> DataFrame:
-    """Distinct (trait, raw) pairs with token, and whether the value counts as missing.
+# Distinct raw values up to this many are resolved once and joined back.
+SHIP_VALUES = 100_000
+
 
-    Values repeat heavily, so the text work runs once per distinct pair.
+def to_tokens(
+    long: DataFrame, dimension: DataFrame, gradable_only: bool = True, ship_values: int = SHIP_VALUES
+) -> DataFrame:
+    """Add ``token`` (null when missing or unmapped) and ``is_blank`` to (trait, raw, ...).
+
+    Rows of unknown traits drop out. Raw values repeat heavily, so a first pass over the two
+    columns resolves each distinct value once; a bounded fetch checks their number. Few values
+    come back as a table the optimizer knows to be small, many are resolved row by row. The
+    long table is not shuffled either way.
     """
-    pairs = raw.select(F.col(trait).alias("trait"), F.col(value).alias("raw")).distinct()
+    specs = dimension.where("gradable") if gradable_only else dimension
+    known = canonical_values(long, specs).limit(ship_values + 1).toPandas()
+    if len(known) > ship_values:
+        return _resolve(long, specs)
+    rows = known.where(known.notna(), None).itertuples(index=False, name=None)
+    unique = {(t, r or ""): (t, r or "", token, blank) for t, r, token, blank in rows}
+    schema = "trait string, _raw string, token string, is_blank boolean"
+    values = local_table(long.sparkSession, list(unique.values()), schema)
+    keyed = long.withColumn("_raw", F.coalesce("raw", F.lit("")))
+    return keyed.join(values, ["trait", "_raw"]).select(*long.columns, "token", "is_blank")
+
+
+def _resolve(long: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Tokens row by row; the vocabulary travels with the short trait dimension."""
     words = dimension.select(F.col("key").alias("trait"), "vocabulary")
-    norm = pairs.withColumn("norm", normalize(F.col("raw")))
-    return norm.join(words, "trait").select(
-        "trait",
-        "raw",
-        _token(F.col("norm"), F.col("vocabulary")).alias("token"),
-        F.col("norm").isin(*fv.MISSING_WORDS).alias("is_blank"),
+    return (
+        long.join(words, "trait")
+        .withColumn("_norm", normalize(F.col("raw")))
+        .select(
+            *long.columns,
+            _token(F.col("_norm"), F.col("vocabulary")).alias("token"),
+            F.col("_norm").isin(*fv.MISSING_WORDS).alias("is_blank"),
+        )
     )
 
 
-def to_tokens(long: DataFrame, dimension: DataFrame, gradable_only: bool = True) -> DataFrame:
-    """Add ``token`` (null when missing or unmapped) to a long table (trait, raw, ...)."""
-    specs = dimension.where("gradable") if gradable_only else dimension
-    wanted = long.join(specs.select(F.col("key").alias("trait")), "trait", "left_semi")
-    tokens = canonical_values(wanted, specs)
-    match = wanted["trait"].eqNullSafe(tokens["trait"]) & wanted["raw"].eqNullSafe(tokens["raw"])
-    return wanted.join(tokens, match, "left").select(*[wanted[c] for c in wanted.columns], "token", "is_blank")
+def canonical_values(raw: DataFrame, dimension: DataFrame, trait: str = "trait", value: str = "raw") -> DataFrame:
+    """Distinct (trait, raw) pairs with their token."""
+    pairs = raw.select(F.col(trait).alias("trait"), F.col(value).alias("raw")).distinct()
+    return _resolve(pairs, dimension)
 
 
 def unmapped_values(long: DataFrame, dimension: DataFrame, pos: str) -> DataFrame:
     """Raw values that are not blank but map to nothing, with their first position."""
     seen = long.groupBy("trait", "raw").agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("n"))
-    tokens = canonical_values(long, dimension).where(F.col("token").isNull() & ~F.col("is_blank"))
-    return seen.join(tokens.select("trait", "raw"), ["trait", "raw"])
+    gaps = _resolve(seen, dimension.where("gradable")).where(F.col("token").isNull() & ~F.col("is_blank"))
+    return gaps.select("trait", "raw", "first_pos", "n")
 
 
 def header_traits(columns: Iterable[str], prefixes: dict[str, str]) -> dict[str, str]:

@@ -8,13 +8,14 @@ from specgrade.functions import fixed_values as fv
 from specgrade.functions.columns import count_where, names, not_blank, ratio, ratio0
 from specgrade.functions.text import classify_prediction, is_abstention, normalize_prediction, truth_values
 from specgrade.operators.classmetrics import binary_metrics
+from specgrade.session import local_table
 
 
 def rule_table(spark, rules=fv.MATRIX_RULES) -> DataFrame:
     """Rule rows (rule_order, option_column, category, section, field, words)."""
     rows = [(i, c, c.split("__")[0], s, f, list(w)) for i, (c, s, f, w) in enumerate(rules)]
-    return spark.createDataFrame(
-        rows, "rule_order int, option_column string, category string, section string, field string, words array<string>"
+    return local_table(
+        spark, rows, "rule_order int, option_column string, category string, section string, field string, words array<string>"
     )
 
 

@@ -5,6 +5,8 @@ from importlib import import_module
 _MODULES = (
     "fewshot",
     "agreement",
+    "catalog",
+    "grading",
 )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from specgrade.functions.text import model_short_name, normalize
 from specgrade.operators import agreement as ag, canon, conditions as cd, identification as idn
 from specgrade.plans.registry import Tables, query
+from specgrade.session import local_table
 
 POS = "(cast(l_linenumber as bigint) * 10000000 + l_partkey) * 100000 + l_suppkey"
 # (source, trait, expression) of the raw values; valid in Spark SQL and DuckDB.
@@ -98,13 +99,13 @@ def views(t: Tables) -> DataFrame:
 
 
 def dimension(t: Tables) -> DataFrame:
-    traits = t.spark.createDataFrame(TRAITS, "key string, canonical_values string, gradable boolean")
-    return canon.trait_dimension(traits, t.spark.createDataFrame(ALIASES, "trait string, alias string, token string"))
+    traits = local_table(t.spark, TRAITS, "key string, canonical_values string, gradable boolean")
+    return canon.trait_dimension(traits, local_table(t.spark, ALIASES, "trait string, alias string, token string"))
 
 
 def vocabulary(t: Tables) -> DataFrame:
     rows = [(k, v) for k, ws, g in TRAITS if g for v in ws.split("|")]
-    return t.spark.createDataFrame(rows, "trait string, value string")
+    return local_table(t.spark, rows, "trait string, value string")
 
 
 def tokens(t: Tables) -> DataFrame:

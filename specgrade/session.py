@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,3 +57,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a local relation, so that the optimizer knows its size."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=columns), schema)

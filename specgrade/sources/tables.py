@@ -140,10 +140,14 @@ def matrix_suffix(columns: list[str]) -> str:
 
 
 def source_label(path: Column) -> Column:
-    """Short label of a matrix file: its checklist number, else merged or the file stem."""
+    """Short label of a matrix file: merged, its ``cl<number>`` part, else the stem cut to 20."""
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    number = F.regexp_extract(stem, r"(cl\d+)", 1)
-    return F.when(number != "", number).when(stem.contains("merged"), "merged").otherwise(stem)
+    number = F.regexp_extract(F.lower(stem), r"(?:^|_)(cl\d+)(?:_|$)", 1)
+    return (
+        F.when(F.lower(stem).contains("merged"), "merged")
+        .when(number != "", number)
+        .otherwise(F.substring(stem, 1, 20))
+    )
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
