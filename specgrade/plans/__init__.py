@@ -7,6 +7,8 @@ _MODULES = (
     "agreement",
     "catalog",
     "grading",
+    "answers",
+    "conditions",
 )
 
 
