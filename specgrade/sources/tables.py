@@ -53,11 +53,14 @@ def read_observations(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return docs.withColumn("username", F.element_at(parts, -3)).withColumn("observation_id", F.element_at(parts, -2))
 
 
-def read_results(spark: SparkSession, folder: str, schema: str = RESULT_SCHEMA) -> DataFrame:
-    """One row per result document; metadata files and unreadable documents are left out."""
+def read_results(spark: SparkSession, folder: str, schema: str = RESULT_SCHEMA, multiline: bool = True) -> DataFrame:
+    """One row per result document; metadata files and unreadable documents are left out.
+
+    ``multiline`` reads one document per file; without it, one document per line.
+    """
     raw = (
         spark.read.schema(f"{schema}, _corrupt string")
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(folder)
     )
@@ -66,10 +69,10 @@ def read_results(spark: SparkSession, folder: str, schema: str = RESULT_SCHEMA)
     return named.withColumn("specimen_id", F.coalesce("specimen_id", "_file")).drop("_corrupt", "_file")
 
 
-def read_condition_results(spark: SparkSession, root: str, schema: str = RESULT_SCHEMA) -> DataFrame:
+def read_condition_results(spark: SparkSession, root: str, schema: str = RESULT_SCHEMA, multiline: bool = True) -> DataFrame:
     """Results of all conditions; the condition is the suffix of ``condition_<name>`` folders."""
     condition = F.regexp_extract(F.input_file_name(), r"/condition_([^/]+)/", 1)
-    return read_results(spark, f"{root}/condition_*", schema).withColumn("condition", condition)
+    return read_results(spark, f"{root}/condition_*", schema, multiline).withColumn("condition", condition)
 
 
 def read_run_metadata(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -23,7 +23,8 @@ def result_stream(spark: SparkSession, folder: str, schema: StructType, glob: st
 
 def unique_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """First row per key within the watermark: a resent result counts once, state stays bounded."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def _run(writer, checkpoint: str) -> None:
@@ -70,7 +71,8 @@ def grade_incrementally(
 def windowed_progress(stream: DataFrame, by: list[str], time: str, width: str = "1 hour", delay: str = "30 minutes") -> DataFrame:
     """Arrivals per window and status, final once the watermark passes the window."""
     return (
-        stream.withWatermark(time, delay)
+        stream.withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, delay)
         .groupBy(F.window(time, width), *by, "status")
         .agg(F.count(F.lit(1)).alias("n"))
     )
