@@ -121,7 +121,7 @@ def image_roles(
     get no role. The running number counts an individual's training images in (observation,
     photo) order, cut into observation ranges.
     """
-    indexed = ordered_rank(photos.withColumn("_valid", valid), [observation], photo, rank="photo_no", total="n_photos", buckets=8)
+    indexed = ordered_rank(photos.withColumn("_valid", valid), [observation], photo, rank="photo_no", total="n_photos")
     target = F.when(first_position, F.lit(1)).otherwise(F.col("n_photos"))
     role = F.when(~F.col("_valid"), "invalid").when(F.col("photo_no") == target, "verification").otherwise("training")
     roles = indexed.withColumn("role", role).drop("_valid")

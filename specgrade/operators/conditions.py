@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import count_where, names, not_blank, ratio0
 from specgrade.functions.text import after_segment
+from specgrade.operators.ranking import exact_percentile
 
 RESULT_SCHEMA = """
 specimen_id string, condition string, image_paths array<string>, ground_truth struct<family:string>,
@@ -161,14 +162,14 @@ def pending(specimens: DataFrame, done: DataFrame, key: str | list[str], status:
 
 def stage_timings(rows: DataFrame, stage: str, elapsed: str) -> DataFrame:
     """Time per stage with its status counts."""
-    return rows.groupBy(stage).agg(
+    sums = rows.groupBy(stage).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(elapsed).alias("total_ms"),
         F.avg(elapsed).alias("mean_ms"),
-        F.percentile(elapsed, F.lit(0.95)).alias("p95_ms"),
         count_where(F.col("skipped")).alias("n_skipped"),
         count_where(F.col("error").isNotNull()).alias("n_error"),
     )
+    return sums.join(exact_percentile(rows, stage, {"p95_ms": (elapsed, 0.95)}), stage)
 
 
 def specimen_timings(rows: DataFrame, specimen: str, elapsed: str) -> DataFrame:

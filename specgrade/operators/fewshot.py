@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from specgrade.functions.columns import names
 from specgrade.functions.vectors import as_double, l2_normalize, mean_vector, subtract
+from specgrade.operators.ranking import exact_percentile
 
 # A model of up to this many vectors is shipped to the tasks (100 MB at 768 dimensions).
 SHIP_ROWS = 16384
@@ -268,9 +269,9 @@ def calibrate_thresholds(
 ) -> DataFrame:
     """Per rank, a percentile of the top-1 distance over correct rows; infinity when none."""
     right = F.when(F.col(predicted) == F.col(truth), F.col("l2_distance"))
-    return top1.groupBy(rank).agg(
-        F.coalesce(F.percentile(right, F.lit(percentile / 100.0)), F.lit(float("inf"))).alias("threshold")
-    )
+    rows = top1.select(rank, right.alias("_d"))
+    out = exact_percentile(rows, rank, {"threshold": ("_d", percentile / 100.0)})
+    return out.withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
 
 
 def distance_gate(top1: DataFrame, thresholds: DataFrame, rank: str = "rank") -> DataFrame:

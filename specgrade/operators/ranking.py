@@ -1,12 +1,14 @@
-"""Exact row positions that never put a whole group into one task.
+"""Exact row positions and percentiles that never put an unbounded group into one task.
 
-``row_number`` over a large group sorts the group in one task. Here each group is cut into
-order-preserving buckets: bucket sizes are counted with map-side combine, a running sum over
-the bucket sizes gives each bucket its offset, and ``row_number`` only runs inside a bucket.
+``row_number`` over a group sorts the group in one task. That is fine while the whole table is
+known to be small, which a count checks first. Beyond that each group is cut into
+order-preserving buckets: bucket sizes are counted with map-side combine, a running sum over the
+bucket sizes gives each bucket its offset, and ``row_number`` only runs inside a bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.ml.feature import Bucketizer
@@ -14,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from specgrade.functions.columns import names, seeded_hash
 
+# Rows one task may sort.
+TASK_ROWS = 1_000_000
+MAX_BUCKETS = 65_536
+
 _G, _B, _BEFORE = "_group", "_bucket", "_before"
 
 
@@ -21,16 +27,20 @@ def exact_rank(
     df: DataFrame,
     group: str | Iterable[str],
     order: Iterable[Column],
-    bucket: Column,
+    bucket: Column | None,
     rank: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, ordered by ``order``.
 
-    ``bucket`` must not decrease along ``order`` within a group. ``total`` names a column for
-    the size of the group.
+    ``bucket`` must not decrease along ``order`` within a group; None means that the caller
+    knows the groups to be small. ``total`` names a column for the size of the group.
     """
     group = names(group)
+    if bucket is None:
+        by = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+        out = df.withColumn(rank, F.row_number().over(by.orderBy(*order)).cast("long"))
+        return out.withColumn(total, F.count(F.lit(1)).over(by)) if total else out
     # A struct key matches rows whose group columns are null and keeps one partitioning for
     # the join and the window.
     df = df.withColumn(_G, F.struct(*group) if group else F.lit(0)).withColumn(_B, bucket)
@@ -57,18 +67,33 @@ def hash_rank(
     seed: int | str | Column,
     rank: str = "rank",
     total: str | None = None,
-    digits: int = 2,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Exact position of each row in its group under the seeded hash order.
 
-    The buckets are the first hexadecimal digits of the hash, so they are even whatever the
-    keys look like: ``digits=4`` cuts a group into 65,536 parts.
+    The buckets of a large table are the first hexadecimal digits of the hash, so they are even
+    whatever the keys look like, and even if one group holds all rows.
     """
     key = names(key)
-    h = seeded_hash(seed, *[F.col(k) for k in key])
-    df = df.withColumn("_hash", h)
+    n = df.count()
+    df = df.withColumn("_hash", seeded_hash(seed, *[F.col(k) for k in key]))
     order = [F.col("_hash"), *[F.col(k) for k in key]]
-    return exact_rank(df, group, order, F.substring("_hash", 1, digits), rank, total).drop("_hash")
+    bucket = None
+    if n > task_rows:
+        digits = min(8, math.ceil(math.log(n / task_rows, 16)) + 1)
+        bucket = F.substring("_hash", 1, digits)
+    return exact_rank(df, group, order, bucket, rank, total).drop("_hash")
+
+
+def _value_bucket(df: DataFrame, lead: str, n: int, task_rows: int) -> DataFrame:
+    """Add ``_cut``: the quantile range of ``lead``, about ``task_rows`` / 4 rows each."""
+    parts = min(MAX_BUCKETS, max(2, 4 * math.ceil(n / task_rows)))
+    cuts = sorted(set(df.approxQuantile(lead, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    df = df.withColumn("_lead", F.col(lead).cast("double"))
+    if not cuts:
+        return df.withColumn("_cut", F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol="_lead", outputCol="_cut", handleInvalid="keep").transform(df)
 
 
 def ordered_rank(
@@ -78,26 +103,49 @@ def ordered_rank(
     then: Iterable[Column] = (),
     rank: str = "rank",
     total: str | None = None,
-    buckets: int = 64,
-    descending: bool = False,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Exact position of each row in its group, ordered by the numeric column ``lead``.
 
-    The bucket borders are approximate quantiles of ``lead`` (at most ``buckets`` numbers).
+    The bucket borders of a large table are approximate quantiles of ``lead``: a bounded list of
+    numbers, computed by Spark.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(lead, probs, 0.5 / buckets)))
-    numeric = F.col(lead).cast("double")
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        df = Bucketizer(
-            splits=splits, inputCol="_lead", outputCol="_cut", handleInvalid="keep"
-        ).transform(df.withColumn("_lead", numeric))
-    else:
-        df = df.withColumn("_lead", numeric).withColumn("_cut", F.lit(0.0))
-    bucket = -F.col("_cut") if descending else F.col("_cut")
-    first = F.col(lead).desc() if descending else F.col(lead).asc()
-    return exact_rank(df, group, [first, *then], bucket, rank, total).drop("_lead", "_cut")
+    order = [F.col(lead).asc(), *then]
+    n = df.count()
+    if n <= task_rows:
+        return exact_rank(df, group, order, None, rank, total)
+    cut = _value_bucket(df, lead, n, task_rows)
+    return exact_rank(cut, group, order, F.col("_cut"), rank, total).drop("_lead", "_cut")
+
+
+def exact_percentile(
+    df: DataFrame,
+    group: str | Iterable[str],
+    values: dict[str, tuple[str, float]],
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """Exact percentiles with linear interpolation per group; nulls are left out.
+
+    ``values``: output column -> (value column, fraction). The built-in percentile keeps every
+    distinct value of a group in one task, which only a checked, small table may do; a larger
+    one is ranked in buckets and only the two rows around each position are kept.
+    """
+    group = names(group)
+    if df.count() <= task_rows:
+        return df.groupBy(*group).agg(
+            *[F.percentile(c, F.lit(p)).alias(out) for out, (c, p) in values.items()]
+        )
+    result = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    for out, (column, fraction) in values.items():
+        some = df.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"))
+        ranked = ordered_rank(some, group, "_v", (), "_rank", "_total", task_rows)
+        at = F.lit(fraction) * (F.col("_total") - 1)
+        low, share = F.floor(at), at - F.floor(at)
+        around = ranked.where(F.col("_rank") - 1 - low <= 1).where(F.col("_rank") - 1 >= low)
+        weight = F.when(F.col("_rank") - 1 == low, 1 - share).otherwise(share)
+        picked = around.groupBy(*group).agg(F.sum(F.col("_v") * weight).alias(out))
+        result = result.join(picked, group, "left") if group else picked
+    return result
 
 
 def top_per_group(

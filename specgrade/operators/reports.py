@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from specgrade.functions.columns import names, ratio
 from specgrade.functions.stats import t_quantile_975
-from specgrade.operators.ranking import top_per_group
+from specgrade.operators.ranking import exact_percentile, top_per_group
 
 
 def learning_curve(runs: DataFrame, k: str, value: str, digits: int | None = None) -> DataFrame:
@@ -168,16 +168,16 @@ def map_ellipses(points: DataFrame, group: str, x: str, y: str, top: int = 10) -
     named = points.join(leaders, F.col(group).eqNullSafe(F.col("_lead")), "left").withColumn(
         "grp", F.when(F.col("_lead").isNotNull(), F.col(group).cast("string")).otherwise("Other")
     )
-    return named.groupBy("grp").agg(
+    centers = exact_percentile(named, "grp", {"center_x": (x, 0.5), "center_y": (y, 0.5)})
+    moments = named.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile(x, F.lit(0.5)).alias("center_x"),
-        F.percentile(y, F.lit(0.5)).alias("center_y"),
         F.avg(x).alias("mean_x"),
         F.avg(y).alias("mean_y"),
         F.var_samp(x).alias("var_x"),
         F.var_samp(y).alias("var_y"),
         F.covar_samp(x, y).alias("cov_xy"),
     )
+    return moments.join(centers, "grp")
 
 
 def principal_coordinates(df: DataFrame, vector: str) -> DataFrame:

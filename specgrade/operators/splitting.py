@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import names, not_blank, require_columns, seeded_hash
-from specgrade.operators.ranking import exact_rank, hash_rank, top_per_group
+from specgrade.operators.ranking import TASK_ROWS, exact_rank, hash_rank, ordered_rank, top_per_group
 
 PARTITIONS = ("train", "val", "test")
 
@@ -42,7 +42,7 @@ def group_split(
     test: float = 0.15,
     seeds: int | list[int] = 42,
     out: str = "split_part",
-    digits: int = 2,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Split by individual: all rows of an individual share one part.
 
@@ -62,7 +62,7 @@ def group_split(
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(individual, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
     )
-    ranked = hash_rank(groups, "seed", individual, F.col("seed"), "_rank", "_total", digits)
+    ranked = hash_rank(groups, "seed", individual, F.col("seed"), "_rank", "_total", task_rows)
     n_test, n_val = _two_pass_sizes(F.col("_total"), train, val, test)
     parts = ranked.select(individual, "seed", _cut(F.col("_rank"), n_test, n_val).alias(out))
     return records.join(parts, individual)
@@ -120,7 +120,7 @@ def stratified_split(
     test: float = 0.15,
     seed: int = 42,
     out: str = "split_part",
-    digits: int = 2,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Row split in two passes with class shares kept by largest remainder."""
     _check_ratios(train, val, test)
@@ -136,7 +136,7 @@ def stratified_split(
     )
     n_val = F.ceil(F.lit(val / (train + val)) * F.col("_all"))
     pass2 = _quota(_with_left(rest, "_size", n_val), label, "_size", n_val, "_val")
-    ranked = hash_rank(records, label, key, seed, "_rank", digits=digits)
+    ranked = hash_rank(records, label, key, seed, "_rank", task_rows=task_rows)
     return (
         ranked.join(pass2.select(label, "_test", "_val"), label)
         .withColumn(out, _cut(F.col("_rank"), F.col("_test"), F.col("_val")))
@@ -242,17 +242,18 @@ def sample_episodes(
     )
 
 
-def shard(df: DataFrame, key: str, index: int, count: int, limit: int | None = None, buckets: int = 64) -> DataFrame:
+def shard(df: DataFrame, key: str, index: int, count: int, limit: int | None = None) -> DataFrame:
     """Every ``count``-th row in key order, starting at ``index``, then the first ``limit`` rows."""
-    from specgrade.operators.ranking import ordered_rank
-
-    ranked = ordered_rank(df, [], key, rank="_pos", buckets=buckets)
+    ranked = ordered_rank(df, [], key, rank="_pos")
     mine = ranked.where(F.pmod(F.col("_pos") - 1, F.lit(count)) == index).drop("_pos")
     return mine.orderBy(key).limit(limit) if limit else mine
 
 
 def class_statistics(split: DataFrame, label: str = "label", part: str = "split_part") -> DataFrame:
-    """Rows per class in each part, summarised."""
+    """Rows per class in each part, summarised.
+
+    The percentile runs over class sizes: few distinct numbers even for many classes.
+    """
     counts = split.groupBy(part, label).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(part).agg(
         F.min("n").alias("min_samples"),

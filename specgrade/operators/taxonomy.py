@@ -11,7 +11,7 @@ from specgrade.operators.ranking import ordered_rank
 def label_ids(records: DataFrame, label: str, pos: str, by: str | list[str] = (), out: str = "label_id") -> DataFrame:
     """Integer ids per label in first-seen order (from 0), one row per label."""
     firsts = records.groupBy(*names(by), label).agg(F.min(pos).alias("first_pos"))
-    ranked = ordered_rank(firsts, by, "first_pos", [F.col(label)], "_rank", buckets=16)
+    ranked = ordered_rank(firsts, by, "first_pos", [F.col(label)], "_rank")
     return ranked.select(*names(by), label, "first_pos", (F.col("_rank") - 1).alias(out))
 
 

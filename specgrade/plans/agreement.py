@@ -286,7 +286,7 @@ def view_values(t: Tables) -> DataFrame:
     from specgrade.operators.ranking import ordered_rank
 
     rows = tokens(t).where("source = 'rater_b'")
-    return ordered_rank(rows, ["specimen", "source", "trait"], "pos", rank="view_no", buckets=8).select(
+    return ordered_rank(rows, ["specimen", "source", "trait"], "pos", rank="view_no").select(
         "specimen", "source", "trait", "view_no", "raw", "token"
     )
 
