@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from specgrade.functions.text import model_short_name, normalize
 from specgrade.operators import agreement as ag, canon, conditions as cd, identification as idn
 from specgrade.plans.registry import Tables, query
-from specgrade.session import local_table
+from specgrade.session import local_table, materialise
 
 POS = "(cast(l_linenumber as bigint) * 10000000 + l_partkey) * 100000 + l_suppkey"
 # (source, trait, expression) of the raw values; valid in Spark SQL and DuckDB.
@@ -93,7 +93,11 @@ FULL = f"{BASE}, {MODES}, {PAIRS}"
 
 def views(t: Tables) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("trait"), F.expr(e).alias("raw")) for s, k, e in RAW])
-    return t.lineitem.select(
+    lines = t.spread(
+        "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    )
+    return lines.select(
         F.col("l_orderkey").alias("specimen"), F.expr(POS).alias("pos"), F.col("l_returnflag").alias("cond"), F.explode(rows).alias("u")
     ).select("specimen", "pos", "cond", "u.*")
 
@@ -112,22 +116,30 @@ def tokens(t: Tables) -> DataFrame:
     return canon.to_tokens(views(t), dimension(t))
 
 
-def modes(t: Tables) -> DataFrame:
-    return ag.modal_values(tokens(t), ["specimen", "source", "trait"], "token", "pos").withColumnRenamed("mode", "token")
+def modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
+    tok = tokens(t) if tok is None else tok
+    return ag.modal_values(tok, ["specimen", "source", "trait"], "token", "pos").withColumnRenamed("mode", "token")
+
+
+def stored_modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
+    """Modes written once, for queries that read them in several branches."""
+    return materialise(modes(t, tok).select("specimen", "source", "trait", "token"), "modes")
 
 
-def pairs(t: Tables) -> DataFrame:
-    return ag.pair_axes(modes(t), AXES, ["specimen", "trait"])
+def pairs(t: Tables, md: DataFrame | None = None) -> DataFrame:
+    return ag.pair_axes(modes(t) if md is None else md, AXES, ["specimen", "trait"])
 
 
-def condition_modes(t: Tables) -> DataFrame:
-    model = tokens(t).where("source = 'model'")
+def condition_modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
+    model = (tokens(t) if tok is None else tok).where("source = 'model'")
     return ag.modal_values(model, ["specimen", "cond", "trait"], "token", "pos").withColumnRenamed("mode", "token")
 
 
-def condition_pairs(t: Tables) -> DataFrame:
-    a = modes(t).where("source = 'rater_a' and token is not null").select("specimen", "trait", F.col("token").alias("value_b"))
-    model = condition_modes(t).where("token is not null")
+def condition_pairs(t: Tables, tok: DataFrame | None = None, md: DataFrame | None = None) -> DataFrame:
+    tok = tokens(t) if tok is None else tok
+    md = modes(t, tok) if md is None else md
+    a = md.where("source = 'rater_a' and token is not null").select("specimen", "trait", F.col("token").alias("value_b"))
+    model = condition_modes(t, tok).where("token is not null")
     return model.select("specimen", "trait", F.col("cond").alias("condition"), F.col("token").alias("value_a")).join(
         a, ["specimen", "trait"]
     )
@@ -153,7 +165,7 @@ def canonical_values(t: Tables) -> DataFrame:
 )
 def normalized_text(t: Tables) -> DataFrame:
     x = normalize(F.col("text"))
-    return t.documents.select("doc_id", x.alias("x")).select("doc_id", F.length("x").alias("n_chars"), F.md5("x").alias("digest"))
+    return t.spread("documents", "doc_id", "text", rows_per_task=500).select("doc_id", x.alias("x")).select("doc_id", F.length("x").alias("n_chars"), F.md5("x").alias("digest"))
 
 
 @query(
@@ -324,15 +336,15 @@ def macro_agreement(t: Tables) -> DataFrame:
 MODEL_RAW = "mraw AS (SELECT specimen, trait, raw, token, is_blank FROM (SELECT *, row_number() OVER (PARTITION BY specimen, trait ORDER BY pos) AS r FROM tok WHERE source = 'model' AND cond = 'A') WHERE r = 1)"
 
 
-def first_model_values(t: Tables, cond: str = "A") -> DataFrame:
-    rows = tokens(t).where(f"source = 'model' and cond = '{cond}'")
+def first_model_values(tok: DataFrame, cond: str = "A") -> DataFrame:
+    rows = tok.where(f"source = 'model' and cond = '{cond}'")
     return rows.groupBy("specimen", "trait").agg(F.min_by(F.struct("raw", "token", "is_blank"), "pos").alias("m")).select(
         "specimen", "trait", "m.*"
     )
 
 
-def rater(t: Tables, name: str) -> DataFrame:
-    return modes(t).where(f"source = '{name}'").select("specimen", "trait", "token")
+def rater(md: DataFrame, name: str) -> DataFrame:
+    return md.where(f"source = '{name}'").select("specimen", "trait", "token")
 
 
 @query(
@@ -345,7 +357,9 @@ SELECT trait, coalesce(model_raw IS NOT NULL AND NOT is_blank AND model IS NULL,
  coalesce(model = rater_a, false) AS agree, count(*) AS n, count(DISTINCT specimen) AS n_specimens, count(rater_b) AS n_rater_b FROM j GROUP BY 1, 2, 3, 4""",
 )
 def specimen_cells(t: Tables) -> DataFrame:
-    cells = ag.specimen_cells(first_model_values(t), rater(t, "rater_a"), rater(t, "rater_b"), ["specimen", "trait"], ("model", "rater_a"))
+    tok = tokens(t)
+    md = stored_modes(t, tok)
+    cells = ag.specimen_cells(first_model_values(tok), rater(md, "rater_a"), rater(md, "rater_b"), ["specimen", "trait"], ("model", "rater_a"))
     return cells.groupBy("trait", "model_dropped", "counted", "agree").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("specimen").alias("n_specimens"), F.count("rater_b").alias("n_rater_b")
     )
@@ -360,10 +374,11 @@ SELECT specimen, trait, max(a) AS rater_a, max(b) AS rater_b, string_agg(cond ||
  min(coalesce(token = a, false)::INT) = 1 AS all_agree, count(DISTINCT coalesce(token, '__missing__')) > 1 AS models_split FROM c GROUP BY ALL""",
 )
 def trait_comparison(t: Tables) -> DataFrame:
-    raters = modes(t).groupBy("specimen", "trait").agg(
+    tok = tokens(t)
+    raters = modes(t, tok).groupBy("specimen", "trait").agg(
         *[F.max(F.when(F.col("source") == s, F.col("token"))).alias(s) for s in ("rater_a", "rater_b")]
     )
-    cells = condition_modes(t).select("specimen", "trait", F.col("cond").alias("model_name"), F.col("token").alias("model")).join(
+    cells = condition_modes(t, tok).select("specimen", "trait", F.col("cond").alias("model_name"), F.col("token").alias("model")).join(
         raters, ["specimen", "trait"]
     )
     out = ag.trait_comparison(cells, ["specimen", "trait"])
@@ -381,7 +396,7 @@ d AS (SELECT source, trait, value, coalesce(n, 0) AS n FROM g LEFT JOIN c USING
 SELECT source, trait, value, n, round(max(n) OVER w / nullif(sum(n) OVER w, 0), 6) AS majority FROM d WINDOW w AS (PARTITION BY source, trait)""",
 )
 def class_distribution(t: Tables) -> DataFrame:
-    dist = ag.class_distribution(modes(t), vocabulary(t), "source")
+    dist = ag.class_distribution(stored_modes(t), vocabulary(t), "source")
     share = ag.majority_share(dist, ["source", "trait"]).drop("n_labelled")
     return rounded(dist.join(share, ["source", "trait"]))
 
@@ -396,9 +411,12 @@ ana AS (SELECT maj.trait, majority, ckap.cohen_kappa AS ceiling_kappa, best_kapp
 
 
 def analysis(t: Tables) -> tuple[DataFrame, DataFrame]:
-    scores = ag.agreement(condition_pairs(t), ["condition", "trait"])
-    ceiling = ag.agreement(pairs(t).where("axis = 'a_vs_b'"), "trait")
-    dist = ag.class_distribution(modes(t).where("source = 'rater_a'"), vocabulary(t))
+    tok = tokens(t)
+    md = stored_modes(t, tok)
+    # One row per condition and trait, read by the best-of and the ranking branch.
+    scores = materialise(ag.agreement(condition_pairs(t, tok, md), ["condition", "trait"]), "scores")
+    ceiling = ag.agreement(pairs(t, md).where("axis = 'a_vs_b'"), "trait")
+    dist = ag.class_distribution(md.where("source = 'rater_a'"), vocabulary(t))
     majority = ag.majority_share(dist, "trait").select("trait", "majority")
     return scores, ag.analyze_traits(majority, ceiling, scores)
 
@@ -496,8 +514,9 @@ SELECT trait, round(c, 6) AS ceiling_kappa, round(b, 6) AS baseline_kappa, round
  coalesce(c < 0.4, true)::INT + (c - b IS NOT NULL)::INT + coalesce(c - b < 0.05, false)::INT + (k > 0)::INT AS n_reasons FROM w JOIN l USING (trait)""",
 )
 def headroom(t: Tables) -> DataFrame:
-    scores = ag.agreement(pairs(t), ["axis", "trait"]).replace({"a_vs_b": "ceiling", "model_vs_a": "baseline"}, subset="axis")
-    dist = ag.class_distribution(modes(t).where("source <> 'model'"), vocabulary(t), "source")
+    md = stored_modes(t)
+    scores = ag.agreement(pairs(t, md), ["axis", "trait"]).replace({"a_vs_b": "ceiling", "model_vs_a": "baseline"}, subset="axis")
+    dist = ag.class_distribution(md.where("source <> 'model'"), vocabulary(t), "source")
     out = ag.headroom(scores, dist)
     return rounded(out.withColumn("n_reasons", F.size("reasons")).drop("reasons"))
 

@@ -107,7 +107,7 @@ def json_answers(t: Tables) -> DataFrame:
         .when(e == "error", F.expr("left(props, length(props) - 1)"))
         .otherwise(F.when(F.col("event_id") % 2 == 0, F.lit("no object here")).otherwise(F.concat(F.lit("left over</think>"), p)))
     )
-    return an.parse_json_answers(t.events.select("event_id", text.alias("text"))).select("event_id", "json", "recovery")
+    return an.parse_json_answers(t.spread("events", "event_id", "event_type", "props").select("event_id", text.alias("text"))).select("event_id", "json", "recovery")
 
 
 KV = """concat('<think>plan: ', role, '</think>', chr(10), '1. Leaf Type: ', role, ' [NOTE]', chr(10), 'no colon here', chr(10), 'Length: ', length(text), ':', turn, chr(10), 'leaf type: last [REPORT]', chr(10), 'Extra', turn, ': y', chr(10), '####', chr(10), 'Length: 0')"""
@@ -156,7 +156,7 @@ def key_pages(t: Tables) -> DataFrame:
     nav = F.substring_index(start, "</ul></nav>", 1)
     taxa = F.regexp_replace(nav, r'<li><a href="[^"]*">([^<]*)</a></li>', '<div class="taxon-div"><a href="t.php?taxon=77"><i>$1</i> auth.</a></div>')
     rest = F.substring_index(start, "</ul></nav>", -1)
-    return t.pages.select("page_id", "html", F.concat(head, taxa, F.lit("</div>"), rest).alias("key_html"))
+    return t.spread("pages", "page_id", "html", rows_per_task=200).select("page_id", "html", F.concat(head, taxa, F.lit("</div>"), rest).alias("key_html"))
 
 
 NAV = """nav AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav><ul>(.*?)</ul></nav>', 1, 's'), '<a href="[^"]*">([^<]*)</a>', 1) AS names FROM pages)"""
@@ -200,7 +200,7 @@ def matrix_from_pages(t: Tables) -> DataFrame:
     )
     options = '<div id="char3"><span class="dynamlang">Tone</span><div><input type="checkbox" name="attr[]" value="71-1"><span>Low</span></div><div><input type="checkbox" name="attr[]" value="71-2"><span>High</span></div></div>'
     attr = F.when(F.col("page_id") % 5 == 1, "71-1").when(F.col("page_id") % 5 == 2, "71-2").when(F.col("page_id") % 5 > 2, "none")
-    pages = t.pages.select(attr.alias("attr"), F.concat(F.lit(options), F.lit('<div id="key-taxa">'), entries, F.lit("</div>")).alias("html"))
+    pages = t.spread("pages", "page_id", "html", rows_per_task=200).select(attr.alias("attr"), F.concat(F.lit(options), F.lit('<div id="key-taxa">'), entries, F.lit("</div>")).alias("html"))
     return an.matrix_from_pages(pages)
 
 

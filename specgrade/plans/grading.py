@@ -12,7 +12,7 @@ from specgrade.functions.text import classify_prediction, normalize_prediction,
 from specgrade.operators import classmetrics as cm, grading as gr, identification as idn, matrix as mx, reports, taxonomy as tx
 from specgrade.plans.agreement import rounded
 from specgrade.plans.registry import Tables, query
-from specgrade.session import local_table
+from specgrade.session import local_table, materialise
 
 # Order of the lines of a part.
 VIEW_POS = "(cast(l_linenumber as bigint) * 100000 + l_suppkey) * 10000000 + l_orderkey"
@@ -52,7 +52,8 @@ def shot_rows(t: Tables) -> DataFrame:
         F.struct(F.lit("position").alias("trait"), F.when(d < 0.04, "clustered").when(d < 0.08, "opposite...").otherwise("unclear").alias("prediction")),
     )
     pos = F.expr(VIEW_POS)
-    return t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_linenumber", pos.alias("pos"), F.explode(values).alias("u")).select(
+    lines = t.spread("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    return lines.select(F.col("l_partkey").alias("p_partkey"), "l_linenumber", pos.alias("pos"), F.explode(values).alias("u")).select(
         "p_partkey", "l_linenumber", "pos", "u.*"
     )
 
@@ -422,7 +423,8 @@ def trait_values(t: Tables) -> DataFrame:
         F.struct(F.lit("latex").alias("trait"), F.when(F.col("l_discount") < 0.05, "present").otherwise("absent").alias("token")),
     )
     return (
-        t.lineitem.select(F.col("l_returnflag").alias("source"), F.col("l_partkey").alias("taxon"), F.col("l_orderkey").alias("specimen"), F.explode(rows).alias("u"))
+        t.spread("lineitem", "l_returnflag", "l_partkey", "l_orderkey", "l_quantity", "l_discount")
+        .select(F.col("l_returnflag").alias("source"), F.col("l_partkey").alias("taxon"), F.col("l_orderkey").alias("specimen"), F.explode(rows).alias("u"))
         .groupBy("source", "taxon", "specimen", "u.trait")
         .agg(F.min("u.token").alias("token"))
     )
@@ -479,7 +481,8 @@ def mapped(t: Tables) -> DataFrame:
         F.struct(F.lit("latex").alias("category"), F.when(x < 0.03, "present").when(x < 0.06, "absent").otherwise("Not observed").alias("raw")),
     )
     raw = (
-        t.lineitem.select(
+        t.spread("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax")
+        .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("specimen"), "l_partkey", F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), F.explode(values).alias("u")
         )
         .groupBy("specimen", "u.category")
@@ -522,7 +525,7 @@ ob AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FR
  round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(prevalence, 6) AS prevalence FROM ob""",
 )
 def option_accuracy(t: Tables) -> DataFrame:
-    return rounded(gr.option_accuracy(graded(t), "specimen")).drop("n_specimens")
+    return rounded(gr.option_accuracy(materialise(graded(t), "graded"), "specimen")).drop("n_specimens")
 
 
 @query(
@@ -534,7 +537,7 @@ c AS (SELECT category, {_COUNTS} FROM v GROUP BY category)
 SELECT c.*, round(n_correct / nullif(n_graded, 0), 6) AS accuracy, (SELECT round(avg(f1), 6) FROM ob WHERE ob.category = c.category) AS macro_f1 FROM c""",
 )
 def category_accuracy(t: Tables) -> DataFrame:
-    rows = graded(t)
+    rows = materialise(graded(t), "graded")
     f1 = gr.category_macro_f1(gr.option_accuracy(rows, "specimen"))
     return rounded(gr.category_accuracy(rows, "specimen").join(f1, "category", "left"))
 

@@ -19,6 +19,21 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str, rows_per_task: int = 20_000) -> DataFrame:
+        """A table whose few files would leave cores idle, dealt out to more tasks.
+
+        For queries that do much work per row. A table with at least as many partitions as the
+        cluster has cores is returned as it is.
+        """
+        df = getattr(self, name)
+        if columns:
+            df = df.select(*columns)
+        cores, parts = self.spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+        if parts >= cores:
+            return df
+        wanted = min(cores, -(-df.count() // rows_per_task))
+        return df.repartition(wanted) if wanted > parts else df
+
 
 @dataclass(frozen=True)
 class Query:
