@@ -201,6 +201,8 @@ def _blocked(queries, items, keys, item_keys, by, k, metric, schema, block_rows)
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     q = queries.withColumn("_qb", block(keys, query_blocks)).withColumn("_xb", every(item_blocks))
+    # New column identities: both sides may come from one table.
+    items = items.select(*[F.col(c).alias(c) for c in items.columns])
     x = items.withColumn("_xb", block(by + item_keys, item_blocks)).withColumn("_qb", every(query_blocks))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
