@@ -205,7 +205,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv", di
             df = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
         if fmt == "csv":
             flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
-            df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+            df.select(*flat).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
