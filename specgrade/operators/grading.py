@@ -48,37 +48,49 @@ def map_predictions(values: DataFrame, rules: DataFrame, key: str | list[str]) -
     )
 
 
-def uncoded_categories(matrix: DataFrame, key: str) -> DataFrame:
-    """Whether a category is uncoded per taxon: its flag when set, else all options null.
+def attach_matrix(values: DataFrame, matrix: DataFrame, taxon: str) -> DataFrame:
+    """Add ``options map<option_column, value>``, the matrix row of the taxon.
 
-    ``matrix`` is long: (key, category, option_column, value); the flag row has the option
-    column ``<category>__uncoded``.
+    ``matrix`` is long: (taxon, option_column, value), one value per option; its flag columns
+    are named ``<category>__uncoded``. A row has as many entries as the matrix has columns.
+    Joined before the options are unfolded, the values are shuffled once and narrow.
     """
-    flag = F.max(F.when(F.col("option_column").endswith("__uncoded"), F.col("value")))
-    any_value = F.max(F.when(~F.col("option_column").endswith("__uncoded"), F.col("value")).isNotNull())
-    return matrix.groupBy(key, "category").agg(
-        F.coalesce(flag == 1, ~F.coalesce(any_value, F.lit(False))).alias("uncoded")
+    rows = matrix.groupBy(taxon).agg(F.map_from_entries(F.collect_list(F.struct("option_column", "value"))).alias("options"))
+    return values.join(rows, taxon, "left")
+
+
+def _truth_and_coding(predictions: DataFrame) -> DataFrame:
+    """Add ``ground_truth`` and ``uncoded`` from the attached matrix row.
+
+    A category is uncoded by its flag when that is set, else when all its options are null.
+    """
+    prefix = F.concat("category", F.lit("__"))
+    flag_column = F.concat("category", F.lit("__uncoded"))
+    flag = F.try_element_at("options", flag_column)
+    coded = F.exists(
+        F.map_entries("options"),
+        lambda e: e["key"].startswith(prefix) & (e["key"] != flag_column) & e["value"].isNotNull(),
     )
+    uncoded = F.coalesce(flag == 1, ~coded, F.lit(True))
+    truth = F.try_element_at("options", F.col("option_column")).cast("double")
+    return predictions.withColumn("ground_truth", truth).withColumn("uncoded", uncoded).drop("options")
 
 
-def grade_traits(predictions: DataFrame, matrix: DataFrame, taxon: str) -> DataFrame:
+def grade_traits(predictions: DataFrame) -> DataFrame:
     """Grade records per (specimen, option); predicted 0 emits nothing.
 
-    ``predictions`` come from ``map_predictions`` with the matched ``taxon`` attached.
+    ``predictions`` come from ``map_predictions`` on values with an attached matrix row.
     """
-    options = matrix.where(~F.col("option_column").endswith("__uncoded"))
-    truth = options.select(taxon, "option_column", F.col("value").cast("double").alias("ground_truth"))
-    flags = uncoded_categories(matrix, taxon)
-    joined = predictions.join(truth, [taxon, "option_column"], "left").join(flags, [taxon, "category"], "left")
     gt, pred = F.col("ground_truth"), F.col("predicted")
     verdict = (
-        F.when(F.coalesce("uncoded", F.lit(True)) | gt.isNull(), "skipped_uncoded")
+        F.when(F.col("uncoded") | gt.isNull(), "skipped_uncoded")
         .when(pred.isNull() & F.col("not_observed"), "skipped_not_observed")
         .when(pred.isNull(), "skipped_no_prediction")
         .when((pred == 1) & (gt == 1.0), "correct")
         .when(pred == 1, "incorrect")
     )
-    return joined.withColumn("verdict", verdict).where("verdict is not null").drop("uncoded", "not_observed")
+    records = _truth_and_coding(predictions).withColumn("verdict", verdict)
+    return records.where("verdict is not null").drop("uncoded", "not_observed")
 
 
 def _verdict_counts() -> list[Column]:
@@ -171,24 +183,18 @@ def species_consistency(records: DataFrame, species: str, specimen: str) -> Data
     )
 
 
-def diagnostic_cells(predictions: DataFrame, matrix: DataFrame, taxon: str) -> DataFrame:
+def diagnostic_cells(predictions: DataFrame) -> DataFrame:
     """Status of every (specimen, option) cell: tp, fp, fn, tn, uncoded or no_prediction."""
-    options = matrix.where(~F.col("option_column").endswith("__uncoded")).select(
-        taxon, "option_column", F.col("value").cast("double").alias("ground_truth")
-    )
-    cells = predictions.join(options, [taxon, "option_column"], "left").join(
-        uncoded_categories(matrix, taxon), [taxon, "category"], "left"
-    )
     gt, pred = F.col("ground_truth"), F.col("predicted")
     status = (
-        F.when(F.coalesce("uncoded", F.lit(True)) | gt.isNull(), "uncoded")
+        F.when(F.col("uncoded") | gt.isNull(), "uncoded")
         .when(pred.isNull(), "no_prediction")
         .when((pred == 1) & (gt == 1), "tp")
         .when(pred == 1, "fp")
         .when(gt == 1, "fn")
         .otherwise("tn")
     )
-    return cells.withColumn("status", status)
+    return _truth_and_coding(predictions).withColumn("status", status)
 
 
 # ---- scored ground truth -----------------------------------------------------------------

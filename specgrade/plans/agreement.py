@@ -292,13 +292,13 @@ def modal_traits(t: Tables) -> DataFrame:
 @query(
     "view_values",
     "D2",
-    f"{BASE} SELECT specimen, source, trait, row_number() OVER (PARTITION BY specimen, source, trait ORDER BY pos) AS view_no, raw, token FROM tok WHERE source = 'rater_b'",
+    f"{BASE} SELECT specimen, source, trait, row_number() OVER (PARTITION BY specimen, source, trait ORDER BY pos, raw) AS view_no, raw, token FROM tok WHERE source = 'rater_b'",
 )
 def view_values(t: Tables) -> DataFrame:
     from specgrade.operators.ranking import ordered_rank
 
     rows = tokens(t).where("source = 'rater_b'")
-    return ordered_rank(rows, ["specimen", "source", "trait"], "pos", rank="view_no").select(
+    return ordered_rank(rows, ["specimen", "source", "trait"], "pos", [F.col("raw")], "view_no").select(
         "specimen", "source", "trait", "view_no", "raw", "token"
     )
 

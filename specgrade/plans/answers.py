@@ -358,8 +358,8 @@ li AS (SELECT individual_id, string_agg('- **' || species || '** (species, simil
 sg2 AS (SELECT individual_id, string_agg('- **' || taxon || '** [' || CASE signal WHEN 'strong' THEN 'STRONG CONVERGENCE' WHEN 'moderate' THEN 'MODERATE CONVERGENCE' WHEN 'rag_only' THEN 'Literature only' ELSE 'Visual only' END || '] (RAG: ' || printf('%.2f', coalesce(score, 0)) || ', Visual: ' || printf('%.1f', 100 * coalesce(p, 0)) || '%)', chr(10)
   ORDER BY list_position(['strong', 'moderate', 'rag_only', 'visual_only'], signal), taxon) AS body FROM cr GROUP BY 1)
 SELECT individual_id, '# Evidence Summary' || chr(10) || chr(10) || '## Morphological Profile' || chr(10) || chr(10) || tr.body || chr(10) || chr(10) || '## Visual Classification (Multi-Rank)' || chr(10) || chr(10) || pr.body || chr(10) || chr(10)
- || '## Literature Evidence' || chr(10) || chr(10) || '### Matching Taxa (by trait similarity)' || chr(10) || chr(10) || li.body || chr(10) || chr(10) || '## Convergence Analysis' || chr(10) || chr(10) || sg2.body || chr(10) AS evidence_document
-FROM tr JOIN pr USING (individual_id) JOIN li USING (individual_id) JOIN sg2 USING (individual_id)""",
+ || '## Literature Evidence' || chr(10) || chr(10) || coalesce('### Matching Taxa (by trait similarity)' || chr(10) || chr(10) || li.body, 'No matching taxa found in literature.' || chr(10)) || chr(10) || chr(10) || '## Convergence Analysis' || chr(10) || chr(10) || sg2.body || chr(10) AS evidence_document
+FROM tr JOIN pr USING (individual_id) LEFT JOIN li USING (individual_id) JOIN sg2 USING (individual_id)""",
 )
 def evidence_documents(t: Tables) -> DataFrame:
     specimens = specimen_truth(t).select("individual_id")

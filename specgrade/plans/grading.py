@@ -488,11 +488,12 @@ def mapped(t: Tables) -> DataFrame:
         .groupBy("specimen", "u.category")
         .agg(F.min("l_partkey").alias("taxon"), F.min_by("u.raw", "pos").alias("raw"))
     )
-    return gr.map_predictions(raw, gr.rule_table(t.spark), ["specimen", "taxon"])
+    coded = gr.attach_matrix(raw, matrix(t).where("source = 'two'"), "taxon")
+    return gr.map_predictions(coded, gr.rule_table(t.spark), ["specimen", "taxon", "options"])
 
 
 def graded(t: Tables) -> DataFrame:
-    return gr.grade_traits(mapped(t), matrix(t).where("source = 'two'").drop("source"), "taxon")
+    return gr.grade_traits(mapped(t))
 
 
 @query(
@@ -575,7 +576,7 @@ def species_consistency(t: Tables) -> DataFrame:
  WHEN predicted = 1 THEN 'fp' WHEN ground_truth = 1 THEN 'fn' ELSE 'tn' END AS status, count(*) AS n FROM rec0 GROUP BY ALL""",
 )
 def diagnostic_cells(t: Tables) -> DataFrame:
-    cells = gr.diagnostic_cells(mapped(t), matrix(t).where("source = 'two'").drop("source"), "taxon")
+    cells = gr.diagnostic_cells(mapped(t))
     return cells.groupBy("category", "option_column", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
