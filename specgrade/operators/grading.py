@@ -30,12 +30,13 @@ def map_predictions(values: DataFrame, rules: DataFrame, key: str | list[str]) -
     per_category = rules.groupBy("category").agg(
         F.array_sort(F.collect_list(F.struct("rule_order", "option_column", "words"))).alias("rules")
     )
-    text = F.lower(F.trim(F.coalesce(F.col("raw"), F.lit(""))))
+    text = F.col("_text")
     usable = (text != "") & ~text.isin(*fv.EMPTY_PREDICTIONS)
     hits = F.filter(F.col("rules"), lambda r: F.exists(r["words"], lambda w: F.contains(text, w)))
     chosen = F.when(usable & (F.size(hits) > 0), hits[0]["option_column"])
     return (
-        values.join(F.broadcast(per_category), "category")
+        values.withColumn("_text", F.lower(F.trim(F.coalesce(F.col("raw"), F.lit("")))))
+        .join(F.broadcast(per_category), "category")
         .withColumn("_chosen", chosen)
         .withColumn("_rule", F.explode("rules"))
         .select(
@@ -49,31 +50,27 @@ def map_predictions(values: DataFrame, rules: DataFrame, key: str | list[str]) -
 
 
 def attach_matrix(values: DataFrame, matrix: DataFrame, taxon: str) -> DataFrame:
-    """Add ``options map<option_column, value>``, the matrix row of the taxon.
+    """Add ``options map<option_column, value>`` of the taxon and ``uncoded`` of the category.
 
     ``matrix`` is long: (taxon, option_column, value), one value per option; its flag columns
-    are named ``<category>__uncoded``. A row has as many entries as the matrix has columns.
-    Joined before the options are unfolded, the values are shuffled once and narrow.
+    are named ``<category>__uncoded``. A category is uncoded by its flag when that is set, else
+    when all its options are null. A row has as many entries as the matrix has columns. Joined
+    before the options are unfolded, the values are shuffled once and narrow.
     """
-    rows = matrix.groupBy(taxon).agg(F.map_from_entries(F.collect_list(F.struct("option_column", "value"))).alias("options"))
-    return values.join(rows, taxon, "left")
-
+    is_flag = F.col("option_column").endswith("__uncoded")
+    category = F.when(~is_flag & F.col("value").isNotNull(), F.substring_index("option_column", "__", 1))
+    rows = matrix.groupBy(taxon).agg(
+        F.map_from_entries(F.collect_list(F.struct("option_column", "value"))).alias("options"),
+        F.collect_set(category).alias("_coded"),
+    )
+    flag = F.try_element_at("options", F.concat("category", F.lit("__uncoded")))
+    uncoded = F.coalesce(flag == 1, ~F.array_contains("_coded", F.col("category")), F.lit(True))
+    return values.join(rows, taxon, "left").withColumn("uncoded", uncoded).drop("_coded")
 
-def _truth_and_coding(predictions: DataFrame) -> DataFrame:
-    """Add ``ground_truth`` and ``uncoded`` from the attached matrix row.
 
-    A category is uncoded by its flag when that is set, else when all its options are null.
-    """
-    prefix = F.concat("category", F.lit("__"))
-    flag_column = F.concat("category", F.lit("__uncoded"))
-    flag = F.try_element_at("options", flag_column)
-    coded = F.exists(
-        F.map_entries("options"),
-        lambda e: e["key"].startswith(prefix) & (e["key"] != flag_column) & e["value"].isNotNull(),
-    )
-    uncoded = F.coalesce(flag == 1, ~coded, F.lit(True))
+def _with_truth(predictions: DataFrame) -> DataFrame:
     truth = F.try_element_at("options", F.col("option_column")).cast("double")
-    return predictions.withColumn("ground_truth", truth).withColumn("uncoded", uncoded).drop("options")
+    return predictions.withColumn("ground_truth", truth).drop("options")
 
 
 def grade_traits(predictions: DataFrame) -> DataFrame:
@@ -89,7 +86,7 @@ def grade_traits(predictions: DataFrame) -> DataFrame:
         .when((pred == 1) & (gt == 1.0), "correct")
         .when(pred == 1, "incorrect")
     )
-    records = _truth_and_coding(predictions).withColumn("verdict", verdict)
+    records = _with_truth(predictions).withColumn("verdict", verdict)
     return records.where("verdict is not null").drop("uncoded", "not_observed")
 
 
@@ -194,7 +191,7 @@ def diagnostic_cells(predictions: DataFrame) -> DataFrame:
         .when(gt == 1, "fn")
         .otherwise("tn")
     )
-    return _truth_and_coding(predictions).withColumn("status", status)
+    return _with_truth(predictions).withColumn("status", status)
 
 
 # ---- scored ground truth -----------------------------------------------------------------

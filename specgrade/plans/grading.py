@@ -489,7 +489,7 @@ def mapped(t: Tables) -> DataFrame:
         .agg(F.min("l_partkey").alias("taxon"), F.min_by("u.raw", "pos").alias("raw"))
     )
     coded = gr.attach_matrix(raw, matrix(t).where("source = 'two'"), "taxon")
-    return gr.map_predictions(coded, gr.rule_table(t.spark), ["specimen", "taxon", "options"])
+    return gr.map_predictions(coded, gr.rule_table(t.spark), ["specimen", "taxon", "options", "uncoded"])
 
 
 def graded(t: Tables) -> DataFrame:

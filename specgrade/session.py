@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,4 +62,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a local relation, so that the optimizer knows its size."""
     columns = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=columns), schema)
+    data = {c: [row[i] for row in rows] for i, c in enumerate(columns)}
+    return spark.createDataFrame(pa.table(data), schema)

@@ -36,7 +36,7 @@ def test_first_matching_rule_wins_and_unknown_is_null(spark):
 def test_verdicts(spark, raw, values, want):
     df = spark.createDataFrame([("s", "t", "latex", raw)], "specimen string, taxon string, category string, raw string")
     coded = gr.attach_matrix(df, matrix_rows(spark, [("t", o, v) for o, v in values]), "taxon")
-    got = gr.grade_traits(gr.map_predictions(coded, gr.rule_table(spark), ["specimen", "taxon", "options"]))
+    got = gr.grade_traits(gr.map_predictions(coded, gr.rule_table(spark), ["specimen", "taxon", "options", "uncoded"]))
     assert {r["option_column"]: r["verdict"] for r in got.collect()} == want
 
 
