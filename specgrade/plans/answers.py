@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from specgrade.functions.text import compose_query
-from specgrade.operators import answers as an, evidence as ev, fewshot as fs, matrix as mx, retrieval as rt
+from specgrade.operators import answers as an, evidence as ev, fewshot as fs, retrieval as rt
 from specgrade.plans import fewshot as pf
 from specgrade.plans.agreement import rounded
 from specgrade.plans.registry import Tables, query
