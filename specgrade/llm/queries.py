@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import langid, packing, pii
+from specgrade.llm import jaccard, langid, packing, pii
 from specgrade.llm.common import crc_mod, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model, out="lang_pred", score="score").select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score"
     )
+
+
+@_query
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, folder, "documents"), words=3, threshold=Fraction(9, 10))
