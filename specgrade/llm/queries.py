@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import jaccard, langid, packing, pii
+from specgrade.llm import jaccard, langid, mixing, packing, pii
 from specgrade.llm.common import crc_mod, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, folder, "documents"), words=3, threshold=Fraction(9, 10))
+
+
+@_query
+def op7_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source", mixing.words("text").alias("n_tokens"))
+    return mixing.mix(docs, F.col("n_tokens"), evenness=0.98, max_repeats=4.0)
