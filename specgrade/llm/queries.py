@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import jaccard, langid, mixing, packing, pii
+from specgrade.llm import jaccard, langid, mixing, ngram_lm, packing, pii
 from specgrade.llm.common import crc_mod, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op7_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", mixing.words("text").alias("n_tokens"))
     return mixing.mix(docs, F.col("n_tokens"), evenness=0.98, max_repeats=4.0)
+
+
+@_query
+def op2_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 7) == 2
+    model = ngram_lm.fit(docs.where(~held_out))
+    return ngram_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
