@@ -8,8 +8,9 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import jaccard, langid, mixing, ngram_lm, packing, pii
+from specgrade.llm import jaccard, langid, mixing, ngram_lm, packing, pii, warc
 from specgrade.llm.common import crc_mod, spread
+from specgrade.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,3 +66,26 @@ def op2_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
+
+
+@_query
+def op1_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.records(_table(spark, folder, "pages")), path)
+    return warc.read(spark, path).select(
+        F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+ORACLE_SQL["op1_warc_revisits"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
