@@ -8,9 +8,9 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import jaccard, langid, mixing, ngram_lm, packing, pii, warc
+from specgrade.llm import chat, jaccard, langid, mixing, ngram_lm, packing, pii, warc
 from specgrade.llm.common import crc_mod, spread
-from specgrade.session import new_path
+from specgrade.session import local_table, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,11 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest
   CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
+
+
+@_query
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = local_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest_conversations(chat.format_conversations(turns.union(extra)))
