@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import chat, jaccard, langid, mixing, ngram_lm, packing, pii, warc
+from specgrade.llm import chat, jaccard, langid, mixing, ngram_lm, packing, pii, topk, warc
 from specgrade.llm.common import crc_mod, spread
 from specgrade.session import local_table, new_path
 
@@ -97,3 +97,23 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = local_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.digest_conversations(chat.format_conversations(turns.union(extra)))
+
+
+@_query
+def op5_exact_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE_SQL["op5_exact_top_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
