@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import chat, jaccard, langid, mixing, ngram_lm, packing, pii, topk, warc
+from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, topk, warc
 from specgrade.llm.common import crc_mod, spread
 from specgrade.session import local_table, new_path
 
@@ -117,3 +117,8 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@_query
+def op6_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.fingerprints(_table(spark, folder, "documents"))
