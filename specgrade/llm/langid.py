@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from specgrade.llm.common import text_of
 
 UNDETERMINED = "und"
-# A worker remembers the vectors of so many words and letters at most.
-CACHE_WORDS, CACHE_LETTERS = 150_000, 60
+# A worker forgets the scores of words when it holds more than this.
+CACHE_WORDS = 300_000
+_DRAWS = 1_000_003
 
 
 @dataclass
@@ -32,16 +33,17 @@ class LanguageModel:
     grams: dict[str, int] = field(default_factory=dict)
     longest: int = 4
 
-    def vector(self, word: str) -> np.ndarray:
+    def rows_of(self, word: str) -> list[int]:
+        """The rows whose mean scores a word: its own, or those of its longest known n-grams."""
         row = self.words.get(word)
         if row is not None:
-            return self.table[row]
-        padded = f"\x02{word}\x03"
+            return [row]
+        padded, known = f"\x02{word}\x03", self.grams
         for n in range(min(self.longest, len(padded)), 0, -1):
-            rows = [r for i in range(len(padded) - n + 1) if (r := self.grams.get(padded[i : i + n])) is not None]
+            rows = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
             if rows:
-                return self.table[rows].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+                return rows
+        return []
 
 
 class _Scores(dict):
@@ -50,38 +52,50 @@ class _Scores(dict):
     def __init__(self, model: LanguageModel) -> None:
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, len(model.languages) + 1), np.float32)
-
-    def measure(self, token: str) -> np.ndarray:
-        total = np.zeros(self.rows.shape[1], np.float32)
-        for word in "".join(c if c.isalpha() else " " for c in token).split():
-            total[:-1] += self.model.vector(word)
-            total[-1] += 1
-        return total
+        self.rows = np.zeros((0, len(model.languages) + 1), np.float32)
+        self.fresh: list[str] = []
 
     def __missing__(self, token: str) -> int:
-        n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.measure(token)
-        self[token] = n
+        n = self[token] = len(self)
+        self.fresh.append(token)
         return n
 
-    def total(self, text: str) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        tokens = text.lower().split()
-        short = [t for t in tokens if len(t) <= CACHE_LETTERS]
-        total = np.zeros(self.rows.shape[1])
-        for i in range(0, len(short), CACHE_WORDS):
-            rows = list(map(self.__getitem__, short[i : i + CACHE_WORDS]))
-            total += self.rows[rows].sum(axis=0, dtype=np.float64)
+    def _measure(self) -> None:
+        """Fill in the rows of the tokens met since the last call."""
+        words, token_of = [], []
+        for i, token in enumerate(self.fresh):
+            parts = [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
+            words += parts
+            token_of += [i] * len(parts)
+        found, counts = [], []
+        for word in words:
+            rows = self.model.rows_of(word)
+            found += rows
+            counts.append(len(rows))
+        new = np.zeros((len(self.fresh), self.rows.shape[1]), np.float32)
+        if words:
+            n = np.array(counts)
+            word_of = np.repeat(np.arange(len(words)), n)
+            share = np.repeat(1 / np.maximum(n, 1), n)
+            for k in range(len(self.model.languages)):
+                mean = np.bincount(word_of, self.model.table[found, k] * share, minlength=len(words))
+                new[:, k] = np.bincount(token_of, mean, minlength=len(new))
+            new[:, -1] = np.bincount(token_of, minlength=len(new))
+        self.rows = np.concatenate([self.rows, new])
+        self.fresh = []
+
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Sums of the log frequencies by text, and its words."""
+        out = np.zeros((len(texts), self.rows.shape[1]))
+        for i in range(0, len(texts), 200):
             if len(self) > CACHE_WORDS:
                 self.clear()
-        for t in tokens if len(short) < len(tokens) else ():
-            if len(t) > CACHE_LETTERS:
-                total += self.measure(t)
-        return total
+                self.rows = self.rows[:0]
+            places = [list(map(self.__getitem__, t.lower().split())) for t in texts[i : i + 200]]
+            self._measure()
+            for j, at in enumerate(places):
+                out[i + j] = self.rows[at].sum(axis=0, dtype=np.float64) if at else 0
+        return out
 
 
 def fit(
@@ -93,19 +107,23 @@ def fit(
     max_words: int = 60_000,
     max_grams: int = 120_000,
     longest: int = 4,
+    max_languages: int = 1_000,
 ) -> LanguageModel:
     """Fit on labelled rows: about ``docs_per_language`` rows of each language, drawn by a hash of the key.
 
-    Rows without text or label are left out. Of the words and n-grams the most frequent
+    Rows without text or label are left out, and labels beyond the ``max_languages`` most
+    frequent. Of the words and n-grams the most frequent
     ``max_words`` and ``max_grams`` are kept; these bounds fix the size of the model.
     No labelled row: a model without languages, which predicts ``und``.
     """
     rows = docs.select(
         F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"), F.col(key).cast("string").alias("_key")
     ).where("_lang is not null and _text is not null")
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    drawn = F.pmod(F.xxhash64(F.coalesce("_key", F.lit(""))), F.lit(1_000_003)) * F.col("_n") < docs_per_language * 1_000_003
-    sample = rows.join(sizes, "_lang").where(drawn)
+    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    if not sizes:
+        return LanguageModel([], np.zeros((0, 0), np.float32))
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(_DRAWS, _DRAWS * docs_per_language // r[1]))])
+    sample = rows.where(F.pmod(F.xxhash64(F.coalesce("_key", F.lit(""))), F.lit(_DRAWS)) < F.try_element_at(most, F.col("_lang")))
     words = (
         sample.select("_lang", F.explode(F.expr(r"regexp_extract_all(lower(_text), '\\p{L}+', 0)")).alias("w"))
         .groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("c"))
@@ -158,17 +176,14 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
         names = shipped.value.languages
         for batch in batches:
             labels, shares = [], []
-            for value in batch:
-                t = value.as_py()
-                total = scores.total(t) if t and names else None
-                if total is None or total[-1] == 0:
-                    labels.append(UNDETERMINED)
-                    shares.append(0.0)
-                    continue
+            texts = batch.to_pylist()
+            for total in scores.totals([t or "" for t in texts]) if names else ():
                 logs = total[:-1]
                 best = int(np.argmax(logs))
-                labels.append(names[best])
-                shares.append(float(1.0 / np.exp(np.clip(logs - logs[best], -700, 0)).sum()))
+                labels.append(names[best] if total[-1] else UNDETERMINED)
+                shares.append(float(1.0 / np.exp(np.clip(logs - logs[best], -700, 0)).sum()) if total[-1] else 0.0)
+            if not names:
+                labels, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(shares, pa.float64())], ["l", "s"])
 
     kept = [c for c in docs.columns if c not in (out, score)]
