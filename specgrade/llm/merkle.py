@@ -1,10 +1,10 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and sentences.
+"""Document fingerprints: Merkle trees over sections, paragraphs and pieces of them.
 
 A text is cut at line ends into paragraphs. The paragraphs up to one that ends a section form a
 section; a paragraph's own digest decides whether it ends one, so an edit moves no border but its
 own. Each level is a digest over the digests below it. Equal texts have equal roots, and differing
-branches locate edits. Below the paragraphs, hashes of sentences measure how alike two texts are. Everything is a
-column expression.
+branches locate edits. Below the paragraphs are pieces of a few words, cut by their own letters;
+their hashes measure how alike two texts are. Everything is a column expression.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from specgrade.session import materialise
 BUCKET_ROWS, MAX_BUCKETS = 4_000, 20_000
 # A paragraph whose digest ends so ends a section: one in eight.
 SECTION_END = "[08]$"
-_SENTENCE_END = r"(?<=[.!?,;:|])(?=\s)"
+# A piece ends after a word that ends in a mark or one of these letters, so most have two to five words.
+_PIECE_END = r"(?<=[.!?,;:|aeo])(?=\s)"
 
 
 def paragraph_hashes(text: Column) -> Column:
@@ -40,13 +41,13 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("root:"), F.array_join(sections, ",")), 256)
 
 
-def sentence_set(text: Column) -> Column:
-    """The distinct hashes of the sentences below the paragraphs."""
-    return F.array_distinct(F.transform(F.split(text, rf"\n|{_SENTENCE_END}", -1), lambda s: F.xxhash64(s)))
+def piece_set(text: Column) -> Column:
+    """The distinct hashes of the pieces below the paragraphs."""
+    return F.array_distinct(F.transform(F.split(text, rf"\n|{_PIECE_END}", -1), lambda s: F.xxhash64(s)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice likeness of the sentence sets of two texts: 1 for equal, 0 for disjoint."""
+    """Dice likeness of the piece sets of two texts: 1 for equal, 0 for disjoint."""
     common = F.size(F.array_intersect(a, b))
     return (2.0 * common / (F.size(a) + F.size(b))).cast("double")
 
@@ -122,7 +123,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = ("text", "edited", "next_text")
     leaves = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[paragraph_hashes(F.col(c)).alias(f"{c}_paragraphs") for c in texts[:2]], *[sentence_set(F.col(c)).alias(f"{c}_set") for c in texts],
+        *[paragraph_hashes(F.col(c)).alias(f"{c}_paragraphs") for c in texts[:2]], *[piece_set(F.col(c)).alias(f"{c}_set") for c in texts],
     )
     return leaves.select(
         "doc_id", "n_chars", "edited_sha256", root(section_hashes(F.col("text_paragraphs"))).alias("fingerprint"),
