@@ -1,24 +1,22 @@
 """Exact row positions and percentiles that never put an unbounded group into one task.
 
-``row_number`` over a group sorts the group in one task. That is fine while the whole table is
-known to be small, which a count checks first. Beyond that each group is cut into
+``row_number`` over a group would sort the group in one task. Here each group is cut into
 order-preserving buckets: bucket sizes are counted with map-side combine, a running sum over the
-bucket sizes gives each bucket its offset, and ``row_number`` only runs inside a bucket.
+bucket sizes gives each bucket its offset, and ``row_number`` only runs inside a bucket. The same
+plan serves tables of every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from specgrade.functions.columns import names, seeded_hash
+from specgrade.session import materialise
 
-# Rows one task may sort.
-TASK_ROWS = 1_000_000
-MAX_BUCKETS = 65_536
+# Hexadecimal digits of the hash that name a bucket: 4,096 buckets in each group.
+HASH_DIGITS = 3
 
 _G, _B, _BEFORE = "_group", "_bucket", "_before"
 
@@ -67,33 +65,17 @@ def hash_rank(
     seed: int | str | Column,
     rank: str = "rank",
     total: str | None = None,
-    task_rows: int = TASK_ROWS,
+    digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """Exact position of each row in its group under the seeded hash order.
 
-    The buckets of a large table are the first hexadecimal digits of the hash, so they are even
-    whatever the keys look like, and even if one group holds all rows.
+    The buckets are the first hexadecimal digits of the hash, so they are even whatever the
+    keys look like, and even if one group holds all rows.
     """
     key = names(key)
-    n = df.count()
     df = df.withColumn("_hash", seeded_hash(seed, *[F.col(k) for k in key]))
     order = [F.col("_hash"), *[F.col(k) for k in key]]
-    bucket = None
-    if n > task_rows:
-        digits = min(8, math.ceil(math.log(n / task_rows, 16)) + 1)
-        bucket = F.substring("_hash", 1, digits)
-    return exact_rank(df, group, order, bucket, rank, total).drop("_hash")
-
-
-def _value_bucket(df: DataFrame, lead: str, n: int, task_rows: int) -> DataFrame:
-    """Add ``_cut``: the quantile range of ``lead``, about ``task_rows`` / 4 rows each."""
-    parts = min(MAX_BUCKETS, max(2, 4 * math.ceil(n / task_rows)))
-    cuts = sorted(set(df.approxQuantile(lead, [i / parts for i in range(1, parts)], 0.25 / parts)))
-    df = df.withColumn("_lead", F.col(lead).cast("double"))
-    if not cuts:
-        return df.withColumn("_cut", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_lead", outputCol="_cut", handleInvalid="keep").transform(df)
+    return exact_rank(df, group, order, F.substring("_hash", 1, digits), rank, total).drop("_hash")
 
 
 def ordered_rank(
@@ -103,49 +85,48 @@ def ordered_rank(
     then: Iterable[Column] = (),
     rank: str = "rank",
     total: str | None = None,
-    task_rows: int = TASK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Exact position of each row in its group, ordered by the numeric column ``lead``.
+    """Exact position of each row in its group, ordered by ``lead``, then by ``then``; nulls first.
 
-    The bucket borders of a large table are approximate quantiles of ``lead``: a bounded list of
-    numbers, computed by Spark.
+    ``lead`` may be of any orderable type. Spark deals the rows into ranges of the whole order,
+    so neither a large group nor a repeated ``lead`` fills one range, unless ``then`` does not
+    tell its rows apart. The ranges are written once: their borders are samples, which a
+    second evaluation could draw otherwise. ``parts`` sets the number of ranges.
     """
-    order = [F.col(lead).asc(), *then]
-    n = df.count()
-    if n <= task_rows:
-        return exact_rank(df, group, order, None, rank, total)
-    cut = _value_bucket(df, lead, n, task_rows)
-    return exact_rank(cut, group, order, F.col("_cut"), rank, total).drop("_lead", "_cut")
+    group, order = names(group), [F.col(lead).asc(), *then]
+    keys = [*[F.col(g) for g in group], *order]
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    ranged = materialise(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    return exact_rank(ranged, group, order, F.col("_part"), rank, total).drop("_part")
 
 
 def exact_percentile(
     df: DataFrame,
     group: str | Iterable[str],
     values: dict[str, tuple[str, float]],
-    task_rows: int = TASK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation per group; nulls are left out.
+    """Exact percentiles with linear interpolation per group; null values are left out.
 
-    ``values``: output column -> (value column, fraction). The built-in percentile keeps every
-    distinct value of a group in one task, which only a checked, small table may do; a larger
-    one is ranked in buckets and only the two rows around each position are kept.
+    ``values``: output column -> (value column, fraction). A null group is a group; one
+    without values has null percentiles. The built-in percentile keeps every distinct value of
+    a group in one task; here the values are ranked in ranges and only the two rows around each
+    position are kept.
     """
     group = names(group)
-    if df.count() <= task_rows:
-        return df.groupBy(*group).agg(
-            *[F.percentile(c, F.lit(p)).alias(out) for out, (c, p) in values.items()]
-        )
-    result = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    key = (F.struct(*group) if group else F.lit(0)).alias(_G)
+    result = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(*group, key)
     for out, (column, fraction) in values.items():
         some = df.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"))
-        ranked = ordered_rank(some, group, "_v", (), "_rank", "_total", task_rows)
+        ranked = ordered_rank(some, group, "_v", (), "_rank", "_total", parts)
         at = F.lit(fraction) * (F.col("_total") - 1)
         low, share = F.floor(at), at - F.floor(at)
-        around = ranked.where(F.col("_rank") - 1 - low <= 1).where(F.col("_rank") - 1 >= low)
+        around = ranked.where((F.col("_rank") - 1).between(low, low + 1))
         weight = F.when(F.col("_rank") - 1 == low, 1 - share).otherwise(share)
-        picked = around.groupBy(*group).agg(F.sum(F.col("_v") * weight).alias(out))
-        result = result.join(picked, group, "left") if group else picked
-    return result
+        picked = around.groupBy(key).agg(F.sum(F.col("_v") * weight).alias(out))
+        result = result.join(picked, _G, "left")
+    return result.drop(_G)
 
 
 def top_per_group(

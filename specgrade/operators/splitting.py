@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import names, not_blank, require_columns, seeded_hash
-from specgrade.operators.ranking import TASK_ROWS, exact_rank, hash_rank, ordered_rank, top_per_group
+from specgrade.operators.ranking import exact_rank, hash_rank, ordered_rank, top_per_group
 
 PARTITIONS = ("train", "val", "test")
 
@@ -42,7 +42,6 @@ def group_split(
     test: float = 0.15,
     seeds: int | list[int] = 42,
     out: str = "split_part",
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Split by individual: all rows of an individual share one part.
 
@@ -62,7 +61,7 @@ def group_split(
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(individual, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
     )
-    ranked = hash_rank(groups, "seed", individual, F.col("seed"), "_rank", "_total", task_rows)
+    ranked = hash_rank(groups, "seed", individual, F.col("seed"), "_rank", "_total")
     n_test, n_val = _two_pass_sizes(F.col("_total"), train, val, test)
     parts = ranked.select(individual, "seed", _cut(F.col("_rank"), n_test, n_val).alias(out))
     return records.join(parts, individual)
@@ -120,7 +119,6 @@ def stratified_split(
     test: float = 0.15,
     seed: int = 42,
     out: str = "split_part",
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Row split in two passes with class shares kept by largest remainder."""
     _check_ratios(train, val, test)
@@ -136,7 +134,7 @@ def stratified_split(
     )
     n_val = F.ceil(F.lit(val / (train + val)) * F.col("_all"))
     pass2 = _quota(_with_left(rest, "_size", n_val), label, "_size", n_val, "_val")
-    ranked = hash_rank(records, label, key, seed, "_rank", task_rows=task_rows)
+    ranked = hash_rank(records, label, key, seed, "_rank")
     return (
         ranked.join(pass2.select(label, "_test", "_val"), label)
         .withColumn(out, _cut(F.col("_rank"), F.col("_test"), F.col("_val")))

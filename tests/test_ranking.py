@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
+from specgrade.functions.columns import seeded_hash
 from specgrade.operators.ranking import exact_percentile, hash_rank, ordered_rank, top_per_group
 
 
@@ -15,32 +16,46 @@ def skewed(spark):
     )
 
 
-def test_hash_rank_in_buckets_equals_one_window(skewed):
-    small = hash_rank(skewed, "g", "id", 5, "r", "n")
-    large = hash_rank(skewed, "g", "id", 5, "r", "n", task_rows=50)
-    assert small.exceptAll(large.select(small.columns)).count() == 0
-    assert large.count() == 3000
+def plain(df, order):
+    group = W.partitionBy("g").orderBy(*order)
+    return df.withColumn("r", F.row_number().over(group).cast("long")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("g")))
 
 
-def test_ordered_rank_in_buckets_equals_one_window(skewed):
-    small = ordered_rank(skewed, "g", "v", [F.col("id")], "r", "n")
-    large = ordered_rank(skewed, "g", "v", [F.col("id")], "r", "n", task_rows=40)
-    assert small.exceptAll(large.select(small.columns)).count() == 0
+@pytest.mark.parametrize("digits", [1, 3])
+def test_hash_rank_equals_one_window(skewed, digits):
+    got = hash_rank(skewed, "g", "id", 5, "r", "n", digits)
+    hashed = skewed.withColumn("h", seeded_hash(5, F.col("id")))
+    assert plain(hashed, ["h", "id"]).drop("h").exceptAll(got.select("id", "g", "v", "r", "n")).count() == 0
+    assert got.count() == 3000
+
+
+@pytest.mark.parametrize("lead", ["v", "cast(v as string)", "if(v % 3 = 0, null, v)", "date_add(date'2020-01-01', cast(v as int))"])
+def test_ordered_rank_equals_one_window(skewed, lead):
+    df = skewed.select("id", "g", F.expr(lead).alias("v"))
+    got = ordered_rank(df, "g", "v", [F.col("id")], "r", "n", parts=9)
+    assert got.count() == 3000
+    assert plain(df, ["v", "id"]).exceptAll(got.select("id", "g", "v", "r", "n")).count() == 0
 
 
 def test_rank_over_the_whole_table_and_constant_lead(spark):
     df = spark.range(500).withColumn("v", F.lit(1))
-    out = ordered_rank(df, [], "v", [F.col("id")], "r", task_rows=20)
-    assert out.where(F.col("r") != F.col("id") + 1).count() == 0
+    out = ordered_rank(df, [], "v", [F.col("id")], "r", parts=20)
+    assert out.count() == 500 and out.where(F.col("r") != F.col("id") + 1).count() == 0
+    assert ordered_rank(df.limit(0), [], "v", [F.col("id")], "r").collect() == []
 
 
-def test_percentiles_match_numpy_on_both_paths(skewed):
-    hot = [r[0] for r in skewed.where("g = 'hot'").select("v").collect()]
-    want = {p: float(np.percentile(hot, p)) for p in (50, 95)}
+def test_percentiles_match_numpy(skewed):
     spec = {"a": ("v", 0.5), "b": ("v", 0.95)}
-    for limit in (1_000_000, 60):
-        got = exact_percentile(skewed, "g", spec, task_rows=limit).where("g = 'hot'").first()
-        assert got["a"] == pytest.approx(want[50]) and got["b"] == pytest.approx(want[95])
+    values = {}
+    for g, v in skewed.select("g", "v").collect():
+        values.setdefault(g, []).append(v)
+    got = {r["g"]: r for r in exact_percentile(skewed, "g", spec, parts=7).collect()}
+    assert set(got) == set(values) and None in got
+    for g, v in values.items():
+        assert (got[g]["a"], got[g]["b"]) == (pytest.approx(np.percentile(v, 50)), pytest.approx(np.percentile(v, 95)))
+    (row,) = exact_percentile(skewed, [], spec).collect()
+    everything = sum(values.values(), [])
+    assert (row["a"], row["b"]) == (pytest.approx(np.percentile(everything, 50)), pytest.approx(np.percentile(everything, 95)))
 
 
 def test_top_per_group_limits_before_the_shuffle(skewed):

@@ -23,9 +23,8 @@ def test_no_individual_is_in_two_parts(records):
 def test_sizes_round_up_twice(spark):
     """2,112 individuals give 1,478 / 317 / 317."""
     df = spark.range(2112).select(F.col("id").cast("string").alias("individual_id"))
-    for limit in (1_000_000, 100):
-        sizes = {r[0]: r[1] for r in sp.group_split(df, task_rows=limit).groupBy("split_part").count().collect()}
-        assert sizes == {"train": 1478, "val": 317, "test": 317}
+    sizes = {r[0]: r[1] for r in sp.group_split(df).groupBy("split_part").count().collect()}
+    assert sizes == {"train": 1478, "val": 317, "test": 317}
 
 
 def test_split_is_reproducible_and_depends_on_the_seed(records):
