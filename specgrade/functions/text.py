@@ -198,3 +198,14 @@ def compose_query(traits: Column, template: str, fallback: str) -> Column:
     text = F.array_join(F.transform(kept, lambda t: F.concat(t["name"], F.lit(": "), t["value"])), ", ")
     before, after = template.split("{traits}")
     return F.when(F.size(kept) == 0, F.lit(fallback)).otherwise(F.concat(F.lit(before), text, F.lit(after)))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; blank and null texts are not.
+
+    The parser ignores what follows a value. Inside brackets it does not, unless what follows
+    closes them, and nothing closes both a bracket and a brace.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce((F.trim(text) != "") & listed.isNotNull() & keyed.isNotNull(), F.lit(False))

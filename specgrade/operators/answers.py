@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from specgrade.functions import fixed_values as fv
 from specgrade.functions.columns import names, not_blank
-from specgrade.functions.text import last_token, slug, strip_justification
+from specgrade.functions.text import is_json, last_token, slug, strip_justification
 
 END_MARK = "####"
 
@@ -138,19 +138,19 @@ def _repair(text: Column) -> Column:
 def parse_json_answers(answers: DataFrame, text: str = "text") -> DataFrame:
     """Add ``json`` (valid JSON text or null) and ``recovery``.
 
-    Tried in turn: the cleaned text, the outermost object in it, a closed truncation.
+    Tried in turn: the cleaned text, the outermost object in it, a closed truncation, and the
+    truncation cut back to its last comma. A text counts only if nothing follows its value.
     """
     cleaned = F.trim(F.col("_c"))
     outer = F.regexp_extract(F.col("_c"), r"(?s)\{.*\}", 0)
     fixed = _repair(F.col("_c"))
     steps = answers.withColumn("_c", strip_fence(F.trim(strip_thinking(F.col(text)))))
-    ok = F.try_parse_json(cleaned).isNotNull() & (cleaned != "")
-    ok_outer = (outer != "") & F.try_parse_json(outer).isNotNull()
-    ok_fixed = F.try_parse_json(fixed).isNotNull()
+    shorter = _repair(F.regexp_extract(F.col("_c"), r"(?s)^(.*),", 1))
+    ok, ok_outer, ok_fixed, ok_shorter = (is_json(c) for c in (cleaned, outer, fixed, shorter))
     return steps.select(
         *answers.columns,
-        F.when(ok, cleaned).when(ok_outer, outer).when(ok_fixed, fixed).alias("json"),
-        F.when(ok, "direct").when(ok_outer, "extracted").when(ok_fixed, "repaired").otherwise("failed").alias("recovery"),
+        F.when(ok, cleaned).when(ok_outer, outer).when(ok_fixed, fixed).when(ok_shorter, shorter).alias("json"),
+        F.when(ok, "direct").when(ok_outer, "extracted").when(ok_fixed | ok_shorter, "repaired").otherwise("failed").alias("recovery"),
     )
 
 

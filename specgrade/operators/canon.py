@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions import fixed_values as fv
 from specgrade.functions.text import normalize
-from specgrade.session import local_table
 
 
 def trait_dimension(traits: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -43,29 +42,16 @@ def _token(norm: Column, vocabulary: Column) -> Column:
     )
 
 
-# Distinct raw values up to this many are resolved once and joined back.
-SHIP_VALUES = 100_000
-
-
-def to_tokens(
-    long: DataFrame, dimension: DataFrame, gradable_only: bool = True, ship_values: int = SHIP_VALUES
-) -> DataFrame:
+def to_tokens(long: DataFrame, dimension: DataFrame, gradable_only: bool = True) -> DataFrame:
     """Add ``token`` (null when missing or unmapped) and ``is_blank`` to (trait, raw, ...).
 
-    Rows of unknown traits drop out. Raw values repeat heavily, so a first pass over the two
-    columns resolves each distinct value once; a bounded fetch checks their number. Few values
-    come back as a table the optimizer knows to be small, many are resolved row by row. The
-    long table is not shuffled either way.
+    Rows of unknown traits drop out. Raw values repeat heavily, so each distinct value is
+    resolved once and joined back inside Spark, which broadcasts the resolved values when they
+    turn out to be small and splits a value that fills a partition.
     """
     specs = dimension.where("gradable") if gradable_only else dimension
-    known = canonical_values(long, specs).limit(ship_values + 1).toPandas()
-    if len(known) > ship_values:
-        return _resolve(long, specs)
-    rows = known.where(known.notna(), None).itertuples(index=False, name=None)
-    unique = {(t, r or ""): (t, r or "", token, blank) for t, r, token, blank in rows}
-    schema = "trait string, _raw string, token string, is_blank boolean"
-    values = local_table(long.sparkSession, list(unique.values()), schema)
     keyed = long.withColumn("_raw", F.coalesce("raw", F.lit("")))
+    values = canonical_values(keyed.select("trait", F.col("_raw").alias("raw")), specs).withColumnRenamed("raw", "_raw")
     return keyed.join(values, ["trait", "_raw"]).select(*long.columns, "token", "is_blank")
 
 

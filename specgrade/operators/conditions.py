@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import count_where, names, not_blank, ratio0
-from specgrade.functions.text import after_segment
+from specgrade.functions.text import after_segment, is_json
 from specgrade.operators.ranking import exact_percentile
 
 RESULT_SCHEMA = """
@@ -134,7 +134,7 @@ def confidence_distribution(results: DataFrame) -> DataFrame:
 def run_status(files: DataFrame, content: str = "content", errors: str | None = None) -> DataFrame:
     """Add ``status``: empty, error (bad JSON or a stage error) or valid."""
     text = F.coalesce(F.col(content), F.lit(""))
-    bad = F.try_parse_json(text).isNull()
+    bad = ~is_json(text)
     failed = F.coalesce(F.col(errors), F.lit(False)) if errors else F.lit(False)
     return files.withColumn("status", F.when(text == "", "empty").when(bad | failed, "error").otherwise("valid"))
 
@@ -144,9 +144,18 @@ def stage_failed(stages: Column) -> Column:
     return F.exists(F.map_values(stages), lambda s: not_blank(s["error"]) & ~F.coalesce(s["skipped"], F.lit(False)))
 
 
-def completeness(statuses: DataFrame, expected: int, by: str | list[str] = "condition") -> DataFrame:
-    """Valid, error, empty and missing outputs per condition."""
+def completeness(statuses: DataFrame, expected: int, by: str | list[str] = "condition", conditions: DataFrame | None = None) -> DataFrame:
+    """Valid, error, empty and missing outputs per condition.
+
+    ``conditions`` lists the conditions of the run (columns ``by``); one without any output has
+    all its outputs missing. Without the list only conditions with output have a row.
+    """
     n = F.count(F.lit(1))
+    if conditions is not None:
+        found = completeness(statuses, expected, by)
+        filled = conditions.select(*names(by)).distinct().join(found, names(by), "left")
+        zeros = {c: 0 for c in ("n_valid", "n_error", "n_empty", "n_total")}
+        return filled.na.fill(zeros).withColumn("n_missing", F.coalesce("n_missing", F.lit(expected).cast("long")))
     return statuses.groupBy(*names(by)).agg(
         *[count_where(F.col("status") == s).alias(f"n_{s}") for s in ("valid", "error", "empty")],
         n.alias("n_total"),

@@ -49,14 +49,20 @@ def map_predictions(values: DataFrame, rules: DataFrame, key: str | list[str]) -
     )
 
 
-def attach_matrix(values: DataFrame, matrix: DataFrame, taxon: str) -> DataFrame:
+def attach_matrix(values: DataFrame, matrix: DataFrame, taxon: str, suffix: str = "") -> DataFrame:
     """Add ``options map<option_column, value>`` of the taxon and ``uncoded`` of the category.
 
-    ``matrix`` is long: (taxon, option_column, value), one value per option; its flag columns
-    are named ``<category>__uncoded``. A category is uncoded by its flag when that is set, else
+    ``matrix`` is long: (taxon, option_column, value); an option that comes more than once has its
+    largest value. Its flag columns are named ``<category>__uncoded``. A merged matrix names its
+    columns with a ``suffix``, such as ``__consensus``: columns without it are left out, and the
+    rest is used under the name before it. A category is uncoded by its flag when that is set, else
     when all its options are null. A row has as many entries as the matrix has columns. Joined
     before the options are unfolded, the values are shuffled once and narrow.
     """
+    if suffix:
+        name = F.col("option_column")
+        matrix = matrix.where(name.endswith(suffix)).withColumn("option_column", F.substring(name, F.lit(1), F.length(name) - len(suffix)))
+    matrix = matrix.groupBy(taxon, "option_column").agg(F.max("value").alias("value"))
     is_flag = F.col("option_column").endswith("__uncoded")
     category = F.when(~is_flag & F.col("value").isNotNull(), F.substring_index("option_column", "__", 1))
     rows = matrix.groupBy(taxon).agg(

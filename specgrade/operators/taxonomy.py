@@ -125,7 +125,7 @@ def id_aliases(catalog: DataFrame, id_col: str, code_col: str, pos: str) -> Data
 
 def resolve_ids(observed: DataFrame, observed_id: str, aliases: DataFrame) -> DataFrame:
     """Exact match on the lower-case id, else with ``. - _`` removed; nothing fuzzy."""
-    distinct = observed.select(F.col(observed_id).alias("_id")).distinct().select(
+    distinct = observed.select(F.col(observed_id).alias("_id")).where("_id is not null").distinct().select(
         "_id", F.lower(F.trim("_id")).alias("_low"), F.translate(F.lower(F.trim("_id")), ".-_", "").alias("_clean")
     )
     exact = aliases.select(F.col("alias").alias("_low"), F.col("target").alias("_exact"))
@@ -134,15 +134,15 @@ def resolve_ids(observed: DataFrame, observed_id: str, aliases: DataFrame) -> Da
         distinct.join(exact, "_low", "left")
         .join(clean, "_clean", "left")
         .select(
-            F.col("_id").alias(observed_id),
-            F.coalesce("_exact", "_cleaned").alias("target"),
+            F.col("_id").alias(observed_id), F.coalesce("_exact", "_cleaned").alias("target"),
             F.when(F.col("_exact").isNotNull(), "exact")
             .when(F.col("_cleaned").isNotNull(), "punctuation")
             .otherwise("none")
             .alias("match"),
         )
     )
-    return observed.join(found, observed_id)
+    # A null id matches nothing and keeps its row.
+    return observed.join(found, observed_id, "left").withColumn("match", F.coalesce("match", F.lit("none")))
 
 
 def compare_taxonomy(true_f: Column, true_g: Column, true_s: Column, pred_f: Column, pred_g: Column, pred_s: Column) -> Column:

@@ -132,12 +132,17 @@ def result_files(events: DataFrame) -> DataFrame:
 
 def _completeness_sql(expected: int) -> str:
     return f"""WITH {STATUS} SELECT condition, count(*) FILTER (status = 'valid') AS n_valid, count(*) FILTER (status = 'error') AS n_error, count(*) FILTER (status = 'empty') AS n_empty,
- count(*) AS n_total, greatest(0, {expected} - count(*)) AS n_missing FROM stt GROUP BY 1"""
+ count(*) AS n_total, greatest(0, {expected} - count(*)) AS n_missing FROM stt GROUP BY 1 UNION ALL SELECT 'planned', 0, 0, 0, 0, {expected}"""
+
+
+def planned(t: Tables) -> DataFrame:
+    """The conditions of the run: those of the events, and one that has no output yet."""
+    return t.events.select(F.col("event_type").alias("condition")).union(t.spark.range(1).select(F.lit("planned")))
 
 
 @query("run_completeness", "D24", _completeness_sql(2000))
 def run_completeness(t: Tables) -> DataFrame:
-    return cd.completeness(cd.run_status(result_files(t.events), "content", "failed"), 2000)
+    return cd.completeness(cd.run_status(result_files(t.events), "content", "failed"), 2000, conditions=planned(t))
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -147,7 +152,7 @@ def event_stream(t: Tables) -> DataFrame:
 @query("stream_progress", "S1", _completeness_sql(2000))
 def stream_progress(t: Tables) -> DataFrame:
     files = cd.run_status(result_files(event_stream(t)), "content", "failed")
-    return pg.progress(files, 2000, ["condition"], "ts", ["event_id"], "10 minutes")
+    return pg.progress(files, 2000, ["condition"], "ts", ["event_id"], planned(t))
 
 
 @query(

@@ -13,6 +13,7 @@ from specgrade.operators import classmetrics as cm, grading as gr, identificatio
 from specgrade.plans.agreement import rounded
 from specgrade.plans.registry import Tables, query
 from specgrade.session import local_table, materialise
+from specgrade.sources.tables import matrix_suffix
 
 # Order of the lines of a part.
 VIEW_POS = "(cast(l_linenumber as bigint) * 100000 + l_suppkey) * 10000000 + l_orderkey"
@@ -471,7 +472,7 @@ rec AS (SELECT * FROM (SELECT *, CASE WHEN uncoded OR ground_truth IS NULL THEN
  WHEN predicted = 1 AND ground_truth = 1 THEN 'correct' WHEN predicted = 1 THEN 'incorrect' END AS verdict FROM rec0) WHERE verdict IS NOT NULL)"""
 
 
-def mapped(t: Tables) -> DataFrame:
+def mapped(t: Tables, merged: bool = False) -> DataFrame:
     q, x = F.col("l_quantity"), F.col("l_tax")
     values = F.array(
         F.struct(
@@ -488,7 +489,12 @@ def mapped(t: Tables) -> DataFrame:
         .groupBy("specimen", "u.category")
         .agg(F.min("l_partkey").alias("taxon"), F.min_by("u.raw", "pos").alias("raw"))
     )
-    coded = gr.attach_matrix(raw, matrix(t).where("source = 'two'"), "taxon")
+    truth = matrix(t).where("source = 'two'")
+    if merged:
+        # A merged matrix: the columns of each source, here at odds, beside those of the consensus.
+        apart = truth.withColumn("option_column", F.concat("option_column", F.lit("__one"))).withColumn("value", 1 - F.col("value"))
+        truth = truth.withColumn("option_column", F.concat("option_column", F.lit("__consensus"))).unionByName(apart)
+    coded = gr.attach_matrix(raw, truth, "taxon", matrix_suffix(["leaf_margin__entire__consensus"]) if merged else "")
     return gr.map_predictions(coded, gr.rule_table(t.spark), ["specimen", "taxon", "options", "uncoded"])
 
 
@@ -510,6 +516,12 @@ def graded_records(t: Tables) -> DataFrame:
     return graded(t).select("specimen", "taxon", "option_column", "category", "ground_truth", "predicted", "verdict")
 
 
+@query("graded_consensus", "J18 R24", f"WITH {GRADED} SELECT specimen, taxon, option_column, category, ground_truth, predicted, verdict FROM rec")
+def graded_consensus(t: Tables) -> DataFrame:
+    """Grades against the consensus columns of a merged matrix."""
+    return gr.grade_traits(mapped(t, merged=True)).select("specimen", "taxon", "option_column", "category", "ground_truth", "predicted", "verdict")
+
+
 _COUNTS = """count(*) FILTER (verdict = 'correct') AS n_correct, count(*) FILTER (verdict = 'incorrect') AS n_incorrect, count(*) FILTER (verdict = 'skipped_uncoded') AS n_skipped_uncoded,
  count(*) FILTER (verdict = 'skipped_no_prediction') AS n_skipped_no_pred, count(*) FILTER (verdict = 'skipped_not_observed') AS n_not_observed,
  count(*) FILTER (verdict IN ('correct', 'incorrect')) AS n_graded"""
@@ -600,7 +612,7 @@ def matrix_flavours(t: Tables) -> DataFrame:
 
     m = F.col("p_size") % 3
     path = F.when(m == 0, F.concat(F.lit("/m/Merged_"), "p_partkey", F.lit(".csv"))).when(m == 1, F.concat(F.lit("/m/key_cl"), "p_partkey", F.lit("_trait.csv"))).otherwise("/m/table.csv")
-    suffix = F.when(source_label(path) == "merged", "__consensus").otherwise("")
+    suffix = F.when(source_label(path) == "merged", matrix_suffix(["leaf_margin__entire__consensus"])).otherwise(matrix_suffix(["leaf_margin__entire"]))
     return t.part.select("p_partkey", source_label(path).alias("label"), suffix.alias("suffix"))
 
 

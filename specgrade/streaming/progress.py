@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -21,51 +23,57 @@ def result_stream(spark: SparkSession, folder: str, schema: StructType, glob: st
     )
 
 
-def unique_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """First row per key within the watermark: a resent result counts once, state stays bounded."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def _run(writer, checkpoint: str) -> None:
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def progress(stream: DataFrame, expected: int, by: list[str], time: str, keys: list[str], delay: str = "30 minutes") -> DataFrame:
-    """Completeness per condition over everything that has arrived.
+def progress(
+    stream: DataFrame, expected: int, by: list[str], time: str, keys: list[str], conditions: DataFrame | None = None
+) -> DataFrame:
+    """Completeness per condition over everything that has arrived, however late.
 
-    The stream appends deduplicated status rows; counting them is a plain aggregation with
-    map-side combine, so the state of the stream does not grow with the totals.
+    The stream only appends status rows and keeps no state. A resent result counts once, with the
+    status it arrived with first by ``time``; this is settled when counting, with map-side
+    combine, so the answer does not depend on how the files fell into batches.
     """
     spark = stream.sparkSession
     out, log = new_path(spark, "progress"), new_path(spark, "progress-log")
-    unique = unique_within(stream, keys, time, delay).select(*by, "status", *keys)
-    _run(unique.writeStream.format("parquet").option("path", out).outputMode("append"), log)
-    return completeness(spark.read.schema(unique.schema).parquet(out), expected, by)
+    rows = stream.select(*by, "status", *keys, F.col(time).cast("timestamp").alias("_time"))
+    _run(rows.writeStream.format("parquet").option("path", out).outputMode("append"), log)
+    seen = spark.read.schema(rows.schema).parquet(out)
+    first = seen.groupBy(*keys).agg(F.min_by(F.struct(*by, "status"), F.struct("_time", "status")).alias("_first")).select("_first.*")
+    return completeness(first, expected, by, conditions)
+
+
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def grade_incrementally(
     stream: DataFrame, grade: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str
 ) -> None:
-    """Grade each micro-batch once and append it.
+    """Grade each key once and append it below ``path``, in a folder by run and batch.
 
-    A replayed batch finds its keys in the output and appends nothing, so a restart repeats no
-    work and adds no rows.
+    The stream's state holds the keys seen under this checkpoint, so a batch costs its own rows,
+    not the output's. A replayed batch writes its folder again. Keys that other checkpoints
+    graded are read once, when the run starts.
     """
+    spark = stream.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    held = _table_or_none(spark, path)
+    done = held.where(F.col("run") != run).select(*keys) if held is not None else None
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            done = spark.read.parquet(path).select(*keys)
-            fresh = fresh.join(done, keys, "left_anti")
-        except Exception as exc:  # first batch: no output yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        grade(fresh).write.mode("append").parquet(path)
-
-    _run(stream.writeStream.foreachBatch(append), checkpoint)
+        fresh = batch if done is None else batch.join(done, keys, "left_anti")
+        grade(fresh).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+
+    _run(stream.dropDuplicates(keys).writeStream.foreachBatch(append), checkpoint)
 
 
 def windowed_progress(stream: DataFrame, by: list[str], time: str, width: str = "1 hour", delay: str = "30 minutes") -> DataFrame:

@@ -40,6 +40,14 @@ def test_verdicts(spark, raw, values, want):
     assert {r["option_column"]: r["verdict"] for r in got.collect()} == want
 
 
+def test_merged_matrix_and_repeated_options(spark):
+    df = spark.createDataFrame([("s", "t", "latex", "present")], "specimen string, taxon string, category string, raw string")
+    values = [("latex__present__consensus", 1), ("latex__absent__consensus", 0), ("latex__present__consensus", 0), ("latex__present__one", 0), ("latex__absent", 1)]
+    coded = gr.attach_matrix(df, matrix_rows(spark, [("t", o, v) for o, v in values]), "taxon", "__consensus")
+    got = gr.grade_traits(gr.map_predictions(coded, gr.rule_table(spark), ["specimen", "taxon", "options", "uncoded"]))
+    assert {r["option_column"]: r["verdict"] for r in got.collect()} == {"latex__present": "correct"}
+
+
 @pytest.fixture(scope="module")
 def records(spark):
     data = [

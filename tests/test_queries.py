@@ -31,11 +31,13 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     if name in SQL:
         out = compare(df, con.execute(SQL[name]))
-        assert out.startswith("ok") or out == "EMPTY", out
+        assert out.startswith("ok"), out
     else:
         assert df.count() > 0
 
 
 def test_entry_runs(spark):
     row = entry.entry(spark).first()
-    assert 0 <= row["accuracy"] <= row["top5_accuracy"] <= 1
+    assert 0 <= row["accuracy"] <= 1
+    # The families of the supplied vectors are fewer than five.
+    assert row["num_classes_in_train"] < 5 and row["top5_accuracy"] is None

@@ -149,6 +149,12 @@ def test_completeness(spark):
     files = spark.createDataFrame([("A", ""), ("A", "{bad"), ("A", "{}"), ("B", None)], "condition string, content string")
     got = {r["condition"]: tuple(r)[1:] for r in cd.completeness(cd.run_status(files), 5).collect()}
     assert got == {"A": (1, 1, 1, 3, 2), "B": (0, 0, 1, 1, 4)}
+    plan = spark.createDataFrame([("A",), ("C",)], "condition string")
+    got = {r["condition"]: tuple(r)[1:] for r in cd.completeness(cd.run_status(files), 5, conditions=plan).collect()}
+    assert got == {"A": (1, 1, 1, 3, 2), "C": (0, 0, 0, 0, 5)}
+    odd = [(i, t) for i, t in enumerate(['{"a":1}} junk', "{}{}", "[1],[2]", "[1]] x", '1, "k": 2', ' {"a": [1, "]"]} ', "null", " ", "3", '"x"', None])]
+    read = cd.run_status(spark.createDataFrame(odd, "id int, content string")).collect()
+    assert {r["id"] for r in read if r["status"] == "valid"} == {5, 6, 8, 9}
     stages = F.create_map(F.lit("s"), F.struct(F.lit(False).alias("skipped"), F.lit("boom").alias("error")))
     assert spark.range(1).select(cd.stage_failed(stages).alias("f")).first()["f"]
 
@@ -159,9 +165,13 @@ def test_stream_counts_a_resent_result_once(spark):
     df = spark.createDataFrame(rows, "id int, condition string, status string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(f"{folder}/a")
     df.where("id < 5").write.parquet(f"{folder}/b")
-    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
-    got = pg.progress(stream, 25, ["condition"], "ts", ["id"], "1 hour").first()
-    assert (got["n_valid"], got["n_total"], got["n_missing"]) == (20, 20, 5)
+    late = [(30, "A", "error", "2020-01-01 00:00:00"), (3, "A", "error", "2025-01-01 00:00:00")]
+    spark.createDataFrame(late, "id int, condition string, status string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/c")
+    plan = spark.createDataFrame([("A",), ("B",)], "condition string")
+    for files in (1, 50):
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(folder)
+        got = {r["condition"]: tuple(r)[1:] for r in pg.progress(stream, 25, ["condition"], "ts", ["id"], plan).collect()}
+        assert got == {"A": (20, 1, 0, 21, 4), "B": (0, 0, 0, 0, 25)}
 
 
 def test_incremental_grading_is_idempotent(spark):
