@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -198,7 +199,8 @@ KNOWN_CATEGORIES = {
     10: "flower_symmetry", 14: "ovary_placement", 15: "carpel_number", 17: "sex", 18: "fruit",
     25: "armature", 50: "leaf_punctations", 60: "glands_on_blade_or_petiole",
 }
-VOID = frozenset({"br", "img", "input", "hr", "meta", "link"})
+# The elements that HTML never closes.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 class _KeyPage(HTMLParser):
@@ -209,14 +211,29 @@ class _KeyPage(HTMLParser):
         self.taxa: list[tuple] = []
         self.options: list[tuple] = []
         self._stack: list[tuple[str, str]] = []  # (tag, role)
+        self._open: Counter[str] = Counter()  # open tags, and roles after a colon
         self._family = ""
         self._text: dict[str, list[str]] = {}
         self._taxon_id: int | None = None
         self._group = ""
+        self._group_options: list[tuple[int, int, str]] = []
         self._option: tuple[int, int] | None = None
 
     def _inside(self, role: str) -> bool:
-        return any(r == role for _, r in self._stack)
+        return self._open[f":{role}"] > 0
+
+    def _end_option(self, label: str = "") -> None:
+        """Keep the option at hand; one without a label is named by its number."""
+        if self._option:
+            self._group_options.append((*self._option, label or f"option_{self._option[1]}"))
+        self._option = None
+
+    def end_group(self) -> None:
+        """Keep the options of a named group, with the category of its first one."""
+        self._end_option()
+        if self._group:
+            self.options += [(c, o, self._group, label, self._group_options[0][0]) for c, o, label in self._group_options]
+        self._group, self._group_options = "", []
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -228,7 +245,7 @@ class _KeyPage(HTMLParser):
             role = "family" if FAMILY_CLASS in classes else "taxon" if TAXON_CLASS in classes else ""
             self._text, self._taxon_id = {}, None
         elif tag == "div" and re.match(r"char\d+$", a.get("id", "")):
-            role, self._group = "group", ""
+            role, self._group, self._group_options = "group", "", []
         elif tag == "a" and "href" in a and self._inside("taxon") and "link" not in self._text:
             found = re.search(r"taxon=(\d+)", a["href"])
             self._taxon_id = int(found.group(1)) if found else None
@@ -241,10 +258,12 @@ class _KeyPage(HTMLParser):
             elif self._option:
                 role, self._text["option"] = "option", []
         elif tag == "input" and self._inside("group") and a.get("type") == "checkbox" and a.get("name") == "attr[]":
+            self._end_option()
             found = re.match(r"(\d+)-(\d+)", a.get("value", ""))
             self._option = (int(found.group(1)), int(found.group(2))) if found else None
         if tag not in VOID:
             self._stack.append((tag, role))
+            self._open.update((tag, f":{role}"))
 
     def handle_data(self, data: str) -> None:
         for role, slot in (("family", "family"), ("link", "link"), ("name", "name"), ("group_name", "group"), ("option", "option")):
@@ -252,10 +271,11 @@ class _KeyPage(HTMLParser):
                 self._text.setdefault(slot, []).append(data.strip())
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(t == tag for t, _ in self._stack):
+        if not self._open[tag]:
             return
         while self._stack:
             top, role = self._stack.pop()
+            self._open.subtract((top, f":{role}"))
             if role == "family":
                 self._family = "".join(self._text.get("family", []))
             elif role == "taxon" and self._taxon_id is not None:
@@ -263,9 +283,10 @@ class _KeyPage(HTMLParser):
                 self.taxa.append((len(self.taxa) + 1, self._taxon_id, name, self._family))
             elif role == "group_name":
                 self._group = "".join(self._text.get("group", [])).rstrip("?").strip()
-            elif role == "option" and self._option:
-                self.options.append((*self._option, self._group, "".join(self._text.get("option", []))))
-                self._option = None
+            elif role == "option":
+                self._end_option("".join(self._text.get("option", [])))
+            elif role == "group":
+                self.end_group()
             if top == tag:
                 return
 
@@ -283,7 +304,7 @@ _PAGE_TYPE = T.StructType(
         ),
         T.StructField(
             "options",
-            _rows_of(category_id=T.IntegerType(), option_id=T.IntegerType(), category=T.StringType(), label=T.StringType()),
+            _rows_of(category_id=T.IntegerType(), option_id=T.IntegerType(), category=T.StringType(), label=T.StringType(), group_id=T.IntegerType()),
         ),
     ]
 )
@@ -296,10 +317,11 @@ def _key_page(html: pd.Series) -> pd.DataFrame:
         page = _KeyPage()
         page.feed(text or "")
         page.close()
+        page.end_group()
         out.append(
             (
                 [dict(zip(("pos", "taxon_id", "scientific_name", "family"), t)) for t in page.taxa],
-                [dict(zip(("category_id", "option_id", "category", "label"), o)) for o in page.options],
+                [dict(zip(("category_id", "option_id", "category", "label", "group_id"), o)) for o in page.options],
             )
         )
     return pd.DataFrame(out, columns=["taxa", "options"])
@@ -321,11 +343,14 @@ def listed_taxa(parsed: DataFrame, *keep: str) -> DataFrame:
 
 
 def filter_options(parsed: DataFrame, known: dict[int, str] | None = KNOWN_CATEGORIES) -> DataFrame:
-    """Distinct (category_id, option_id, category, option_column); known ids keep their name."""
+    """Distinct (category_id, option_id, category, option_column).
+
+    A group whose first option belongs to a known category has its name, any other its own.
+    """
     rows = parsed.select(F.explode("options").alias("o")).select("o.*").distinct()
     name = slug(F.col("category"))
     if known:
-        name = F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("category_id")], name)
+        name = F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("group_id")], name)
     return rows.select(
         "category_id", "option_id", name.alias("category"), F.concat(name, F.lit("__"), slug(F.col("label"))).alias("option_column")
     )

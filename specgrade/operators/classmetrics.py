@@ -75,7 +75,7 @@ def summary(df: DataFrame, true: str, pred: str, by: str | list[str] = ()) -> Da
     )
 
 
-def confusion(df: DataFrame, true: str, pred: str, by: str | list[str] = (), dense: bool = True) -> DataFrame:
+def confusion(df: DataFrame, true: str, pred: str, by: str | list[str] = (), dense: bool = False) -> DataFrame:
     """Confusion counts (true, pred, n); dense over the sorted union of labels.
 
     The dense form pairs labels with labels: its size is the square of the number of classes,

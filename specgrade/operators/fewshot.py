@@ -215,7 +215,8 @@ def _blocked(queries, items, keys, item_keys, by, k, metric, schema, block_rows)
                 found.append(_score_block(piece, keys, side, item_keys, _matrix(side["_x"]), k + 1, metric))
         return pd.concat(found) if found else pd.DataFrame(columns=schema.fieldNames())
 
-    pairs = q.groupBy("_qb", "_xb").cogroup(x.groupBy("_qb", "_xb")).applyInPandas(score, schema)
+    # Blocks of different models never meet.
+    pairs = q.groupBy(*by, "_qb", "_xb").cogroup(x.groupBy(*by, "_qb", "_xb")).applyInPandas(score, schema)
     lead = F.round("l2_distance", 12).asc() if metric == "l2" else F.round("dot", 12).desc()
     # A query has at most (k + 1) rows per item block here.
     ranked = W.partitionBy(*keys).orderBy(lead, *[F.col(f"item_{c}") for c in item_keys])

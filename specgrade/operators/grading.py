@@ -36,7 +36,7 @@ def map_predictions(values: DataFrame, rules: DataFrame, key: str | list[str]) -
     chosen = F.when(usable & (F.size(hits) > 0), hits[0]["option_column"])
     return (
         values.withColumn("_text", F.lower(F.trim(F.coalesce(F.col("raw"), F.lit("")))))
-        .join(F.broadcast(per_category), "category")
+        .join(per_category, "category")
         .withColumn("_chosen", chosen)
         .withColumn("_rule", F.explode("rules"))
         .select(

@@ -115,12 +115,11 @@ def top_errors(df: DataFrame, true: str, pred: str, top: int = 15) -> DataFrame:
 
 def error_pattern(errors: DataFrame, true: str, pred: str) -> DataFrame:
     """Verdict on the most frequent confusion: single pair or several alike."""
-    ends = errors.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(true).alias("t"), F.col(pred).alias("p")))).alias("e")
-    )
+    top = errors.orderBy(F.desc("n"), true, pred).limit(5)
+    ends = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(true).alias("t"), F.col(pred).alias("p")))).alias("e"))
     e = F.col("e")
     tied = (F.size(e) > 1) & (F.try_element_at(e["m"], F.lit(1)) == F.try_element_at(e["m"], F.lit(2)))
-    total = F.aggregate(F.slice(e["m"], 1, 5), F.lit(0).cast("long"), lambda s, m: s - m)
+    total = F.aggregate(e["m"], F.lit(0).cast("long"), lambda s, m: s - m)
     single = F.concat_ws(" -> ", F.try_element_at(e["t"], F.lit(1)), F.try_element_at(e["p"], F.lit(1)))
     return ends.where(F.size(e) > 0).select(
         F.when(tied, "multiple pairs").otherwise(single).alias("pattern"), total.alias("top5_errors")

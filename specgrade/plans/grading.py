@@ -213,7 +213,7 @@ l AS (SELECT trait, pl AS l FROM p UNION SELECT trait, tl FROM p)
 SELECT a.trait, a.l AS true_label, b.l AS pred_label, (SELECT count(*) FROM p WHERE p.trait = a.trait AND tl = a.l AND pl = b.l) AS n FROM l a JOIN l b USING (trait)""",
 )
 def trait_confusion(t: Tables) -> DataFrame:
-    return cm.confusion(gr.confusion_pairs(scored(t)), "true_label", "pred_label", "trait")
+    return cm.confusion(gr.confusion_pairs(scored(t)), "true_label", "pred_label", "trait", dense=True)
 
 
 @query(
@@ -224,7 +224,7 @@ l AS (SELECT a AS l FROM p UNION SELECT b FROM p), c AS (SELECT a, b, count(*) A
 SELECT x.l AS true_label, y.l AS pred_label, coalesce(n, 0) AS n FROM l x CROSS JOIN l y LEFT JOIN c ON a = x.l AND b = y.l""",
 )
 def class_confusion(t: Tables) -> DataFrame:
-    return cm.confusion(flag_predictions(t), "truth", "guess")
+    return cm.confusion(flag_predictions(t), "truth", "guess", dense=True)
 
 
 def flag_predictions(t: Tables) -> DataFrame:

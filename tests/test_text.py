@@ -129,3 +129,24 @@ def test_key_page(spark):
     matrix = {(r["taxon_id"], r["option_column"]): r["value"] for r in an.matrix_from_pages(pages).collect()}
     assert matrix[(200, "leaf_type__simple")] == 1 and matrix[(100, "leaf_type__simple")] == 0
     assert matrix[(100, "leaf_type__uncoded")] == 1 and matrix[(200, "leaf_type__uncoded")] == 0
+
+
+def test_odd_key_pages(spark):
+    box = '<input type="checkbox" name="attr[]" value="{}">'
+    odd = (
+        '<div id="char5"><span class="dynamlang">Leaf Arrangement</span><div>' + box.format("5-1") + "</div><div>" + box.format("6-2") + "<span>two<wbr>parts</span></div></div>"
+        '<div id="char6"><div>' + box.format("9-1") + '<span>nameless</span></div></div><div id="key-taxa"><source><wbr><div class="taxon-div"><a href="x?taxon=5"><i>A b</i></a></div></div>'
+    )
+    (page,) = an.parse_key_pages(spark.createDataFrame([(odd,)], "html string")).collect()
+    assert [(o["category_id"], o["option_id"], o["label"]) for o in page["options"]] == [(5, 1, "option_1"), (6, 2, "twoparts")]
+    assert [t["taxon_id"] for t in page["taxa"]] == [5]
+    named = an.filter_options(an.parse_key_pages(spark.createDataFrame([(odd,)], "html string")))
+    assert {r["option_column"] for r in named.collect()} == {"leaf_arrangement__option_1", "leaf_arrangement__twoparts"}
+
+
+def test_json_cut_back_to_the_last_comma(spark):
+    texts = ['{"a": 1, "b": "tex', '{"a":1}\n``` thanks', '{"a": "x{y", "b": 1}', '{"a": [1, 2, {"c": 3, "d', "no json"]
+    rows = an.parse_json_answers(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).collect()
+    got = {r["id"]: (r["json"], r["recovery"]) for r in rows}
+    assert got[0] == ('{"a": 1}', "repaired") and got[1] == ('{"a":1}', "extracted")
+    assert got[2] == ('{"a": "x{y", "b": 1}', "direct") and got[3] == got[4] == (None, "failed")
