@@ -21,6 +21,8 @@ from specgrade.operators.ranking import exact_percentile
 # A model of up to this many vectors is shipped to the tasks (100 MB at 768 dimensions).
 SHIP_ROWS = 16384
 BLOCK_ROWS = 4096
+# Scores that are held at once: 16 MB for each array of them.
+TILE_SCORES = 2_000_000
 
 
 def pool(images: DataFrame, group: str | list[str], vector: str = "embedding") -> DataFrame:
@@ -169,6 +171,13 @@ def _split(pdf: pd.DataFrame, by: list[str]) -> dict:
     return {k if isinstance(k, tuple) else (k,): part for k, part in pdf.groupby(by, sort=False)}
 
 
+def _tiles(queries: pd.DataFrame, items: int) -> Iterator[pd.DataFrame]:
+    """Runs of queries whose scores against all items fill a bounded array."""
+    rows = max(1, TILE_SCORES // max(1, items))
+    for start in range(0, len(queries), rows):
+        yield queries.iloc[start : start + rows]
+
+
 def _shipped(queries, model, keys, item_keys, by, k, metric, schema) -> DataFrame:
     """Score against a model whose size was checked: no shuffle at all."""
     model = model.sort_values(by + item_keys, kind="stable")
@@ -184,7 +193,8 @@ def _shipped(queries, model, keys, item_keys, by, k, metric, schema) -> DataFram
             for key, piece in _split(pdf, by).items():
                 if key in shared.value and len(piece):
                     found, x = shared.value[key]
-                    yield _score_block(piece, keys, found, item_keys, x, k, metric)
+                    for tile in _tiles(piece, len(found)):
+                        yield _score_block(tile, keys, found, item_keys, x, k, metric)
 
     return queries.mapInPandas(score, schema)
 
@@ -212,7 +222,8 @@ def _blocked(queries, items, keys, item_keys, by, k, metric, schema, block_rows)
             side = sides.get(key)
             if side is not None and len(side) and len(piece):
                 side = side.sort_values(item_keys, kind="stable").reset_index(drop=True)
-                found.append(_score_block(piece, keys, side, item_keys, _matrix(side["_x"]), k + 1, metric))
+                x = _matrix(side["_x"])
+                found += [_score_block(tile, keys, side, item_keys, x, k + 1, metric) for tile in _tiles(piece, len(side))]
         return pd.concat(found) if found else pd.DataFrame(columns=schema.fieldNames())
 
     # Blocks of different models never meet.

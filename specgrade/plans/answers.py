@@ -372,7 +372,7 @@ def evidence_documents(t: Tables) -> DataFrame:
         "individual_id", "section_no", "section", "f.*"
     )
     preds = specimen_predictions(t).withColumn("rank_no", F.lit(1)).withColumn("rank", F.lit("species"))
-    passages = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("description"))
+    passages = t.documents.select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(200)).alias("description"))
     hits = (
         specimen_hits(t).where("pos <= 3").join(passages, "vec_id")
         .select("individual_id", "pos", F.col("species").cast("string").alias("taxon"), F.lit("species").alias("rank"), "score", "description")

@@ -88,7 +88,8 @@ def images(t: Tables) -> DataFrame:
 
 
 def split_images(t: Tables, seeds=SEED) -> DataFrame:
-    out = sp.group_split(images(t), seeds=seeds)
+    name = f"split-{seeds}" if isinstance(seeds, int) else "split-" + "-".join(map(str, seeds))
+    out = t.once(name, lambda: sp.group_split(images(t), seeds=seeds))
     return out.drop("seed") if isinstance(seeds, int) else out
 
 

@@ -7,18 +7,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from specgrade.session import materialise
+
 
 class Tables:
     """Lazy access to the parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several branches of a query read, stored by the first of them."""
+        if name not in self.kept:
+            self.kept[name] = materialise(build(), name)
+        return self.kept[name]
+
     def spread(self, name: str, *columns: str, rows_per_task: int = 20_000) -> DataFrame:
         """A table whose few files would leave cores idle, dealt out to more tasks.
 
