@@ -292,13 +292,12 @@ def modal_traits(t: Tables) -> DataFrame:
 @query(
     "view_values",
     "D2",
-    f"{BASE} SELECT specimen, source, trait, row_number() OVER (PARTITION BY specimen, source, trait ORDER BY pos, raw) AS view_no, raw, token FROM tok WHERE source = 'rater_b'",
+    f"{BASE} SELECT specimen, source, trait, row_number() OVER (PARTITION BY specimen, source, trait ORDER BY pos, raw) AS view_no, raw, token FROM tok",
 )
 def view_values(t: Tables) -> DataFrame:
     from specgrade.operators.ranking import ordered_rank
 
-    rows = tokens(t).where("source = 'rater_b'")
-    return ordered_rank(rows, ["specimen", "source", "trait"], "pos", [F.col("raw")], "view_no").select(
+    return ordered_rank(tokens(t), ["specimen", "source", "trait"], "pos", [F.col("raw")], "view_no").select(
         "specimen", "source", "trait", "view_no", "raw", "token"
     )
 
@@ -306,10 +305,10 @@ def view_values(t: Tables) -> DataFrame:
 @query(
     "pair_details",
     "J7 T1",
-    f"{FULL} SELECT axis, trait, specimen, value_a, value_b, value_a = value_b AS agree FROM pairs WHERE axis = 'a_vs_b' ORDER BY agree, specimen",
+    f"{FULL} SELECT axis, trait, specimen, value_a, value_b, value_a = value_b AS agree FROM pairs ORDER BY agree, specimen",
 )
 def pair_details(t: Tables) -> DataFrame:
-    rows = pairs(t).where("axis = 'a_vs_b'").select("axis", "trait", "specimen", "value_a", "value_b", "agree")
+    rows = pairs(t).select("axis", "trait", "specimen", "value_a", "value_b", "agree")
     return ag.review_order(rows, "specimen")
 
 
