@@ -25,7 +25,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specgrade.llm.common import spread
 from specgrade.llm.shingles import WordHashes, chain
@@ -203,7 +203,7 @@ def _write(files: DataFrame, path: str) -> None:
     files.withColumn("data", F.col("data").cast("string")).write.partitionBy("name", "shard").text(path)
 
 
-def _read(root: DataFrame | None, spark, path: str, name: str, schema: str, unpack) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str, schema: str, unpack) -> DataFrame:
     """Rows that ``unpack`` makes of the files of a name; no rows if there are none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +248,11 @@ def fit(docs: DataFrame, text: str = "text", rows_per_shard: int = 4_000) -> Kne
     bits = min(16, max(2, (docs.count() // rows_per_shard).bit_length()))
     path = new_path(spark, "bigrams")
     _write(_merge(_count(texts, bits), bits), path)
-    names = set() if not docs.head(1) else {"words", "totals", "links"}
     numbers = lambda data: [pa.RecordBatch.from_arrays([pa.array([np.frombuffer(data, np.int64).tolist()], pa.list_(pa.int64()))], ["x"])]
     add = lambda rows, k: [int(v or 0) for v in rows.agg(*[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(k)]).first()]
-    if not names:
+    if not docs.head(1):
         return KneserNey(path, bits, 0, 0, 0, discounts([0] * 4), discounts([0] * 4), 0.0)
-    pair = add(_read(None, spark, path, "totals", "x array<long>", numbers), 5)
+    pair = add(_read(spark, path, "totals", "x array<long>", numbers), 5)
     d = discounts(pair)
     schema = "shard int, ids binary, high binary, counts binary, more array<binary>"
 
@@ -265,7 +264,7 @@ def fit(docs: DataFrame, text: str = "text", rows_per_shard: int = 4_000) -> Kne
     def linked(data: bytes) -> Iterator[pa.RecordBatch]:
         yield _word_rows([(s, [f[0], f[1], None, *f[2:]]) for s, f in _split_parts(data)])
 
-    both = _read(None, spark, path, "words", schema, counted).union(_read(None, spark, path, "links", schema, linked))
+    both = _read(spark, path, "words", schema, counted).union(_read(spark, path, "links", schema, linked))
 
     def merge(key, table):
         shard, ids, columns = key[0].as_py(), [], [[] for _ in range(5)]
@@ -289,7 +288,7 @@ def fit(docs: DataFrame, text: str = "text", rows_per_shard: int = 4_000) -> Kne
 
     words_path = f"{path}-words"
     _write(both.groupBy("shard").applyInArrow(merge, "name string, shard int, data binary"), words_path)
-    tokens, words, bigrams, n1, n2, n3, n4, many = add(_read(None, spark, words_path, "word_totals", "x array<long>", numbers), 8)
+    tokens, words, bigrams, n1, n2, n3, n4, many = add(_read(spark, words_path, "word_totals", "x array<long>", numbers), 8)
     e = discounts([n1, n2, n3, n4])
     return KneserNey(path, bits, tokens, words, bigrams, d, e, e[0] * n1 + e[1] * n2 + e[2] * many)
 
