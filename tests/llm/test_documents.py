@@ -213,3 +213,34 @@ def test_packing(spark):
         assert at <= capacity
     assert len(filled) == bins_of_best_fit([r.length for r in got], capacity)
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), capacity).collect() == []
+
+
+def test_added_tokens_inside_texts_have_their_own_ids(spark):
+    from specgrade.llm.queries import TOKENIZER
+
+    end = "<|endoftext|>"
+    texts = [
+        f"hello {end} world", end, end * 3, f"{end} {end}", f"a{end}b", f"a  {end}  b", f" {end}\n\n{end} ", f"it's{end}'s", "<|endoftext|", f"<{end}>", "é日本 🙂" + end + "é",
+    ]
+    folder = "/root/testdata/sf0.001"
+    texts += [t for (t,) in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect() if t]
+    texts += [t[: len(t) // 2] + end + t[len(t) // 2 :] for t in texts[-50:]]
+    oracle = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in oracle.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encoder(TOKENIZER)(texts) == want
+    assert want[0] == [31373, 220, 50256, 995]
+    (row,) = packing.pack_documents(spark.createDataFrame([(1, texts[0])], DOCS), TOKENIZER).collect()
+    assert (row.length, row.ids_crc32) == (5, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*want[0], 0])))
+
+
+def test_tokenizer_files_that_ranks_cannot_follow(tmp_path):
+    import json
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = json.load(open(path))
+    whole["added_tokens"][0]["lstrip"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(whole))
+    text = "hello <|endoftext|> world"
+    want = Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(str(other))([text]) == [want] and want != packing.encoder(path)([text])[0]
