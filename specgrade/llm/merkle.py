@@ -3,8 +3,9 @@
 A text is cut at line ends into paragraphs. The paragraphs up to one that ends a section form a
 section; a paragraph's own digest decides whether it ends one, so an edit moves no border but its
 own. Each level is a digest over the digests below it. Equal texts have equal roots, and differing
-branches locate edits. Below the paragraphs are pieces of a few words, cut by their own letters;
-their hashes measure how alike two texts are. Everything is a column expression.
+branches locate edits. Apart from the tree, the whole text is cut by its own bytes into pieces of a
+few letters; how many of them two texts share, each after the same neighbour and counted as often as it comes,
+measures how alike they are. Everything is a column expression.
 """
 
 from __future__ import annotations
@@ -19,8 +20,20 @@ from specgrade.session import materialise
 BUCKET_ROWS, MAX_BUCKETS = 4_000, 20_000
 # A paragraph whose digest ends so ends a section: one in eight.
 SECTION_END = "[08]$"
-# A piece ends after a word that ends in a mark or one of these letters, so most have two to five words.
-_PIECE_END = r"(?<=[.!?,;:|aeo])(?=\s)"
+# A piece ends after two bytes of UTF-8 whose mixed values add up to 0 modulo PIECE_BYTES, at PIECE_LIMIT bytes at the latest.
+PIECE_BYTES, PIECE_LIMIT = 8, 16
+
+
+def _piece_pattern() -> str:
+    """Matches one piece of a text whose characters stand for its bytes."""
+    mixed = lambda odd: [(b * odd % 256 ^ b * odd % 256 >> 4) % PIECE_BYTES for b in range(256)]
+    first, second = mixed(167), mixed(205)
+    some = lambda values, k: "[" + "".join(f"\\x{b:02x}" for b in range(256) if values[b] == k) + "]"
+    ends = "|".join(some(first, k) + some(second, -k % PIECE_BYTES) for k in range(PIECE_BYTES))
+    return f"(?s).{{0,{PIECE_LIMIT - 2}}}?(?:{ends})|.{{1,{PIECE_LIMIT}}}"
+
+
+_PIECE = _piece_pattern()
 
 
 def paragraph_hashes(text: Column) -> Column:
@@ -41,15 +54,43 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("root:"), F.array_join(sections, ",")), 256)
 
 
-def piece_set(text: Column) -> Column:
-    """The distinct hashes of the pieces below the paragraphs."""
-    return F.array_distinct(F.transform(F.split(text, rf"\n|{_PIECE_END}", -1), lambda s: F.xxhash64(s)))
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(text: Column) -> Column:
+    """The pieces of a text, as byte strings in order; the bytes at a border decide, whatever the script."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(_PIECE), F.lit(0))
+
+
+def piece_marks(text: Column) -> Column:
+    """A distinct hash for each piece of a text: of the piece, the one before it, and how often the two came already."""
+    paired = _bind(
+        F.transform(pieces(text), lambda p: F.xxhash64(p)),
+        lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.coalesce(F.get(h, i - 1), F.lit(0).cast("long")))),
+    )
+
+    def numbered(again: Column) -> Column:
+        starts = F.filter(F.transform(again, lambda x, i: F.when((i == 0) | (x != F.get(again, i - 1)), i)), lambda i: i.isNotNull())
+
+        def runs(first: Column) -> Column:
+            last = lambda j: F.coalesce(F.get(first, j + 1), F.size(again)) - 1
+            return F.flatten(F.transform(first, lambda a, j: F.transform(F.sequence(a, last(j)), lambda i: F.xxhash64(F.get(again, a), i - a))))
+
+        return _bind(starts, runs)
+
+    def marks(found: Column) -> Column:
+        again = _bind(F.sort_array(found), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+        return F.concat(F.array_distinct(found), _bind(again, numbered))
+
+    return _bind(paired, marks)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice likeness of the piece sets of two texts: 1 for equal, 0 for disjoint."""
-    common = F.size(F.array_intersect(a, b))
-    return (2.0 * common / (F.size(a) + F.size(b))).cast("double")
+    """Dice likeness of the piece marks of two texts, repeats counted: 1 for equal texts, 0 for disjoint ones."""
+    common, both = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both).cast("double")
 
 
 def differing_paragraphs(text: Column, other: Column) -> Column:
@@ -115,7 +156,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last half replaced by as much of the next document's beginning. Null text is
-    empty; empty texts are equal and have likeness 1. Other columns are left out, repeated rows stay.
+    empty; empty texts are equal and have likeness 1. Texts under 40 characters may be one or two pieces,
+    of which an edit can leave none. Other columns are left out, repeated rows stay.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -123,11 +165,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = ("text", "edited", "next_text")
     leaves = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[paragraph_hashes(F.col(c)).alias(f"{c}_paragraphs") for c in texts[:2]], *[piece_set(F.col(c)).alias(f"{c}_set") for c in texts],
+        *[paragraph_hashes(F.col(c)).alias(f"{c}_paragraphs") for c in texts[:2]], *[piece_marks(F.col(c)).alias(f"{c}_marks") for c in texts],
     )
     return leaves.select(
         "doc_id", "n_chars", "edited_sha256", root(section_hashes(F.col("text_paragraphs"))).alias("fingerprint"),
         root(section_hashes(F.col("edited_paragraphs"))).alias("edited_fingerprint"),
-        likeness(F.col("text_set"), F.col("edited_set")).alias("near_edited"),
-        likeness(F.col("text_set"), F.col("next_text_set")).alias("near_next"),
+        likeness(F.col("text_marks"), F.col("edited_marks")).alias("near_edited"),
+        likeness(F.col("text_marks"), F.col("next_text_marks")).alias("near_next"),
     )

@@ -244,3 +244,27 @@ def test_tokenizer_files_that_ranks_cannot_follow(tmp_path):
     text = "hello <|endoftext|> world"
     want = Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
     assert packing.encoder(str(other))([text]) == [want] and want != packing.encoder(path)([text])[0]
+
+
+def test_likeness_in_any_script_order_and_number(spark):
+    halves = {
+        "repeated": ("wort " * 400, "other words here " * 100), "russian": ("съешь ещё этих мягких французских булок да выпей чаю", "широкая электрификация южных губерний даст мощный толчок"),
+        "chinese": ("今天天气很好。我们一起去公园散步。晚上回家吃饭。", "这本书讲述了一个古老的故事。作者生活在南方。"), "no spaces": ("abcdefghij" * 30, "zyxwvutsrq" * 30),
+        "consonants": ("string length growth thing myth " * 5, "north south depth width " * 8),
+    }
+    rows = []
+    for name, (text, other) in halves.items():
+        half = len(text) // 2
+        rows += [(name, text, text[: len(text) - half] + other[:half], 0.2, 0.8), (name, text, text, 1.0, 1.0), (name, text, other, 0.0, 0.1)]
+    lines = [f"line number {i} says {i * i}" for i in range(40)]
+    rows += [("reordered", "\n".join(lines), "\n".join(reversed(lines)), 0.3, 0.99), ("more often", "same line\n" * 10, "same line\n" * 90, 0.05, 0.4), ("empty", "", "x", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "name string, a string, b string, low double, high double")
+    marks = df.select("*", merkle.piece_marks(F.col("a")).alias("x"), merkle.piece_marks(F.col("b")).alias("y"))
+    for r in marks.select("name", "low", "high", merkle.likeness(F.col("x"), F.col("y")).alias("like"), F.size("x").alias("n"), F.size(F.array_distinct("x")).alias("k")).collect():
+        assert r.low <= r.like <= r.high, r
+        assert r.n == r.k
+
+
+def test_first_half_counts_in_every_longer_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 40")
+    assert merkle.fingerprints(docs).where("near_edited <= 0").count() == 0
