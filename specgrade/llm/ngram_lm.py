@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays.
 
-Counting. Tasks turn texts into word ids (40-bit hashes) and count the words and bigrams of a
+Counting. Tasks turn texts into word ids (64-bit hashes) and count the words and bigrams of a
 block of texts. The counts are shuffled by hash as compact arrays; a shard merges them by sorting. A
 frequent word or bigram thus costs one entry a block, and shards are even because they are cut by
 hash. The bigram shards also tell each word its number of predecessors and of followers by count, again
@@ -33,14 +33,12 @@ from specgrade.session import new_path
 
 # Tokens that a task counts or scores at once.
 BLOCK_TOKENS = 1_000_000
-ID_BITS = 40
-_MASK = np.uint64((1 << ID_BITS) - 1)
 START, END = np.uint64(0), np.uint64(1)
 
 
 def _ids(words: WordHashes, text: str | None) -> np.ndarray:
     """Word ids of a text, the end included; ids 0 and 1 are the start and the end."""
-    found = words.of(text or "") & _MASK
+    found = words.of(text or "")
     return np.append(np.where(found < 2, found + np.uint64(2), found), END)
 
 
@@ -66,13 +64,13 @@ def _bigrams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return contexts, words
 
 
-def _narrow(ids: np.ndarray) -> list[bytes]:
-    """40-bit ids as 32 low bits and 8 high ones."""
-    return [ids.astype("<u4").tobytes(), (ids >> np.uint64(32)).astype(np.uint8).tobytes()]
+def _halves(ids: np.ndarray) -> list[bytes]:
+    """Ids as their 32 low bits and their 32 high ones."""
+    return [ids.astype("<u4").tobytes(), (ids >> np.uint64(32)).astype("<u4").tobytes()]
 
 
-def _wide(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32))
+def _whole(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(high, "<u4").astype(np.uint64) << np.uint64(32))
 
 
 def _counts(values: np.ndarray) -> bytes:
@@ -131,12 +129,12 @@ def _count(texts: DataFrame, bits: int) -> DataFrame:
             rows = []
             keys, at, (n,) = _sum_by(_word_key(words), [np.ones(len(words), np.int64)])
             for s, r in _cut(_shard(keys, bits), 1 << bits):
-                rows.append(("w", s, *_narrow(words[at[r]]), _counts(n[r]), None, None))
+                rows.append(("w", s, *_halves(words[at[r]]), _counts(n[r]), None, None))
             keys, at, (n,) = _sum_by(_bigram_key(contexts, words), [np.ones(len(words), np.int64)])
             for s, r in _cut(_shard(keys, bits), 1 << bits):
-                rows.append(("b", s, *_narrow(contexts[at[r]]), *_narrow(words[at[r]]), _counts(n[r])))
+                rows.append(("b", s, *_halves(contexts[at[r]]), *_halves(words[at[r]]), _counts(n[r])))
             starts = np.array([len(block)], np.int64)
-            rows.append(("w", int(_shard(_word_key(np.array([START])), bits)[0]), *_narrow(np.array([START])), _counts(starts), None, None))
+            rows.append(("w", int(_shard(_word_key(np.array([START])), bits)[0]), *_halves(np.array([START])), _counts(starts), None, None))
             yield _part(rows)
 
     return texts.mapInArrow(count, _PARTS)
@@ -152,7 +150,7 @@ def _merge(parts: DataFrame, bits: int) -> DataFrame:
     def merge(key, table):
         kind, shard = key[0].as_py(), key[1].as_py()
         read = lambda name: [x.as_py() for x in table.column(name)]
-        ids = lambda low, high: np.concatenate([_wide(x, y) for x, y in zip(read(low), read(high))])
+        ids = lambda low, high: np.concatenate([_whole(x, y) for x, y in zip(read(low), read(high))])
         files = []
         if kind == "w":
             words, n = ids("a", "b"), np.concatenate([_read_counts(x) for x in read("c")])
@@ -182,7 +180,7 @@ def _merge(parts: DataFrame, bits: int) -> DataFrame:
 
 
 def _shard_part(ids: np.ndarray, sums: list[np.ndarray], shard: int) -> bytes:
-    body = b"".join(len(x).to_bytes(8, "little") + x for x in (*_narrow(ids), *[_counts(s) for s in sums]))
+    body = b"".join(len(x).to_bytes(8, "little") + x for x in (*_halves(ids), *[_counts(s) for s in sums]))
     return shard.to_bytes(4, "little") + len(body).to_bytes(8, "little") + body
 
 
@@ -259,7 +257,7 @@ def fit(docs: DataFrame, text: str = "text", rows_per_shard: int = 4_000) -> Kne
     def counted(data: bytes) -> Iterator[pa.RecordBatch]:
         ids, n = np.frombuffer(data, np.int64).reshape(2, -1)
         ids = ids.view(np.uint64)
-        yield _word_rows([(int(_shard(_word_key(ids[:1]), bits)[0]), [*_narrow(ids), _counts(n)])] if len(ids) else [])
+        yield _word_rows([(int(_shard(_word_key(ids[:1]), bits)[0]), [*_halves(ids), _counts(n)])] if len(ids) else [])
 
     def linked(data: bytes) -> Iterator[pa.RecordBatch]:
         yield _word_rows([(s, [f[0], f[1], None, *f[2:]]) for s, f in _split_parts(data)])
@@ -269,7 +267,7 @@ def fit(docs: DataFrame, text: str = "text", rows_per_shard: int = 4_000) -> Kne
     def merge(key, table):
         shard, ids, columns = key[0].as_py(), [], [[] for _ in range(5)]
         for low, high, counts, more in zip(*[table.column(c).to_pylist() for c in ("ids", "high", "counts", "more")]):
-            ids.append(_wide(low, high))
+            ids.append(_whole(low, high))
             nothing = np.zeros(len(ids[-1]), np.int64)
             given = [_read_counts(counts), *[nothing] * 4] if counts else [nothing, *[_read_counts(m) for m in more]]
             for column, values in zip(columns, given):

@@ -63,6 +63,19 @@ def test_model_equals_a_plain_one(spark, monkeypatch, block):
         assert (r.base_score, r.score) == (pytest.approx(w[2], rel=1e-6), pytest.approx(w[3], rel=1e-6))
 
 
+def test_words_that_share_40_bits_of_their_hash_are_counted_apart(spark):
+    import xxhash
+
+    one, two = "w1148563", "w3906839"
+    assert (xxhash.xxh3_64_intdigest(one) ^ xxhash.xxh3_64_intdigest(two)) % 2**40 == 0
+    train, asked = [f"{one} a {one} b", "a b"], [f"{one} a", f"{two} a"]
+    model = ngram_lm.fit(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert [got[i].n_known for i in (0, 1)] == [3, 2]
+    both = ngram_lm.fit(spark.createDataFrame([(0, f"{one} {two}")], "doc_id long, text string"))
+    assert (both.words, both.bigrams) == (3, 3)
+
+
 def test_model_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     model = ngram_lm.fit(docs.limit(0))
