@@ -1,9 +1,8 @@
 """Exact row positions and percentiles that never put an unbounded group into one task.
 
-``row_number`` over a group would sort the group in one task. Here each group is cut into
-order-preserving buckets: bucket sizes are counted with map-side combine, a running sum over the
-bucket sizes gives each bucket its offset, and ``row_number`` only runs inside a bucket. The same
-plan serves tables of every size.
+``row_number`` over a group would sort the group in one task. Here the rows are dealt into sorted
+ranges (or hash buckets); counts of the ranges give each its offset, and only the place inside a
+range is counted row by row. The same plan serves tables of every size.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from specgrade.session import materialise
 # Hexadecimal digits of the hash that name a bucket: 4,096 buckets in each group.
 HASH_DIGITS = 3
 
-_G, _B, _BEFORE = "_group", "_bucket", "_before"
+_G, _B, _BEFORE, _AT = "_group", "_bucket", "_before", "_at"
 
 
 def exact_rank(
@@ -78,6 +77,46 @@ def hash_rank(
     return exact_rank(df, group, order, F.substring("_hash", 1, digits), rank, total).drop("_hash")
 
 
+def positions(
+    df: DataFrame,
+    group: str | Iterable[str],
+    order: Iterable[Column],
+    rank: str = "rank",
+    total: str | None = None,
+    parts: int | None = None,
+) -> DataFrame:
+    """Add the 1-based position of each row in its group, for groups of any size, in one shuffle.
+
+    Spark deals the rows into sorted ranges of (group, order). A row's position in the whole order is
+    its ordinal in its range plus the sizes of the ranges before it, and its position in the group
+    is the distance to the group's first row. No window runs over rows, and a large group is many
+    ranges. The ranges are written once: their borders are samples, which a second evaluation
+    could draw otherwise. The table of range sizes has one row for each range.
+    """
+    group, order = names(group), list(order)
+    keys = [*[F.col(g) for g in group], *order]
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    stored = materialise(dealt.sortWithinPartitions(*keys).withColumn(_AT, F.monotonically_increasing_id()), "ranges")
+    # The id holds the range in its upper bits and the ordinal in the lower 33.
+    part = F.shiftright(_AT, 33).alias("_part")
+    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(_BEFORE),
+        *([F.sum("_n").over(W.partitionBy(F.lit(0))).alias(total)] if total and not group else []),
+    )
+    whole = (
+        stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(_AT, F.col(_BEFORE) + F.col(_AT).bitwiseAND((1 << 33) - 1) + 1).drop("_part", _BEFORE)
+    )
+    if not group:
+        return whole.withColumnRenamed(_AT, rank)
+    # A struct key matches rows whose group columns are null.
+    keyed = whole.withColumn(_G, F.struct(*group))
+    firsts = keyed.groupBy(_G).agg(F.min(_AT).alias("_first"), *([F.count(F.lit(1)).alias(total)] if total else []))
+    return keyed.join(firsts, _G).withColumn(rank, F.col(_AT) - F.col("_first") + 1).drop(_G, _AT, "_first")
+
+
 def ordered_rank(
     df: DataFrame,
     group: str | Iterable[str],
@@ -89,16 +128,9 @@ def ordered_rank(
 ) -> DataFrame:
     """Exact position of each row in its group, ordered by ``lead``, then by ``then``; nulls first.
 
-    ``lead`` may be of any orderable type. Spark deals the rows into ranges of the whole order,
-    so neither a large group nor a repeated ``lead`` fills one range, unless ``then`` does not
-    tell its rows apart. The ranges are written once: their borders are samples, which a
-    second evaluation could draw otherwise. ``parts`` sets the number of ranges.
+    ``lead`` may be of any orderable type. ``parts`` sets the number of ranges.
     """
-    group, order = names(group), [F.col(lead).asc(), *then]
-    keys = [*[F.col(g) for g in group], *order]
-    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-    ranged = materialise(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
-    return exact_rank(ranged, group, order, F.col("_part"), rank, total).drop("_part")
+    return positions(df, group, [F.col(lead).asc(), *then], rank, total, parts)
 
 
 def exact_percentile(
@@ -111,22 +143,38 @@ def exact_percentile(
 
     ``values``: output column -> (value column, fraction). A null group is a group; one
     without values has null percentiles. The built-in percentile keeps every distinct value of
-    a group in one task; here the values are ranked in ranges and only the two rows around each
-    position are kept.
+    a group in one task; here equal values are counted on the map side, so a repeated value is
+    one row for each task, the distinct values are dealt into ranges, and running sums of
+    their counts find the two values around each position. All columns share one pass.
     """
     group = names(group)
     key = (F.struct(*group) if group else F.lit(0)).alias(_G)
-    result = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(*group, key)
-    for out, (column, fraction) in values.items():
-        some = df.where(F.col(column).isNotNull()).select(*group, F.col(column).cast("double").alias("_v"))
-        ranked = ordered_rank(some, group, "_v", (), "_rank", "_total", parts)
+    columns = sorted({column for column, _ in values.values()})
+    value = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+    rows = df.select(key, F.explode(value).alias("_m")).select(_G, "_m.*").where("_v is not null")
+    counted = rows.groupBy(_G, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    keys = [F.col(c) for c in (_G, "_c", "_v")]
+    dealt = counted.repartitionByRange(parts, *keys) if parts else counted.repartitionByRange(*keys)
+    ranged = materialise(dealt.withColumn(_B, F.spark_partition_id()), "values")
+    whole, ahead = W.partitionBy(_G, "_c"), W.unboundedPreceding
+    offsets = ranged.groupBy(_G, "_c", _B).agg(F.sum("_n").alias("_s")).select(
+        _G, "_c", _B, F.sum("_s").over(whole).alias("_total"),
+        F.coalesce(F.sum("_s").over(whole.orderBy(_B).rowsBetween(ahead, -1)), F.lit(0)).alias(_BEFORE),
+    )
+    inside = W.partitionBy(_G, "_c", _B).orderBy("_v").rowsBetween(ahead, -1)
+    first = F.col(_BEFORE) + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    placed = ranged.join(offsets, [_G, "_c", _B]).withColumn("_first", first)
+
+    def weighed(column: str, fraction: float) -> Column:
         at = F.lit(fraction) * (F.col("_total") - 1)
         low, share = F.floor(at), at - F.floor(at)
-        around = ranked.where((F.col("_rank") - 1).between(low, low + 1))
-        weight = F.when(F.col("_rank") - 1 == low, 1 - share).otherwise(share)
-        picked = around.groupBy(key).agg(F.sum(F.col("_v") * weight).alias(out))
-        result = result.join(picked, _G, "left")
-    return result.drop(_G)
+        holds = lambda k: (F.col("_first") <= k) & (k < F.col("_first") + F.col("_n"))
+        weight = F.when(holds(low) & holds(low + 1), 1.0).when(holds(low), 1 - share).when(holds(low + 1), share)
+        return F.sum(F.when(F.col("_c") == column, F.col("_v") * weight))
+
+    picked = placed.groupBy(_G).agg(*[weighed(c, f).alias(out) for out, (c, f) in values.items()])
+    groups = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(*group, key)
+    return groups.join(picked, _G, "left").drop(_G)
 
 
 def top_per_group(
