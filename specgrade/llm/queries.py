@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, topk, warc
+from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, resample, topk, warc
 from specgrade.llm.common import crc_mod, spread
 from specgrade.session import local_table, new_path
 
@@ -121,3 +121,50 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @_query
 def op6_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.fingerprints(_table(spark, folder, "documents"))
+
+
+@_query
+def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+# crc32 byte by byte, with a table of the 256 remainders.
+ORACLE_SQL["op11_target_resampling"] = """
+WITH remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, s: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tab
+), texts AS (
+  SELECT 'c' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT side, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words
+), counted AS (
+  SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL
+), distinct_runs AS (
+  SELECT DISTINCT f FROM counted
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM distinct_runs
+), hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)),
+      lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM hexed, remainders
+), buckets AS (
+  SELECT side, b, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+), sums AS (
+  SELECT coalesce(sum(n) FILTER (side = 'c'), 0) AS s_all, coalesce(sum(n) FILTER (side = 't'), 0) AS t_all FROM buckets
+), gains AS (
+  SELECT r.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(c.n, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS b) r CROSS JOIN sums
+  LEFT JOIN buckets c ON c.b = r.b AND c.side = 'c' LEFT JOIN buckets t ON t.b = r.b AND t.side = 't'
+), weights AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (b) WHERE side = 'c' GROUP BY id
+), scored AS (
+  SELECT d.id AS doc_id, len(d.w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words d LEFT JOIN weights USING (id) WHERE d.side = 'c'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
