@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    root = urlparse(shared_folder(spark)).path.rstrip("/") + "/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not urlparse(path).path.startswith(root):
+            raise ValueError(f"{path} is not below the shared folder")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a local relation, so that the optimizer knows its size."""
     columns = [c.split()[0] for c in schema.split(", ")]
