@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, resample, topk, warc
+from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, resample, topk, vector_codes, warc
 from specgrade.llm.common import crc_mod, spread
 from specgrade.session import local_table, new_path
 
@@ -168,3 +168,42 @@ WITH remainders AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
 """
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, folder, "embeddings"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain assignment of all parts to all entries, once for each round."""
+    assign = """a{n} AS MATERIALIZED (
+  SELECT vec_id, label, p, v, arg_min(e, d * 256 + e) AS e, min(d) AS d
+  FROM (SELECT x.vec_id, x.label, x.p, x.v, b.e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM parts x JOIN b{n} b USING (p)) GROUP BY ALL
+)"""
+    move = """b{m} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{n}) GROUP BY p, e, i)
+    GROUP BY p, e) m USING (p, e)
+)"""
+    steps = [s for n in range(rounds) for s in (assign.format(n=n), move.format(n=n, m=n + 1))] + [assign.format(n=rounds)]
+    return f"""
+WITH good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS v FROM good, (SELECT unnest(range(4)) AS p)
+), b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY e < 256
+), {", ".join(steps)}, errors AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM errors
+"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _codes_sql()
