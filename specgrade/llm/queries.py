@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from specgrade.llm import chat, jaccard, langid, merkle, mixing, ngram_lm, packing, pii, resample, topk, vector_codes, warc
+from specgrade.llm import chat, jaccard, langid, merkle, minhash, mixing, ngram_lm, packing, pii, resample, topk, vector_codes, warc
 from specgrade.llm.common import crc_mod, spread
 from specgrade.session import local_table, new_path
 
@@ -207,3 +207,8 @@ FROM errors
 
 
 ORACLE_SQL["op13_vector_codes"] = _codes_sql()
+
+
+@_query
+def op12_minhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, folder, "documents"), words=5, threshold=Fraction(17, 20))
