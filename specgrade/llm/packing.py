@@ -3,8 +3,8 @@
 Lengths are at most ``capacity``, so the packing depends only on how many pieces have each
 length. Spark counts them; the driver packs the histogram: the lengths go from long to short, and
 a segment tree over remaining capacities finds the tightest open sequence in logarithmic time,
-once for each run of equal pieces that meets equal sequences. The plan this yields has at most
-``capacity``² entries whatever the number of documents. Each piece then finds its place in the
+once for each run of equal pieces that meets equal sequences. The size of the plan this yields is
+bounded by ``capacity`` alone, whatever the number of documents. Each piece then finds its place in the
 plan by its length and its rank among the pieces of that length. No document text and no list of
 documents reaches the driver, and no group of pieces one task.
 """
@@ -57,28 +57,46 @@ class CapacityTree:
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, pieces, offset), sorted by length and rank."""
+    """Rows (length, first rank, first sequence, pieces, offset), sorted by length and rank.
+
+    A sequence that took a piece is the tightest one while another of that length fits, so it
+    is filled up before the next of its space is opened; the last one may take fewer.
+    """
     tree, spans, rows, opened = CapacityTree(capacity), defaultdict(list), [], 0
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
+
+        def fill(space: int, first: int, sequences: int, each: int) -> None:
+            """Put ``each`` pieces into every one of some equal sequences."""
+            nonlocal rank, left
+            for layer in range(each):
+                rows.append((length, rank, first, sequences, capacity - space + layer * length))
+                rank, left = rank + sequences, left - sequences
+            rest = space - each * length
+            if rest:
+                spans[rest].append((first, sequences))
+                tree.set(rest, tree.open[rest + tree.leaves] + sequences)
+
         while left:
             space = tree.tightest(length)
-            if space < 0:
-                # A piece that fits no open sequence starts one; as many as fit go into each.
-                space, first = capacity, opened
-                n = -(-left // (capacity // length))
+            if space < 0:  # a piece that fits no open sequence starts one
+                space = capacity
+                each = space // length
+                first, n = opened, -(-left // each)
                 opened += n
-                spans[space].append((first, n))
-            first, n = spans[space].pop()
-            used = min(n, left)
-            if used < n:
-                spans[space].append((first + used, n - used))
-            rows.append((length, rank, first, used, capacity - space))
-            spans[space - length].append((first, used))
-            tree.set(space, sum(k for _, k in spans[space]) if space < capacity else 0)
-            if space - length:
-                tree.set(space - length, sum(k for _, k in spans[space - length]))
-            rank, left = rank + used, left - used
+            else:
+                each = space // length
+                first, n = spans[space].pop()
+                tree.set(space, tree.open[space + tree.leaves] - n)
+            full = min(n, left // each)
+            if full:
+                fill(space, first, full, each)
+            if full < n and left:  # fewer than fill one sequence
+                fill(space, first + full, 1, left)
+                full += 1
+            if full < n:
+                spans[space].append((first + full, n - full))
+                tree.set(space, tree.open[space + tree.leaves] + n - full)
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 

@@ -163,7 +163,7 @@ def test_mixture_edges(spark):
     assert mixing.mix(df.where("n = 0"), F.col("n")).count() == 2
 
 
-def bins_of_best_fit(lengths, capacity):
+def free_spaces(lengths, capacity):
     space = []
     for n in sorted(lengths, reverse=True):
         fits = [s for s in space if s >= n]
@@ -172,17 +172,27 @@ def bins_of_best_fit(lengths, capacity):
             space.append(min(fits) - n)
         else:
             space.append(capacity - n)
-    return len(space)
+    return sorted(space)
 
 
-@pytest.mark.parametrize("capacity", [1, 7, 64])
-def test_plan_equals_best_fit_decreasing(capacity):
-    rng = random.Random(capacity)
-    for _ in range(40):
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 200))]
-        cells = [(s + k, x) for n, _, s, m, at in packing.plan(Counter(lengths), capacity).tolist() for k in range(m) for x in range(at, at + n)]
+@pytest.mark.parametrize("capacity", [1, 7, 64, 90])
+@pytest.mark.parametrize("seed", range(5))
+def test_plan_equals_best_fit_decreasing(capacity, seed):
+    rng = random.Random(1000 * seed + capacity)
+    histograms = [Counter({30: 4}), Counter({4: 3, 10: 5, 34: 2, 15: 7, 56: 9, 16: 9})] if capacity >= 64 else []
+    for _ in range(60):
+        few = rng.sample(range(1, capacity + 1), min(capacity, rng.choice([2, 6, 40])))
+        histograms.append(Counter(rng.choice(few) for _ in range(rng.randint(0, 200))))
+    for counts in histograms:
+        lengths = list(counts.elements())
+        rows = packing.plan(counts, capacity).tolist()
+        cells = [(s + k, x) for n, _, s, m, at in rows for k in range(m) for x in range(at, at + n)]
         assert len(cells) == len(set(cells)) == sum(lengths)
-        assert len({s for s, _ in cells}) == bins_of_best_fit(lengths, capacity)
+        used = Counter(s for s, _ in cells)
+        assert all({x for t, x in cells if t == s} == set(range(n)) for s, n in list(used.items())[:5])  # gapless
+        assert sorted(capacity - n for n in used.values()) == free_spaces(lengths, capacity)
+        for length in counts:  # ranks are numbered without gaps
+            assert sorted(r + k for n, r, _, m, _ in rows if n == length for k in range(m)) == list(range(counts[length]))
 
 
 def test_packing(spark):
@@ -211,7 +221,7 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(filled) == bins_of_best_fit([r.length for r in got], capacity)
+    assert len(filled) == free_spaces([r.length for r in got], capacity)
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), capacity).collect() == []
 
 
