@@ -14,30 +14,40 @@ EXACT_BELOW = 25
 WEAK_CEILING, SMALL_GAP, DOMINANT = 0.4, 0.05, 0.9
 
 
-def modal_values(long: DataFrame, keys: str | list[str], value: str, pos: str) -> DataFrame:
-    """Mode per group ignoring nulls; ties go to the value seen first, then the smaller one.
+def value_counts(long: DataFrame, keys: str | list[str], value: str, pos: str) -> DataFrame:
+    """(keys, value, n, first): how often each value occurs and where first, combined on the map side.
 
-    Two combining aggregations; a group may hold any share of the rows.
+    Modes of any coarser grouping follow from this table, so it can be stored and shared.
     """
+    return long.groupBy(*names(keys), value).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
+
+
+def modal_counts(counts: DataFrame, keys: str | list[str], value: str) -> DataFrame:
+    """Mode per group of a table of ``value_counts`` whose keys include ``keys``."""
     keys = names(keys)
-    counts = long.groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first")
-    )
+    added = counts.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum("n").alias("_n"), F.min("first").alias("_first"))
     some = F.col("_v").isNotNull()
-    best = F.struct(F.col("_n"), -F.col("_first"))
-    top = F.max(F.when(some, best))
+    best = F.when(some, F.struct(F.col("_n"), -F.col("_first")))
     return (
-        counts.groupBy(*keys)
+        added.groupBy(*keys)
         .agg(
             F.sum("_n").alias("n_views"),
             F.sum(F.when(some, F.col("_n")).otherwise(0)).alias("n_present"),
-            F.max_by("_v", F.when(some, F.struct(F.col("_n"), -F.col("_first")))).alias("mode"),
-            top["_n"].alias("n_mode"),
+            F.max_by("_v", best).alias("mode"),
+            F.max(best)["_n"].alias("n_mode"),
         )
         .withColumn("consistency", ratio(F.col("n_mode"), F.col("n_present")))
     )
 
 
+def modal_values(long: DataFrame, keys: str | list[str], value: str, pos: str) -> DataFrame:
+    """Mode per group ignoring nulls; ties go to the value seen first, then the smaller one.
+
+    Combining aggregations only; a group may hold any share of the rows.
+    """
+    return modal_counts(value_counts(long, keys, value, pos), keys, value)
+
+
 def pair_sources(a: DataFrame, b: DataFrame, keys: str | list[str], value: str = "token") -> DataFrame:
     """Inner join of two value tables on specimen and trait; pairs with a null side drop out."""
     keys = names(keys)

@@ -145,14 +145,17 @@ def parse_json_answers(answers: DataFrame, text: str = "text") -> DataFrame:
     cleaned = F.trim(F.col("_c"))
     outer = F.regexp_extract(F.col("_c"), r"(?s)\{.*\}", 0)
     fixed = _repair(F.col("_c"))
-    steps = answers.withColumn("_c", strip_fence(F.trim(strip_thinking(F.col(text)))))
     shorter = _repair(F.regexp_extract(F.col("_c"), r"(?s)^(.*),", 1))
-    ok, ok_outer, ok_fixed, ok_shorter = (is_json(c) for c in (cleaned, outer, fixed, shorter))
-    return steps.select(
-        *answers.columns,
-        F.when(ok, cleaned).when(ok_outer, outer).when(ok_fixed, fixed).when(ok_shorter, shorter).alias("json"),
-        F.when(ok, "direct").when(ok_outer, "extracted").when(ok_fixed | ok_shorter, "repaired").otherwise("failed").alias("recovery"),
-    )
+    steps = answers.withColumn("_c", strip_fence(F.trim(strip_thinking(F.col(text)))))
+
+    def attempt(candidate: Column, name: str, then: Column) -> Column:
+        """The candidate if it is valid; it is built and parsed once, and ``then`` only if it is not."""
+        return F.element_at(F.transform(F.array(candidate), lambda c: F.when(is_json(c), F.struct(c.alias("json"), F.lit(name).alias("recovery"))).otherwise(then)), 1)
+
+    result = F.struct(F.lit(None).cast("string").alias("json"), F.lit("failed").alias("recovery"))
+    for candidate, name in ((shorter, "repaired"), (fixed, "repaired"), (outer, "extracted"), (cleaned, "direct")):
+        result = attempt(candidate, name, result)
+    return steps.withColumn("_c", result).select(*answers.columns, F.col("_c.json").alias("json"), F.col("_c.recovery").alias("recovery"))
 
 
 # ---- key: value answers ------------------------------------------------------------------

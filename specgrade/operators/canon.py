@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions import fixed_values as fv
 from specgrade.functions.text import normalize
+from specgrade.session import materialise
 
 
 def trait_dimension(traits: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -46,12 +47,13 @@ def to_tokens(long: DataFrame, dimension: DataFrame, gradable_only: bool = True)
     """Add ``token`` (null when missing or unmapped) and ``is_blank`` to (trait, raw, ...).
 
     Rows of unknown traits drop out. Raw values repeat heavily, so each distinct value is
-    resolved once and joined back inside Spark, which broadcasts the resolved values when they
-    turn out to be small and splits a value that fills a partition.
+    resolved once. The resolved values are stored: Spark then knows their size before it plans the
+    join, sends small ones to the long rows instead of shuffling those by a few hot values, and
+    shuffles and splits only beyond its broadcast threshold.
     """
     specs = dimension.where("gradable") if gradable_only else dimension
     keyed = long.withColumn("_raw", F.coalesce("raw", F.lit("")))
-    values = canonical_values(keyed.select("trait", F.col("_raw").alias("raw")), specs).withColumnRenamed("raw", "_raw")
+    values = materialise(canonical_values(keyed.select("trait", F.col("_raw").alias("raw")), specs), "values").withColumnRenamed("raw", "_raw")
     return keyed.join(values, ["trait", "_raw"]).select(*long.columns, "token", "is_blank")
 
 

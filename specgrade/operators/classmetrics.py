@@ -38,7 +38,12 @@ def label_counts(pairs: DataFrame, by: str | list[str]) -> DataFrame:
 
 def per_class(df: DataFrame, true: str, pred: str, by: str | list[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class; classes are the union of both sides."""
-    counts = label_counts(pair_counts(df, by, true, pred), by)
+    return class_scores(pair_counts(df, by, true, pred), by)
+
+
+def class_scores(pairs: DataFrame, by: str | list[str] = ()) -> DataFrame:
+    """Class metrics from counts (by, a, b, n)."""
+    counts = label_counts(pairs, by)
     p = ratio0(F.col("n_both"), F.col("n_pred"))
     r = ratio0(F.col("n_both"), F.col("n_true"))
     return counts.select(
@@ -55,7 +60,11 @@ def per_class(df: DataFrame, true: str, pred: str, by: str | list[str] = ()) ->
 
 def summary(df: DataFrame, true: str, pred: str, by: str | list[str] = ()) -> DataFrame:
     """Accuracy, macro/micro/weighted F1, macro and weighted precision/recall, sizes."""
-    classes = per_class(df, true, pred, by)
+    return summarise(per_class(df, true, pred, by), by)
+
+
+def summarise(classes: DataFrame, by: str | list[str] = ()) -> DataFrame:
+    """Summary per group from the metrics of its classes."""
     total = F.sum("support")
 
     def weighted(c: str) -> Column:
@@ -122,14 +131,20 @@ def kappa(pairs: DataFrame, by: str | list[str] = ()) -> DataFrame:
     )
 
 
-def top_k_accuracy(ranked: DataFrame, key: str | list[str], pos: str, predicted: str, truth: str, k: int, by=()) -> DataFrame:
-    """Share of keys whose truth is among the first ``k`` predictions."""
-    hit = F.max(((F.col(pos) <= k) & (F.col(predicted) == F.col(truth))).cast("int"))
-    return (
-        ranked.groupBy(*names(by), *names(key)).agg(hit.alias("_hit")).groupBy(*names(by)).agg(
-            F.avg("_hit").alias(f"top{k}_accuracy")
-        )
-    )
+def top_k_share(hit: Column, classes: Column, k: int) -> Column:
+    """Aggregate: share of hits among the first ``k``, null where fewer than ``k`` classes can be
+    predicted, since every class would be among them. ``classes`` is constant in a group."""
+    return F.when(F.max(classes) >= k, F.avg(hit.cast("int")))
+
+
+def top_k_accuracy(
+    ranked: DataFrame, key: str | list[str], pos: str, predicted: str, truth: str, k: int, by=(), classes: Column | None = None
+) -> DataFrame:
+    """Share of keys whose truth is among the first ``k`` predictions; see ``top_k_share`` for ``classes``."""
+    hit = F.max((F.col(pos) <= k) & (F.col(predicted) == F.col(truth)))
+    known = F.lit(k) if classes is None else F.max(classes)
+    per_key = ranked.groupBy(*names(by), *names(key)).agg(hit.alias("_hit"), known.alias("_classes"))
+    return per_key.groupBy(*names(by)).agg(top_k_share(F.col("_hit"), F.col("_classes"), k).alias(f"top{k}_accuracy"))
 
 
 def binary_metrics(df: DataFrame, tp: str, fp: str, support: str, n_specimens: str) -> DataFrame:

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from specgrade.functions.columns import names
 from specgrade.functions.vectors import as_double, l2_normalize, mean_vector, subtract
 from specgrade.operators.ranking import exact_percentile
+from specgrade.session import materialise
 
-# A model of up to this many vectors is shipped to the tasks (100 MB at 768 dimensions).
-SHIP_ROWS = 16384
+# A model whose vectors take up to this many bytes is shipped to the tasks.
+SHIP_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 # Scores that are held at once: 16 MB for each array of them.
 TILE_SCORES = 2_000_000
@@ -84,7 +85,7 @@ def unit_centroids(
     )
 
 
-def _schema(queries: DataFrame, query_keys: list[str], items: DataFrame, item_keys: list[str]) -> T.StructType:
+def match_schema(queries: DataFrame, query_keys: list[str], items: DataFrame, item_keys: list[str]) -> T.StructType:
     measures = ("l2_distance", "next_l2", "dot", "cosine", "exp_sum")
     return T.StructType(
         [queries.schema[k] for k in query_keys]
@@ -94,15 +95,15 @@ def _schema(queries: DataFrame, query_keys: list[str], items: DataFrame, item_ke
     )
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def _score_block(
+def score_block(
     pdf: pd.DataFrame, query_keys: list[str], items: pd.DataFrame, item_keys: list[str], x: np.ndarray, k: int, metric: str
 ) -> pd.DataFrame:
     """First ``k`` items per query row, in (score, item order)."""
-    q = _matrix(pdf["_q"])
+    q = matrix(pdf["_q"])
     dots = q @ x.T
     q2 = np.einsum("ij,ij->i", q, q)[:, None]
     x2 = np.einsum("ij,ij->i", x, x)[None, :]
@@ -142,7 +143,7 @@ def nearest_items(
     query_vector: str = "embedding",
     item_vector: str = "centroid",
     metric: str = "l2",
-    ship_rows: int = SHIP_ROWS,
+    ship_bytes: int = SHIP_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest items per query with L2 distance, dot product and cosine.
@@ -154,14 +155,15 @@ def nearest_items(
     """
     by, item_keys = names(by), names(item_keys)
     keys = [*by, *[c for c in names(query_keys) if c not in by]]
-    items = items.select(*by, *item_keys, as_double(F.col(item_vector)).alias("_x"))
+    # The model is stored, so that it is fitted once however often it is read.
+    items = materialise(items.select(*by, *item_keys, as_double(F.col(item_vector)).alias("_x")), "model")
     queries = queries.select(*keys, as_double(F.col(query_vector)).alias("_q"))
-    schema = _schema(queries, keys, items, item_keys)
-    # One bounded fetch both checks the size and brings the model when it is small enough.
-    model = items.limit(ship_rows + 1).toPandas()
-    if len(model) <= ship_rows:
-        return _shipped(queries, model, keys, item_keys, by, k or max(1, len(model)), metric, schema)
-    return _blocked(queries, items, keys, item_keys, by, k or items.count(), metric, schema, block_rows)
+    schema = match_schema(queries, keys, items, item_keys)
+    # Width times rows bounds the bytes before anything is fetched; the vectors are as wide as the widest.
+    rows, width = items.agg(F.count(F.lit(1)), F.max(F.size("_x"))).first()
+    if rows * (width or 0) * 8 <= ship_bytes:
+        return _shipped(queries, items.toPandas(), keys, item_keys, by, k or max(1, rows), metric, schema)
+    return _blocked(queries, items, keys, item_keys, by, k or rows, metric, schema, block_rows)
 
 
 def _split(pdf: pd.DataFrame, by: list[str]) -> dict:
@@ -171,7 +173,7 @@ def _split(pdf: pd.DataFrame, by: list[str]) -> dict:
     return {k if isinstance(k, tuple) else (k,): part for k, part in pdf.groupby(by, sort=False)}
 
 
-def _tiles(queries: pd.DataFrame, items: int) -> Iterator[pd.DataFrame]:
+def tiles(queries: pd.DataFrame, items: int) -> Iterator[pd.DataFrame]:
     """Runs of queries whose scores against all items fill a bounded array."""
     rows = max(1, TILE_SCORES // max(1, items))
     for start in range(0, len(queries), rows):
@@ -182,7 +184,7 @@ def _shipped(queries, model, keys, item_keys, by, k, metric, schema) -> DataFram
     """Score against a model whose size was checked: no shuffle at all."""
     model = model.sort_values(by + item_keys, kind="stable")
     parts = {
-        key: (part[item_keys].reset_index(drop=True), _matrix(part["_x"]))
+        key: (part[item_keys].reset_index(drop=True), matrix(part["_x"]))
         for key, part in _split(model, by).items()
         if len(part)
     }
@@ -193,8 +195,8 @@ def _shipped(queries, model, keys, item_keys, by, k, metric, schema) -> DataFram
             for key, piece in _split(pdf, by).items():
                 if key in shared.value and len(piece):
                     found, x = shared.value[key]
-                    for tile in _tiles(piece, len(found)):
-                        yield _score_block(tile, keys, found, item_keys, x, k, metric)
+                    for tile in tiles(piece, len(found)):
+                        yield score_block(tile, keys, found, item_keys, x, k, metric)
 
     return queries.mapInPandas(score, schema)
 
@@ -222,8 +224,8 @@ def _blocked(queries, items, keys, item_keys, by, k, metric, schema, block_rows)
             side = sides.get(key)
             if side is not None and len(side) and len(piece):
                 side = side.sort_values(item_keys, kind="stable").reset_index(drop=True)
-                x = _matrix(side["_x"])
-                found += [_score_block(tile, keys, side, item_keys, x, k + 1, metric) for tile in _tiles(piece, len(side))]
+                x = matrix(side["_x"])
+                found += [score_block(tile, keys, side, item_keys, x, k + 1, metric) for tile in tiles(piece, len(side))]
         return pd.concat(found) if found else pd.DataFrame(columns=schema.fieldNames())
 
     # Blocks of different models never meet.

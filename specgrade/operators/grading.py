@@ -228,14 +228,13 @@ def score_predictions(truth: DataFrame, predictions: DataFrame, keys: str | list
     return joined.withColumn("result", classify_prediction(F.col("prediction"), F.col("truth")))
 
 
-def trait_scores(scored: DataFrame, by: str | list[str]) -> DataFrame:
-    """Verdict counts, accuracy, strict accuracy and abstention rate per group."""
+def _score_columns() -> list[Column]:
     r = F.col("result")
     ok = r.isin("exact_match", "parent_match")
     right, wrong, skip = count_where(ok), count_where(r == "mismatch"), count_where(r == "abstention")
     multi = (F.col("match_type") == "multi_label") & (r != "no_ground_truth")
     single = (F.col("match_type") != "multi_label") & (r != "no_ground_truth")
-    return scored.groupBy(*names(by)).agg(
+    return [
         count_where(r == "exact_match").alias("n_exact_match"),
         count_where(r == "parent_match").alias("n_parent_match"),
         wrong.alias("n_mismatch"),
@@ -250,7 +249,25 @@ def trait_scores(scored: DataFrame, by: str | list[str]) -> DataFrame:
         count_where(multi).alias("n_multi_label_gt"),
         ratio0(count_where(single & ok), count_where(single)).alias("exact_gt_accuracy"),
         ratio0(count_where(multi & ok), count_where(multi)).alias("multi_label_gt_accuracy"),
-    )
+    ]
+
+
+def trait_scores(scored: DataFrame, by: str | list[str]) -> DataFrame:
+    """Verdict counts, accuracy, strict accuracy and abstention rate per group."""
+    return scored.groupBy(*names(by)).agg(*_score_columns())
+
+
+def score_rollup(scored: DataFrame, model: str, trait: str, whole: str = "all") -> DataFrame:
+    """Scores per (model, trait), per model and over everything, in one aggregate with grouping sets.
+
+    ``whole`` names the level above: it stands in the trait, or in model and trait. A null model or
+    trait in the data stays null.
+    """
+    sets = [[model, trait], [model], []]
+    counted = scored.groupingSets(sets, model, trait).agg(*_score_columns(), F.grouping(model).alias("_m"), F.grouping(trait).alias("_t"))
+    level = lambda c, g: F.when(F.col(g) == 1, whole).otherwise(F.col(c)).alias(c)
+    rest = [c for c in counted.columns if c not in (model, trait, "_m", "_t")]
+    return counted.select(level(model, "_m"), level(trait, "_t"), *rest)
 
 
 def overall_scores(per_trait: DataFrame, by: str | list[str], legacy: bool = False) -> DataFrame:

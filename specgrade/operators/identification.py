@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from specgrade.functions import fixed_values as fv
-from specgrade.functions.columns import names, not_blank
-from specgrade.operators.classmetrics import summary
+from specgrade.functions.columns import count_where, names, not_blank
+from specgrade.operators.classmetrics import class_scores, summarise
 from specgrade.operators.taxonomy import compare_taxonomy
 
 
@@ -68,23 +68,37 @@ def grade_identification(records: DataFrame) -> DataFrame:
 
 
 def identification_metrics(graded: DataFrame, part: str | None = None) -> DataFrame:
-    """Accuracy and macro/weighted P/R/F1 per rank, overall and per part in one job."""
-    group = F.array(F.lit("all")) if part is None else F.filter(F.array(F.lit("all"), F.col(part)), lambda p: p.isNotNull())
-    rows = graded.withColumn("part_name", F.explode(group))
+    """Accuracy and macro/weighted P/R/F1 per rank, overall ("all") and per part.
+
+    Grouping sets count (part, rank, truth, guess) and (rank, truth, guess) in one aggregate, which is
+    combined on the map side; all figures follow from that table of label pairs.
+    """
     ranks = F.array(
         *[
             F.struct(
-                F.lit(r).alias("rank"), _norm(F.col(f"true_{r}")).alias("truth"),
-                _norm(F.col(f"pred_{r}")).alias("guess"), F.col(f"{r}_correct").alias("right"),
+                F.lit(r).alias("rank"), _norm(F.col(f"true_{r}")).alias("a"),
+                _norm(F.col(f"pred_{r}")).alias("b"), F.col(f"{r}_correct").alias("right"),
             )
             for r in fv.RANKS
         ]
     )
-    long = rows.where("not stage_error").select("part_name", F.explode(ranks).alias("r")).select("part_name", "r.*")
-    scores = summary(long, "truth", "guess", ["part_name", "rank"]).drop("accuracy", "num_classes", "micro_f1", "num_samples")
-    acc = long.groupBy("part_name", "rank").agg(F.avg(F.col("right").cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n_graded"))
-    errors = rows.groupBy("part_name").agg(F.count(F.when(F.col("stage_error"), 1)).alias("n_stage_error"))
-    return acc.join(scores, ["part_name", "rank"]).join(errors, "part_name")
+    # A failed stage is one row without a rank.
+    none = ranks[0].withField("rank", F.lit(None).cast("string")).withField("a", F.lit(None).cast("string")).withField("b", F.lit(None).cast("string"))
+    long = graded.select(
+        (F.col(part).cast("string") if part else F.lit(None).cast("string")).alias("part"),
+        F.explode(F.when(F.col("stage_error"), F.array(none)).otherwise(ranks)).alias("r"),
+    ).select("part", "r.*")
+    labels = ["rank", "a", "b"]
+    counted = long.groupingSets([["part", *labels], labels], "part", *labels).agg(
+        F.count(F.lit(1)).alias("n"), count_where(F.col("right")).alias("n_right"), F.grouping("part").alias("whole")
+    )
+    named = counted.where("whole = 1 or part is not null").withColumn("part_name", F.when(F.col("whole") == 1, "all").otherwise(F.col("part")))
+    by = ["part_name", "rank"]
+    some = named.where("rank is not null")
+    scores = summarise(class_scores(some.select(*by, "a", "b", "n"), by), by).drop("accuracy", "num_classes", "micro_f1", "num_samples")
+    acc = some.groupBy(*by).agg((F.sum("n_right") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_graded"))
+    errors = named.groupBy("part_name").agg(F.coalesce(F.sum(F.when(F.col("rank").isNull(), F.col("n"))), F.lit(0)).alias("n_stage_error"))
+    return acc.join(scores, by).join(errors, "part_name")
 
 
 def human_identifications(records: DataFrame, pos: str) -> DataFrame:

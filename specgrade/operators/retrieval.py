@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import names, not_blank, ratio0, require_columns
 from specgrade.functions.vectors import l2_normalize
-from specgrade.operators.fewshot import nearest_items
 from specgrade.operators.ranking import top_per_group
+from specgrade.operators.vectorlists import Lists, build, nearest
 
 # Signal thresholds and cut-offs.
 STRONG_SCORE, STRONG_SHARE = 0.5, 0.3
@@ -24,24 +24,23 @@ def search_table(descriptions: DataFrame, taxon: str, rank: str, description: st
 
 def search(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | Lists,
     query_key: str | list[str],
     index_key: str | list[str],
     top_k: int = 10,
     min_similarity: float = 0.0,
     query_vector: str = "embedding",
     index_vector: str = "embedding",
-    **options,
+    probes: int | None = None,
 ) -> DataFrame:
-    """Exact inner-product search; the minimum similarity applies after the cut at ``top_k``."""
-    found = nearest_items(
-        queries, index, top_k, query_key, index_key, (), query_vector, index_vector, "dot", **options
-    )
-    return (
-        found.withColumnRenamed("dot", "score")
-        .where(F.col("score") >= min_similarity)
-        .drop("l2_distance", "next_l2", "cosine", "exp_sum")
-    )
+    """Inner-product search: query keys, item keys, pos and score.
+
+    The minimum similarity applies after the cut at ``top_k``. ``index`` may be stored lists, so that
+    several searches share them. ``probes`` scans the nearest lists only (approximate); None is exact.
+    """
+    lists = index if isinstance(index, Lists) else build(index, index_key, index_vector)
+    found = nearest(queries, lists, top_k, query_key, query_vector, "dot", probes).rows
+    return found.withColumnRenamed("dot", "score").where(F.col("score") >= min_similarity).drop("l2_distance", "cosine")
 
 
 def cross_reference(

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions.columns import names, not_blank, require_columns, seeded_hash
 from specgrade.operators.ranking import exact_rank, hash_rank, ordered_rank, top_per_group
+from specgrade.session import materialise
 
 PARTITIONS = ("train", "val", "test")
+# Standard deviations of rows drawn for an episode beyond those needed: one pair in 10^8 is short.
+EXTRA = 6
 
 
 def _check_ratios(train: float, val: float, test: float) -> None:
@@ -217,24 +220,36 @@ def sample_episodes(
 ) -> DataFrame:
     """Few-shot episodes: ``n_way`` classes, ``k_shot`` support and ``n_query`` query rows each.
 
-    All episodes come from one job. Each record meets the episodes that drew its class by an
-    equi-join, and only the first ``k_shot + n_query`` rows per (episode, class) survive the
-    map side.
+    A class of n rows gives an episode its first rows in hash order, so only rows whose hash lies
+    below a threshold are wanted: that share of n that holds a few more than the rows needed. The
+    threshold is part of the join, and only rows below it leave it. (Episode, class) pairs that came
+    out short are topped up with the rest of their class, so the result is exact.
     """
     need = k_shot + n_query
+    wanted = max(0.0, need + EXTRA * (need**0.5 + 1))
     classes = records.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     short = F.concat(F.lit("class "), F.col(label).cast("string"), F.lit(" has too few rows"))
     drawn = classes.select(
         F.when(F.col("_n") < need, F.raise_error(short)).otherwise(F.col(label)).alias(label),
+        "_n",
         F.explode(F.sequence(F.lit(0), F.lit(episodes - 1))).alias("episode"),
     )
     if n_way is not None:
         order = [seeded_hash(seed, F.col("episode"), F.col(label)), F.col(label)]
         drawn = top_per_group(drawn, "episode", order, n_way, "_way").drop("_way")
-    rows = records.select(label, key).join(drawn, label)
-    order = [seeded_hash(seed, F.col("episode"), F.col(key)), F.col(key)]
+    # Eight hexadecimal digits; "g" is above all of them.
+    share = F.floor(F.lit(wanted) / F.col("_n") * float(1 << 32)).cast("long")
+    bound = F.when(F.col("_n") <= wanted, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(share)), 8, "0"))
+    drawn = materialise(drawn.select(label, "episode", bound.alias("_bound")), "drawn")
+    hashed = seeded_hash(seed, F.col("episode"), F.col(key))
+    below = F.substring(hashed, 1, 8) < F.col("_bound")
+    rows = records.select(label, key)
+    first = materialise(rows.join(drawn, label).where(below).select("episode", label, key), "first")
+    enough = first.groupBy("episode", label).agg(F.count(F.lit(1)).alias("_have")).where(F.col("_have") >= need)
+    lacking = drawn.join(enough, ["episode", label], "left_anti")
+    rest = rows.join(lacking, label).where(~below).select("episode", label, key)
     return (
-        top_per_group(rows, ["episode", label], order, need, "pos")
+        top_per_group(first.union(rest), ["episode", label], [hashed, F.col(key)], need, "pos")
         .withColumn("role", F.when(F.col("pos") <= k_shot, "support").otherwise("query"))
         .select("episode", "role", label, key, "pos")
     )

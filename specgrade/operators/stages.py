@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 STAGE_TYPE = "struct<data:string,skipped:boolean,error:string,elapsed_ms:double>"
 
@@ -74,3 +75,34 @@ def values_from_function(specimens: DataFrame, key: str, traits: list[str], fn:
     value = F.pandas_udf(fn, "string")
     rows = specimens.select(key, F.explode(F.array(*[F.lit(t) for t in traits])).alias("trait"))
     return rows.withColumn("token", value(F.col(key), F.col("trait")))
+
+
+def values_from_table_function(
+    rows: DataFrame, key: str, fn: Callable[[list[Row]], Iterable[tuple[str, str | None]]], order: str | None = None
+) -> DataFrame:
+    """(key, trait, token) from a user function that sees all rows of a specimen once.
+
+    ``fn`` gets the rows in ``order`` and yields (trait, token); it decides itself which traits a
+    specimen has. The function runs as a table function that asks Spark for the partitioning: rows
+    meet in the task of their key, and no product of specimens and traits is made. A specimen's rows
+    are held in memory while it is read.
+    """
+
+    class Values:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            fields = [T.StructField(key, table.dataType[key].dataType), T.StructField("trait", T.StringType()), T.StructField("token", T.StringType())]
+            return AnalyzeResult(T.StructType(fields), partitionBy=[PartitioningColumn(key)], orderBy=[OrderingColumn(order)] if order else [])
+
+        def __init__(self) -> None:
+            self.rows: list[Row] = []
+
+        def eval(self, row: Row):
+            self.rows.append(row)
+
+        def terminate(self):
+            if self.rows:
+                for trait, token in fn(self.rows):
+                    yield self.rows[0][key], trait, token
+
+    return F.udtf(Values)(rows.asTable())

@@ -116,30 +116,34 @@ def tokens(t: Tables) -> DataFrame:
     return canon.to_tokens(views(t), dimension(t))
 
 
-def modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
-    tok = tokens(t) if tok is None else tok
-    return ag.modal_values(tok, ["specimen", "source", "trait"], "token", "pos").withColumnRenamed("mode", "token")
+def counts(t: Tables) -> DataFrame:
+    """How often each token occurs per specimen, source, trait and condition, stored once for a query."""
+    keys = ["specimen", "source", "trait", "cond"]
+    return t.once("rater_counts", lambda: ag.value_counts(tokens(t), keys, "token", "pos"))
 
 
-def stored_modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
+def modes(t: Tables) -> DataFrame:
+    return ag.modal_counts(counts(t), ["specimen", "source", "trait"], "token").withColumnRenamed("mode", "token")
+
+
+def stored_modes(t: Tables) -> DataFrame:
     """Modes written once, for queries that read them in several branches."""
-    return materialise(modes(t, tok).select("specimen", "source", "trait", "token"), "modes")
+    return t.once("modes", lambda: modes(t).select("specimen", "source", "trait", "token"))
 
 
 def pairs(t: Tables, md: DataFrame | None = None) -> DataFrame:
     return ag.pair_axes(modes(t) if md is None else md, AXES, ["specimen", "trait"])
 
 
-def condition_modes(t: Tables, tok: DataFrame | None = None) -> DataFrame:
-    model = (tokens(t) if tok is None else tok).where("source = 'model'")
-    return ag.modal_values(model, ["specimen", "cond", "trait"], "token", "pos").withColumnRenamed("mode", "token")
+def condition_modes(t: Tables) -> DataFrame:
+    model = counts(t).where("source = 'model'")
+    return ag.modal_counts(model, ["specimen", "cond", "trait"], "token").withColumnRenamed("mode", "token")
 
 
-def condition_pairs(t: Tables, tok: DataFrame | None = None, md: DataFrame | None = None) -> DataFrame:
-    tok = tokens(t) if tok is None else tok
-    md = modes(t, tok) if md is None else md
+def condition_pairs(t: Tables, md: DataFrame | None = None) -> DataFrame:
+    md = modes(t) if md is None else md
     a = md.where("source = 'rater_a' and token is not null").select("specimen", "trait", F.col("token").alias("value_b"))
-    model = condition_modes(t, tok).where("token is not null")
+    model = condition_modes(t).where("token is not null")
     return model.select("specimen", "trait", F.col("cond").alias("condition"), F.col("token").alias("value_a")).join(
         a, ["specimen", "trait"]
     )
@@ -357,7 +361,8 @@ SELECT trait, coalesce(model_raw IS NOT NULL AND NOT is_blank AND model IS NULL,
 )
 def specimen_cells(t: Tables) -> DataFrame:
     tok = tokens(t)
-    md = stored_modes(t, tok)
+    found = ag.modal_values(tok, ["specimen", "source", "trait"], "token", "pos").withColumnRenamed("mode", "token")
+    md = t.once("modes", lambda: found.select("specimen", "source", "trait", "token"))
     cells = ag.specimen_cells(first_model_values(tok), rater(md, "rater_a"), rater(md, "rater_b"), ["specimen", "trait"], ("model", "rater_a"))
     return cells.groupBy("trait", "model_dropped", "counted", "agree").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("specimen").alias("n_specimens"), F.count("rater_b").alias("n_rater_b")
@@ -373,11 +378,10 @@ SELECT specimen, trait, max(a) AS rater_a, max(b) AS rater_b, string_agg(cond ||
  min(coalesce(token = a, false)::INT) = 1 AS all_agree, count(DISTINCT coalesce(token, '__missing__')) > 1 AS models_split FROM c GROUP BY ALL""",
 )
 def trait_comparison(t: Tables) -> DataFrame:
-    tok = tokens(t)
-    raters = modes(t, tok).groupBy("specimen", "trait").agg(
+    raters = modes(t).groupBy("specimen", "trait").agg(
         *[F.max(F.when(F.col("source") == s, F.col("token"))).alias(s) for s in ("rater_a", "rater_b")]
     )
-    cells = condition_modes(t, tok).select("specimen", "trait", F.col("cond").alias("model_name"), F.col("token").alias("model")).join(
+    cells = condition_modes(t).select("specimen", "trait", F.col("cond").alias("model_name"), F.col("token").alias("model")).join(
         raters, ["specimen", "trait"]
     )
     out = ag.trait_comparison(cells, ["specimen", "trait"])
@@ -410,10 +414,9 @@ ana AS (SELECT maj.trait, majority, ckap.cohen_kappa AS ceiling_kappa, best_kapp
 
 
 def analysis(t: Tables) -> tuple[DataFrame, DataFrame]:
-    tok = tokens(t)
-    md = stored_modes(t, tok)
+    md = stored_modes(t)
     # One row per condition and trait, read by the best-of and the ranking branch.
-    scores = materialise(ag.agreement(condition_pairs(t, tok, md), ["condition", "trait"]), "scores")
+    scores = materialise(ag.agreement(condition_pairs(t, md), ["condition", "trait"]), "scores")
     ceiling = ag.agreement(pairs(t, md).where("axis = 'a_vs_b'"), "trait")
     dist = ag.class_distribution(md.where("source = 'rater_a'"), vocabulary(t))
     majority = ag.majority_share(dist, "trait").select("trait", "majority")
@@ -468,6 +471,11 @@ def paired(t: Tables) -> DataFrame:
 _ERFC = """(exp(-({x}) * ({x})) * (1 / (1 + 0.3275911 * ({x}))) * (0.254829592 + (1 / (1 + 0.3275911 * ({x}))) * (-0.284496736 + (1 / (1 + 0.3275911 * ({x}))) *
  (1.421413741 + (1 / (1 + 0.3275911 * ({x}))) * (-1.453152027 + (1 / (1 + 0.3275911 * ({x}))) * 1.061405429)))))"""
 
+# Both branches: exact binomial below 25 discordant pairs, else the tail of the corrected statistic.
+P_VALUE = f"""CASE WHEN n_discordant = 0 THEN NULL WHEN n_discordant >= 25 THEN round({_ERFC.format(x='sqrt(chi2 / 2)')}, 4)
+ ELSE round(least(1.0, 2 * power(0.5::DOUBLE, n_discordant) * list_sum(list_transform(range(0, least(x, y) + 1),
+  lambda i: factorial(n_discordant::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((n_discordant - i)::INT)::DOUBLE)))), 4) END"""
+
 
 @query(
     "paired_change",
@@ -475,31 +483,30 @@ _ERFC = """(exp(-({x}) * ({x})) * (1 / (1 + 0.3275911 * ({x}))) * (0.254829592 +
     f"""{BASE}, {MODES}, {COND}, {CORRECT}, st AS (SELECT *, b_only_correct + a_only_correct AS n_discordant,
  power(abs(b_only_correct - a_only_correct) - 1, 2)::DOUBLE / nullif(b_only_correct + a_only_correct, 0) AS chi2 FROM mc)
 SELECT trait, n_paired, b_only_correct, a_only_correct, round(rate_delta, 6) AS rate_delta, n_discordant, round(chi2, 5) AS chi2,
- CASE WHEN n_discordant >= 25 THEN round({_ERFC.format(x='sqrt(chi2 / 2)')}, 4) END AS p_value FROM st""",
+ {P_VALUE} AS p_value FROM (SELECT trait, n_paired, b_only_correct, a_only_correct, b_only_correct AS x, a_only_correct AS y, rate_delta, n_discordant, chi2 FROM st)""",
 )
 def paired_change(t: Tables) -> DataFrame:
     out = ag.mcnemar(paired(t), "trait", "a", "b")
     return out.select(
         "trait", "n_paired", "b_only_correct", "a_only_correct", F.round("rate_delta", 6).alias("rate_delta"), "n_discordant",
-        F.round("chi2", 5).alias("chi2"), F.when(F.col("n_discordant") >= 25, F.round("p_value", 4)).alias("p_value"),
+        F.round("chi2", 5).alias("chi2"), F.round("p_value", 4).alias("p_value"),
     )
 
 
 @query(
     "paired_change_exact",
     "D16",
-    """WITH c AS (SELECT l_suppkey, l_returnflag = 'A' AS a, l_linestatus = 'O' AND l_tax < 0.02 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 35),
-m AS (SELECT l_suppkey, count(*) AS n_paired, count(*) FILTER (b AND NOT a) AS x, count(*) FILTER (a AND NOT b) AS y FROM c GROUP BY 1),
-k AS (SELECT m.*, unnest(range(0, least(x, y) + 1)) AS i FROM m),
-f AS (SELECT l_suppkey, n_paired, x, y, sum(factorial((x + y)::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((x + y - i)::INT)::DOUBLE)) AS s FROM k GROUP BY ALL)
-SELECT l_suppkey, n_paired, x AS b_only_correct, y AS a_only_correct, CASE WHEN x + y > 0 AND x + y < 25 THEN round(least(1.0, 2 * s * power(0.5::DOUBLE, x + y)), 6) END AS p_value FROM f""",
+    f"""WITH c AS (SELECT l_partkey, l_returnflag = 'A' AS a, l_linestatus = 'O' AND l_tax < 0.02 AS b FROM lineitem),
+m AS (SELECT l_partkey, count(*) AS n_paired, count(*) FILTER (b AND NOT a) AS x, count(*) FILTER (a AND NOT b) AS y FROM c GROUP BY 1)
+SELECT l_partkey, n_paired, x AS b_only_correct, y AS a_only_correct, {P_VALUE} AS p_value
+FROM (SELECT *, x + y AS n_discordant, power(abs(x - y) - 1, 2)::DOUBLE / nullif(x + y, 0) AS chi2 FROM m)""",
 )
 def paired_change_exact(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber = 7 and l_quantity > 35").select(
-        "l_suppkey", (F.col("l_returnflag") == "A").alias("a"), ((F.col("l_linestatus") == "O") & (F.col("l_tax") < 0.02)).alias("b")
+    rows = t.lineitem.select(
+        "l_partkey", (F.col("l_returnflag") == "A").alias("a"), ((F.col("l_linestatus") == "O") & (F.col("l_tax") < 0.02)).alias("b")
     )
-    out = ag.mcnemar(rows, "l_suppkey", "a", "b")
-    return out.select("l_suppkey", "n_paired", "b_only_correct", "a_only_correct", F.when(F.col("n_discordant") < 25, F.round("p_value", 6)).alias("p_value"))
+    out = ag.mcnemar(rows, "l_partkey", "a", "b")
+    return out.select("l_partkey", "n_paired", "b_only_correct", "a_only_correct", F.round("p_value", 4).alias("p_value"))
 
 
 @query(

@@ -15,16 +15,12 @@ from specgrade.plans.registry import Tables, query
 
 # ---- answers -----------------------------------------------------------------------------
 
-# A numbered form per conversation turn: three field lines, a noise line and the notes.
-FORM = """concat('{n1}. Trait (a / b): ', role, ' (said in turn ', cast(turn as varchar), ')', chr(10), 'noise without number', chr(10), '{n2}.  Margin: wavy: ', cast(length(text) as varchar),
- chr(10), '99. Unknown: x', chr(10), chr(10), 'F. Notes:  ', substr(replace(text, chr(10), ' '), 1, 40), ' (kept)', chr(10), '####')"""
-
-
+# A numbered form per conversation turn: three field lines, a noise line and the notes, which hold the whole text.
 def forms(t: Tables) -> DataFrame:
     text = F.concat(
         (F.col("turn") + 1).cast("string"), F.lit(". Trait (a / b): "), "role", F.lit(" (said in turn "), "turn", F.lit(")\nnoise without number\n"),
         F.lit("7.  Margin: wavy: "), F.length("text").cast("string"), F.lit("\n99. Unknown: x\n\nF. Notes:  "),
-        F.trim(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)), F.lit(" (kept)\n####"),
+        F.trim(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(" (kept)\n####"),
     )
     key = F.concat(F.lit("Fam_Gen_sp_S"), F.floor(F.col("conv_id") / 2))
     return t.conversations.select(F.concat(key.cast("string")).alias("answer_key"), F.col("conv_id").alias("doc"), F.col("turn").alias("source_idx"), text.alias("text"), "conv_id")
@@ -34,7 +30,7 @@ _FIELD = "['relative_position', 'spacing', 'type', 'compound_type', 'num_leaflet
 _SECTION = "['leaf_arrangement', 'leaf_arrangement', 'leaf_complexity', 'leaf_complexity', 'leaf_complexity', 'leaf_complexity', 'leaf_morphology', 'leaf_morphology', 'leaf_morphology', 'leaf_morphology', 'leaf_morphology', 'leaf_morphology']"
 FIELDS = f"""fl AS (SELECT conv_id, turn, {_SECTION}[turn + 1] AS section, {_FIELD}[turn + 1] AS field, role AS value, 0 AS i FROM conversations
  UNION ALL SELECT conv_id, turn, 'leaf_morphology', 'margin', 'wavy: ' || length(text), 2 FROM conversations
- UNION ALL SELECT conv_id, turn, 'notes', 'notes', trim(substr(replace(text, chr(10), ' '), 1, 40)) || ' (kept)', 5 FROM conversations)"""
+ UNION ALL SELECT conv_id, turn, 'notes', 'notes', trim(replace(text, chr(10), ' ')) || ' (kept)', 5 FROM conversations)"""
 
 
 @query(
@@ -110,14 +106,12 @@ def json_answers(t: Tables) -> DataFrame:
     return an.parse_json_answers(t.spread("events", "event_id", "event_type", "props").select("event_id", text.alias("text"))).select("event_id", "json", "recovery")
 
 
-KV = """concat('<think>plan: ', role, '</think>', chr(10), '1. Leaf Type: ', role, ' [NOTE]', chr(10), 'no colon here', chr(10), 'Length: ', length(text), ':', turn, chr(10), 'leaf type: last [REPORT]', chr(10), 'Extra', turn, ': y', chr(10), '####', chr(10), 'Length: 0')"""
-
-
+# Answers as key: value lines; one line holds the whole text.
 def kv_answers(t: Tables) -> DataFrame:
     last = F.when(F.col("turn") % 2 == 0, F.lit("\nleaf type: last [REPORT]")).otherwise("")
     text = F.concat(
         F.lit("<think>plan: "), "role", F.lit("</think>\n1. Leaf Type: "), "role", F.lit(" [NOTE]\nno colon here\nLength: "), F.length("text").cast("string"), F.lit(":"),
-        F.col("turn").cast("string"), last, F.lit("\n 2.1 Extra"), F.col("turn").cast("string"), F.lit(": y\n####\nLength: 0"),
+        F.col("turn").cast("string"), F.lit("\n3. Text: "), F.replace("text", F.lit("\n"), F.lit(" ")), last, F.lit("\n 2.1 Extra"), F.col("turn").cast("string"), F.lit(": y\n####\nLength: 0"),
     )
     return an.split_thinking(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("specimen"), text.alias("text")))
 
@@ -125,11 +119,11 @@ def kv_answers(t: Tables) -> DataFrame:
 @query(
     "key_value_answers",
     "R14",
-    """SELECT conv_id || '-' || turn AS specimen, 'plan: ' || role AS thinking, CASE WHEN turn % 2 = 0 THEN 'last' ELSE role END AS "leaf type", length(text) || ':' || turn AS length, '' AS colour FROM conversations""",
+    """SELECT conv_id || '-' || turn AS specimen, 'plan: ' || role AS thinking, CASE WHEN turn % 2 = 0 THEN 'last' ELSE role END AS "leaf type", length(text) || ':' || turn AS length, trim(replace(text, chr(10), ' ')) AS text, '' AS colour FROM conversations""",
 )
 def key_value_answers(t: Tables) -> DataFrame:
     rows = kv_answers(t)
-    wide = an.wide_answers(an.key_value_answers(rows, "specimen"), rows, "specimen", ["leaf type", "length", "colour"])
+    wide = an.wide_answers(an.key_value_answers(rows, "specimen"), rows, "specimen", ["leaf type", "length", "text", "colour"])
     return rows.select("specimen", "thinking").join(wide, "specimen")
 
 
@@ -139,7 +133,7 @@ def key_value_answers(t: Tables) -> DataFrame:
     "SELECT '1 extra' || turn AS name, count(*) AS n FROM conversations GROUP BY 1",
 )
 def unexpected_names(t: Tables) -> DataFrame:
-    return an.unexpected_names(an.key_value_answers(kv_answers(t), "specimen"), ["leaf type", "length", "colour"])
+    return an.unexpected_names(an.key_value_answers(kv_answers(t), "specimen"), ["leaf type", "length", "text", "colour"])
 
 
 # ---- key pages ---------------------------------------------------------------------------
@@ -186,15 +180,14 @@ def key_page_options(t: Tables) -> DataFrame:
 @query(
     "matrix_from_pages",
     "D28 D27",
-    f"""WITH {NAV}, tx AS (SELECT page_id, abs(hash_id) AS taxon FROM (SELECT page_id, unnest(list_transform(names, lambda n: length(n))) AS hash_id FROM nav)),
+    f"""WITH nav AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS names FROM pages), tx AS (SELECT page_id, abs(hash_id) AS taxon FROM (SELECT page_id, unnest(list_transform(names, lambda n: length(n))) AS hash_id FROM nav)),
 base AS (SELECT DISTINCT taxon FROM tx WHERE page_id % 5 = 0), op(option_column, r) AS (VALUES ('tone__low', 1), ('tone__high', 2)),
 val AS (SELECT taxon, option_column, max((m.page_id IS NOT NULL)::INT) AS value FROM base CROSS JOIN op LEFT JOIN (SELECT DISTINCT page_id % 5 AS page_id, taxon FROM tx) m ON m.taxon = base.taxon AND m.page_id = r GROUP BY ALL)
 SELECT taxon::BIGINT AS taxon_id, 'tone' AS category, option_column, value FROM val UNION ALL SELECT taxon, 'tone', 'tone__uncoded', (max(value) = 0)::INT FROM val GROUP BY taxon""".replace("base.taxon AND m.page_id = r GROUP BY ALL", "base.taxon AND m.page_id = r GROUP BY base.taxon, option_column").replace("SELECT taxon, option_column, max(", "SELECT base.taxon AS taxon, option_column, max("),
 )
 def matrix_from_pages(t: Tables) -> DataFrame:
-    # The taxon id of an entry is the length of its name; pages 0, 5, 10 ... are unfiltered.
-    start = F.regexp_replace("html", r"(?s)^.*?<nav><ul>", "")
-    names = F.regexp_extract_all(F.substring_index(start, "</ul></nav>", 1), F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    # Each link of a page is an entry whose taxon id is the length of its name; pages 0, 5, 10 ... are unfiltered.
+    names = F.regexp_extract_all("html", F.lit(r'<a href="[^"]*">([^<]*)</a>'), F.lit(1))
     entries = F.array_join(
         F.transform(names, lambda n: F.concat(F.lit('<div class="taxon-div"><a href="?taxon='), F.length(n), F.lit('">'), n, F.lit("</a></div>"))), ""
     )
@@ -315,9 +308,8 @@ def accuracy_by_signal(t: Tables) -> DataFrame:
 def evidence_inputs(t: Tables) -> DataFrame:
     """One row per pooled individual with the fields the quality flags read."""
     top1 = specimen_predictions(t).where("rank_position = 1").select("individual_id", F.col("softmax_score").alias("top_score"), "margin")
-    labels = pf.split_images(t).where("split_part = 'test'").groupBy("individual_id").agg(
-        F.collect_set(F.col("species").cast("string")).alias("image_labels")
-    )
+    # The label that each image gets by itself.
+    labels = pf.image_predictions(t).groupBy("individual_id").agg(F.collect_set(F.col("predicted").cast("string")).alias("image_labels"))
     # Trait counts come from the label numbers of the images.
     traits = pf.split_images(t).where("split_part = 'test'").groupBy("individual_id").agg(
         (F.count(F.lit(1)) + F.max("species")).alias("n_values"), F.max("species").alias("n_unclear")
@@ -334,7 +326,12 @@ def evidence_inputs(t: Tables) -> DataFrame:
     "quality_flags",
     "R21",
     f"""WITH {NEIGHBOURS}, tp AS (SELECT a.qid AS individual_id, a.p AS p1, a.p - b.p AS margin FROM sp_cen a JOIN sp_cen b ON a.qid = b.qid AND a.pos = 1 AND b.pos = 2),
-im AS (SELECT individual_id, count(*) + max(species) AS nv, max(species) AS nu, count(DISTINCT species) AS nl, array_to_string(list_sort(list(DISTINCT species::VARCHAR)), ', ') AS ls FROM rec WHERE split_part = 'test' GROUP BY 1)
+{pf.FIT.format(label='species')},
+il AS (SELECT vec_id, individual_id, species, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM rec WHERE split_part = 'test'),
+ix AS (SELECT vec_id, individual_id, species, d, v - mu AS x FROM il JOIN mu USING (d)), ino AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM ix GROUP BY 1),
+isc AS (SELECT vec_id, individual_id, species, lab, sqrt(sum((x / nrm - c) * (x / nrm - c))) AS l2 FROM ix JOIN ino USING (vec_id) JOIN cen USING (d) GROUP BY ALL),
+itop AS (SELECT * FROM isc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(l2, 12), lab) = 1),
+im AS (SELECT individual_id, count(*) + max(species) AS nv, max(species) AS nu, count(DISTINCT lab) AS nl, array_to_string(list_sort(list(DISTINCT lab::VARCHAR)), ', ') AS ls FROM itop GROUP BY 1)
 SELECT individual_id, concat_ws(' ; ', CASE WHEN nu >= 5 THEN 'Low morphological quality: ' || nu || ' of ' || nv || ' traits are unclear/not observed' END,
  CASE WHEN p1 < 0.12 THEN 'Low classification similarity: top prediction captures only ' || printf('%.1f', 100 * p1) || '% of total similarity (threshold: 12.0%)' END,
  CASE WHEN margin < 0.1 THEN 'Low decision margin: ' || printf('%.3f', margin) || ' between top-1 and top-2' END,

@@ -64,10 +64,10 @@ def image_records(t: Tables) -> DataFrame:
 @query(
     "missing_directories",
     "A2",
-    "SELECT c_custkey AS individual_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
+    "SELECT c_custkey AS individual_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey - o_custkey % 3 FROM orders)",
 )
 def missing_directories(t: Tables) -> DataFrame:
-    files = t.orders.where("o_totalprice > 450000").select(F.concat(F.lit("/img/"), "o_custkey").alias("directory"))
+    files = t.orders.select(F.concat(F.lit("/img/"), F.col("o_custkey") - F.col("o_custkey") % 3).alias("directory"))
     rows = catalog(t).withColumn("training_absolute_path", F.concat(F.lit("/img/"), "ID_YPS"))
     return ct.missing_directories(rows, files).select(F.col("ID_YPS").alias("individual_id"))
 

@@ -12,7 +12,8 @@ from specgrade.operators import conditions as cd, stages as st
 from specgrade.operators.agreement import mcnemar
 from specgrade.plans.agreement import rounded
 from specgrade.plans.fewshot import CENTER_IMAGES, FIT, IMG, PARTS, SCORES, split_images
-from specgrade.plans.registry import Tables, query
+from specgrade.plans import grading  # noqa: F401  (defines tables of the report)
+from specgrade.plans.registry import REGISTRY, Tables, query
 from specgrade.session import new_path
 from specgrade.sources.tables import read_condition_results, write_tables
 from specgrade.streaming import progress as pg
@@ -184,6 +185,62 @@ def stream_grading(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "stream_grading_bounded",
+    "S2",
+    "SELECT event_type AS condition, count(*) AS n, count(*) FILTER (value > 20) AS n_correct FROM events GROUP BY 1",
+)
+def stream_grading_bounded(t: Tables) -> DataFrame:
+    """State that forgets at once: every repeat is found in the stored output."""
+    path, log = new_path(t.spark, "graded"), new_path(t.spark, "graded-log")
+
+    def grade(batch: DataFrame) -> DataFrame:
+        return batch.select("event_id", F.col("event_type").alias("condition"), (F.col("value") > 20).alias("correct"))
+
+    pg.grade_incrementally(event_stream(t), grade, ["event_id"], path, log, remember="0 seconds")
+    return t.spark.read.parquet(path).groupBy("condition").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("correct"), 1)).alias("n_correct")
+    )
+
+
+def ordered_stream(t: Tables) -> DataFrame:
+    """The events in files of five days each, which arrive one after the other."""
+    arriving = new_path(t.spark, "arriving")
+    period = F.floor(F.date_diff(F.col("ts"), F.lit("2024-01-01")) / 5)
+    first, last = t.events.agg(F.min(period), F.max(period)).first()
+    for p in range(first or 0, (last if last is not None else -1) + 1):
+        t.events.where(period == p).coalesce(1).write.mode("append").parquet(arriving)
+    return pg.result_stream(t.spark, arriving, t.events.schema, "*.parquet", files_per_trigger=1)
+
+
+@query(
+    "stream_windows",
+    "S1",
+    """SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS condition, count(*) AS n FROM events
+GROUP BY 1, 2 HAVING day + INTERVAL 1 day <= (SELECT max(ts) FROM events) - INTERVAL 2 day""",
+)
+def stream_windows(t: Tables) -> DataFrame:
+    """Arrivals per day, final once no row of the day can come any more."""
+    out, log = new_path(t.spark, "windows"), new_path(t.spark, "windows-log")
+    rows = pg.windowed_progress(ordered_stream(t).withColumn("status", F.lit("arrived")), ["event_type"], "ts", "1 day", "2 days")
+    pg.run_to(rows, out, log)
+    return t.spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("day"), F.col("event_type").alias("condition"), "n")
+
+
+@query(
+    "stream_stalls",
+    "S1",
+    """WITH e AS (SELECT event_type || '-' || user_id % 40 AS condition, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 5 hour THEN 0 ELSE 1 END AS fresh
+  FROM events WINDOW w AS (PARTITION BY event_type || '-' || user_id % 40 ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY condition ORDER BY ts) AS spell FROM e)
+SELECT condition, max(ts) AS last_seen, count(*) AS n FROM s GROUP BY condition, spell HAVING max(ts) + INTERVAL 5 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 day""",
+)
+def stream_stalls(t: Tables) -> DataFrame:
+    """Each time a user group fell silent for five hours in one kind of event."""
+    rows = ordered_stream(t).withColumn("condition", F.concat_ws("-", "event_type", F.col("user_id") % 40))
+    return pg.stalled(rows, "condition", "ts", 5 * 3_600_000, "2 days").withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 @query(
     "pending_specimens",
     "J16",
@@ -248,17 +305,32 @@ def condition_documents(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "result_tables",
-    "A23",
-    f"""WITH {RES} SELECT condition, round(count(*) FILTER (final = tf) / count(*), 4) AS final_top1, count(*) AS n FROM fin GROUP BY 1""",
+# The tables of a report: query, column that the check adds up, file format.
+REPORT_TABLES = (
+    ("condition_accuracy", "n", "csv"), ("rank_accuracy", "species", "json"), ("family_accuracy", "1-URGENT", "parquet"), ("confidence_distribution", "n", "csv"),
+    ("impact_cases", "specimen_id", "json"), ("condition_change", "chi2", "csv"), ("run_completeness", "n_total", "json"), ("stage_timings", "mean_ms", "csv"),
+    ("specimen_timings", "total_elapsed_ms", "parquet"), ("overall_scores", "accuracy", "json"), ("trait_scores", "accuracy", "csv"), ("identification_metrics", "macro_f1", "csv"),
+    ("trait_agreement", "cohen_kappa", "json"), ("category_accuracy", "n_correct", "csv"), ("species_accuracy", "latex", "parquet"), ("class_metrics", "f1", "csv"),
+    ("label_support", "n", "json"),
+)
+_REPORT = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS n_rows, sum("{column}"::DECIMAL(18, 6))::VARCHAR AS total FROM ({REGISTRY[name].sql})""" for name, column, _ in REPORT_TABLES
 )
+
+
+@query("result_tables", "A23", _REPORT)
 def result_tables(t: Tables) -> DataFrame:
-    """Named result tables written as CSV and Parquet, then read back."""
-    folder = new_path(t.spark, "tables")
-    table = cd.accuracy_by_condition(results(t)).select("condition", "final_top1", "n")
-    write_tables({"accuracy": table}, folder, "csv")
-    return t.spark.read.option("header", True).schema("condition string, final_top1 double, n bigint").csv(f"{folder}/accuracy")
+    """All named result tables written as CSV, JSON or Parquet, then read back with their types."""
+    folder, out = new_path(t.spark, "tables"), None
+    for name, column, fmt in REPORT_TABLES:
+        table = REGISTRY[name].run(t)
+        write_tables({name: table}, folder, fmt, digits=6)
+        reader = t.spark.read.option("header", True).option("escape", '"') if fmt == "csv" else t.spark.read
+        read = reader.format(fmt).schema(table.schema).load(f"{folder}/{name}")
+        total = F.sum(F.col(f"`{column}`").cast("decimal(18,6)")).cast("string")
+        row = read.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), total.alias("total"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query(
@@ -303,6 +375,24 @@ def function_values(t: Tables) -> DataFrame:
     return st.values_from_function(t.orders.select("o_orderkey"), "o_orderkey", ["margin", "latex"], value)
 
 
+@query(
+    "table_function_values",
+    "U1",
+    """WITH x AS (SELECT l_orderkey, count(*) AS n, arg_max(l_returnflag, (l_quantity, -l_linenumber)) AS f, min(l_linenumber) FILTER (l_tax = 0) AS z FROM lineitem GROUP BY 1)
+SELECT l_orderkey, 'lines' AS trait, n::VARCHAR AS token FROM x UNION ALL SELECT l_orderkey, 'largest', f FROM x UNION ALL SELECT l_orderkey, 'untaxed', z::VARCHAR FROM x WHERE z IS NOT NULL""",
+)
+def table_function_values(t: Tables) -> DataFrame:
+    def describe(rows):
+        yield "lines", str(len(rows))
+        yield "largest", max(rows, key=lambda r: (r.l_quantity, -r.l_linenumber)).l_returnflag
+        free = [r.l_linenumber for r in rows if r.l_tax == 0]
+        if free:
+            yield "untaxed", str(free[0])
+
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag")
+    return st.values_from_table_function(lines, "l_orderkey", describe, "l_linenumber")
+
+
 @query(
     "estimator_predictions",
     "U3",
@@ -313,7 +403,7 @@ def estimator_predictions(t: Tables) -> DataFrame:
     from specgrade.operators.estimator import CentroidClassifier
 
     split = split_images(t)
-    model = CentroidClassifier("species", "embedding", "vec_id").fit(split.where("split_part = 'train'"))
+    model = CentroidClassifier(label="species", vector="embedding", key="vec_id").fit(split.where("split_part = 'train'"))
     return model.transform(split.where("split_part = 'test'")).select(
         "vec_id", "species", "prediction", F.round("probability", 5).alias("probability")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from specgrade.functions.vectors import l2_normalize
-from specgrade.operators import classmetrics as cm, fewshot as fs, splitting as sp
+from specgrade.operators import classmetrics as cm, fewshot as fs, splitting as sp, vectorlists as vl
 from specgrade.plans.registry import Tables, query
 
 SEED = 42
@@ -241,11 +241,8 @@ FROM rk WHERE pos <= 5""",
 def nearest_support(t: Tables) -> DataFrame:
     support = train(t)
     means = fs.global_mean(support)
-    found = fs.nearest_items(
-        fs.center(pooled_test(t), means),
-        fs.center(support, means),
-        5, "individual_id", ["vec_id", "species"], item_vector="embedding",
-    )
+    lists = vl.build(fs.center(support, means), ["vec_id", "species"])
+    found = vl.nearest(fs.center(pooled_test(t), means), lists, 5, "individual_id").rows
     return found.select(
         "individual_id", "pos", F.col("item_vec_id").alias("support_id"), F.col("item_species").alias("label"),
         F.round("l2_distance", 5).alias("l2_distance"), F.round("cosine", 5).alias("cosine"),
@@ -545,7 +542,7 @@ qry AS (SELECT seed, k, vec_id, truth, d, x / nrm AS q FROM qc JOIN qn USING (se
 sc AS (SELECT seed, k, vec_id, truth, lab, sqrt(sum((q - c) * (q - c))) AS l2 FROM qry JOIN cen USING (seed, k, d) GROUP BY ALL),
 rk2 AS (SELECT *, row_number() OVER (PARTITION BY seed, k, vec_id ORDER BY round(l2, 12), lab) AS pos FROM sc),
 runs AS (SELECT seed, k, avg((pos = 1 AND lab = truth)::INT) * count(DISTINCT lab) AS accuracy,
-  avg((pos <= 5 AND lab = truth)::INT) * count(DISTINCT lab) AS top5_accuracy, count(DISTINCT vec_id) AS n FROM rk2 GROUP BY ALL)"""
+  CASE WHEN count(DISTINCT lab) >= 5 THEN avg((pos <= 5 AND lab = truth)::INT) * count(DISTINCT lab) END AS top5_accuracy, count(DISTINCT vec_id) AS n FROM rk2 GROUP BY ALL)"""
 
 
 def sweep_runs(t: Tables) -> DataFrame:
@@ -558,15 +555,17 @@ def sweep_runs(t: Tables) -> DataFrame:
     tests = split.where("split_part = 'test'").withColumn("k", ks)
     tests = fs.center(tests, means, ["seed", "k"]).withColumnRenamed("species", "truth")
     ranked = fs.classify(tests, centroids, ["vec_id", "truth"], "species", ["seed", "k"], 5)
+    ranked = ranked.join(centroids.groupBy("seed", "k").agg(F.count(F.lit(1)).alias("classes")), ["seed", "k"])
     hit = F.col("rank_value") == F.col("truth")
     return (
         ranked.groupBy("seed", "k", "vec_id")
         .agg(
             F.max((hit & (F.col("rank_position") == 1)).cast("int")).alias("t1"),
             F.max(hit.cast("int")).alias("t5"),
+            F.max("classes").alias("classes"),
         )
         .groupBy("seed", "k")
-        .agg(F.avg("t1").alias("accuracy"), F.avg("t5").alias("top5_accuracy"), F.count(F.lit(1)).alias("n"))
+        .agg(F.avg("t1").alias("accuracy"), cm.top_k_share(F.col("t5"), F.col("classes"), 5).alias("top5_accuracy"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -654,11 +653,41 @@ def embedding_map(t: Tables) -> DataFrame:
     )
 
 
-@query("principal_map", "D34")
+def _components_sql(steps: int = 13) -> str:
+    """CTEs pc1 and pc2 (i, x): the first two eigenvectors of the covariance of ``el`` (vec_id, d, v).
+
+    A matrix squared again and again tends to the projection on its first eigenvector.
+    """
+
+    def vector(p: str, start: str) -> str:
+        squared = ", ".join(
+            f"{p}{n + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {p}{n}n a JOIN {p}{n}n b ON a.j = b.i GROUP BY ALL), "
+            f"{p}{n + 1}n AS MATERIALIZED (SELECT i, j, x / (SELECT sum(x) FROM {p}{n + 1} WHERE i = j) AS x FROM {p}{n + 1})"
+            for n in range(steps)
+        )
+        last = f"{p}{steps}n"
+        return f"""{p}0n AS MATERIALIZED (SELECT i, j, x / (SELECT sum(x) FROM {start} WHERE i = j) AS x FROM {start}), {squared},
+{p} AS MATERIALIZED (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))"""
+
+    return f"""cov AS MATERIALIZED (SELECT a.d AS i, b.d AS j, covar_samp(a.v, b.v) AS x FROM el a JOIN el b USING (vec_id) GROUP BY ALL),
+{vector('pc1', 'cov')}, lam AS (SELECT sum(a.x * cov.x * b.x) AS l FROM cov JOIN pc1 a ON a.i = cov.i JOIN pc1 b ON b.i = cov.j),
+rest AS MATERIALIZED (SELECT cov.i, cov.j, cov.x - l * a.x * b.x AS x FROM cov JOIN pc1 a ON a.i = cov.i JOIN pc1 b ON b.i = cov.j CROSS JOIN lam), {vector('pc2', 'rest')}"""
+
+
+@query(
+    "principal_map",
+    "D34",
+    f"""WITH el AS MATERIALIZED (SELECT vec_id, label // 6 AS family, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings), {_components_sql()},
+e AS (SELECT vec_id, family, sum(v * pc1.x) AS x, sum(v * pc2.x) AS y FROM el JOIN pc1 ON pc1.i = d JOIN pc2 ON pc2.i = d GROUP BY ALL)
+SELECT family::VARCHAR AS grp, count(*) AS n, round(abs(median(x)), 5) AS center_x, round(abs(median(y)), 5) AS center_y, round(abs(avg(x)), 5) AS mean_x, round(abs(avg(y)), 5) AS mean_y,
+ round(var_samp(x), 5) AS var_x, round(var_samp(y), 5) AS var_y, round(abs(covar_samp(x, y)), 5) AS cov_xy FROM e GROUP BY 1""",
+)
 def principal_map(t: Tables) -> DataFrame:
+    """The map of the families in the plane of the principal components; a component has no sign, so no figure has one."""
     from specgrade.operators.reports import map_ellipses, principal_coordinates
 
-    return map_ellipses(principal_coordinates(images(t), "embedding"), "family", "x", "y", top=10)
+    out = map_ellipses(principal_coordinates(images(t), "embedding"), "family", "x", "y", top=10)
+    return out.select("grp", "n", *[F.round(F.abs(c), 5).alias(c) for c in ("center_x", "center_y", "mean_x", "mean_y", "var_x", "var_y", "cov_xy")])
 
 
 @query(
@@ -725,6 +754,52 @@ def feature_cache_gap(t: Tables) -> DataFrame:
     return missing_features(t.embeddings.select("vec_id", "label"), cached, ["vec_id", "label"])
 
 
+@query(
+    "feature_cache_refresh",
+    "A4",
+    """SELECT label + CASE WHEN label = 3 THEN 100 ELSE 0 END AS label, count(*) AS n, count(*) FILTER (label = 3) AS n_again,
+ round(sum(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 1e-12)))), 4) AS total
+FROM embeddings GROUP BY 1""",
+)
+def feature_cache_refresh(t: Tables) -> DataFrame:
+    """A cache of all vectors; then one label is renamed, and only its rows are embedded again."""
+    from uuid import uuid4
+
+    from specgrade.session import new_path
+    from specgrade.sources.features import FeatureCache, validity
+
+    name = f"features_{uuid4().hex}"
+    cache = FeatureCache(t.spark, name, new_path(t.spark, name), ("vec_id",), "vec_id bigint, label int, embedding array<double>", 8)
+    rows = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    renamed = rows.withColumn("label", F.when(F.col("label") == 3, F.col("label") + 100).otherwise(F.col("label")))
+    # The vectors of the table stand for what a model would make of the images.
+    model = lambda batches: batches
+    key = validity("model-1", True, "label")
+    cache.extend(rows.withColumn("validity", key), model)
+    now = renamed.withColumn("validity", key)
+    again = cache.missing(now).select("vec_id", F.lit(1).alias("again"))
+    counted = t.once("again", lambda: again)
+    cache.extend(now, model)
+    found = cache.lookup(now.select("vec_id", "label", "validity")).join(counted, "vec_id", "left")
+    return found.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count("again").alias("n_again"),
+        F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)), 4).alias("total"),
+    )
+
+
+@query(
+    "image_predictions",
+    "V8",
+    f"""WITH {IMG}, {PARTS}, {FIT.format(label='species')}, {CENTER_IMAGES.format(part='test')}, {SCORES}
+SELECT rk.qid AS vec_id, rec.individual_id, lab AS predicted FROM rk JOIN rec ON rec.vec_id = rk.qid WHERE pos = 1""",
+)
+def image_predictions(t: Tables) -> DataFrame:
+    """The best class of each test image by itself."""
+    means, centroids = fs.centered_centroids(train(t), "species")
+    tests = fs.center(split_images(t).where("split_part = 'test'"), means)
+    return fs.classify(tests, centroids, ["vec_id", "individual_id"], "species", top_k=1).select("vec_id", "individual_id", F.col("rank_value").alias("predicted"))
+
+
 @query(
     "split_round_trip",
     "A7",

@@ -27,7 +27,7 @@ TRUTH = """truth AS (SELECT p_partkey, u.trait, u.truth, u.match_type FROM (SELE
 PRED = """pred AS (SELECT l_partkey AS p_partkey, u.trait, arg_min(u.prediction, pos) AS prediction FROM (
  SELECT l_partkey, (l_linenumber::BIGINT * 100000 + l_suppkey) * 10000000 + l_orderkey AS pos, unnest([
  {'trait': 'margin', 'prediction': CASE WHEN l_quantity < 12 THEN 'Serrate (fine teeth).' WHEN l_quantity < 25 THEN ' ENTIRE. ' WHEN l_quantity < 40 THEN 'toothed' ELSE 'N/A (hidden)' END},
- {'trait': 'position', 'prediction': CASE WHEN l_discount < 0.04 THEN 'clustered' WHEN l_discount < 0.08 THEN 'opposite...' ELSE 'unclear' END}]) AS u FROM lineitem WHERE l_linenumber < 3) GROUP BY ALL)"""
+ {'trait': 'position', 'prediction': CASE WHEN l_discount < 0.04 THEN 'clustered' WHEN l_discount < 0.08 THEN 'opposite...' ELSE 'unclear' END}]) AS u FROM lineitem) GROUP BY ALL)"""
 _NP = "trim(rtrim(regexp_replace(lower(trim({0})), '\\s*\\(.*$', ''), '.'))"
 SCORED = f"""{TRUTH}, {PRED}, sc0 AS (SELECT t.*, coalesce(prediction, '') AS prediction, {_NP.format("coalesce(prediction, '')")} AS np,
  list_transform(string_split(truth, '|'), lambda v: lower(trim(v))) AS vals FROM truth t LEFT JOIN pred USING (p_partkey, trait)),
@@ -60,7 +60,7 @@ def shot_rows(t: Tables) -> DataFrame:
 
 
 def predictions(t: Tables) -> DataFrame:
-    return shot_rows(t).where("l_linenumber < 3").groupBy("p_partkey", "trait").agg(F.min_by("prediction", "pos").alias("prediction"))
+    return shot_rows(t).groupBy("p_partkey", "trait").agg(F.min_by("prediction", "pos").alias("prediction"))
 
 
 def scored(t: Tables) -> DataFrame:
@@ -91,14 +91,14 @@ def scored_predictions(t: Tables) -> DataFrame:
     "label_verdicts",
     "R9 A10 J20",
     """WITH tr AS (SELECT doc_id, 'quality' AS trait, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels),
-p AS (SELECT doc_id, CASE WHEN n_chars < 200 THEN 'unclear' WHEN n_chars % 2 = 0 THEN '1.' ELSE '0 (guess)' END AS prediction FROM documents WHERE lang <> 'de')
+p AS (SELECT doc_id, CASE WHEN n_chars < 200 THEN 'unclear' WHEN n_chars % 2 = 0 THEN '1.' ELSE '0 (guess)' END AS prediction FROM documents)
 SELECT trait, CASE WHEN prediction IS NULL OR prediction = 'unclear' THEN 'abstention' WHEN left(prediction, 1) = v::VARCHAR THEN 'exact_match' ELSE 'mismatch' END AS result, count(*) AS n
 FROM tr LEFT JOIN p USING (doc_id) GROUP BY ALL""",
 )
 def label_verdicts(t: Tables) -> DataFrame:
     tr = gr.unpivot_truth(t.labels, "doc_id", ["quality", "toxic"])
     n = F.col("n_chars")
-    guess = t.documents.where("lang <> 'de'").select(
+    guess = t.documents.select(
         "doc_id", F.when(n < 200, "unclear").when(n % 2 == 0, "1.").otherwise("0 (guess)").alias("prediction")
     )
     return gr.score_predictions(tr, guess, "doc_id").groupBy("trait", "result").agg(F.count(F.lit(1)).alias("n"))
@@ -154,6 +154,17 @@ def overall_scores(t: Tables) -> DataFrame:
     return rounded(gr.overall_scores(gr.trait_scores(model_scored(t), ["model", "trait"]), "model"))
 
 
+@query(
+    "score_rollup",
+    "D17",
+    f"""WITH {MODELS} SELECT CASE WHEN grouping(model) = 1 THEN 'all' ELSE model END AS model, CASE WHEN grouping(trait) = 1 THEN 'all' ELSE trait END AS trait, {_SCORES}
+FROM ms GROUP BY GROUPING SETS ((model, trait), (model), ())""",
+)
+def score_rollup(t: Tables) -> DataFrame:
+    out = gr.score_rollup(model_scored(t), "model", "trait")
+    return rounded(out, 4).drop("n_no_gt", "n_exact_gt", "n_multi_label_gt", "exact_gt_accuracy", "multi_label_gt_accuracy")
+
+
 @query(
     "overall_scores_legacy",
     "D17",
@@ -458,17 +469,19 @@ def match_any_accuracy(t: Tables) -> DataFrame:
 
 # ---- graded records ----------------------------------------------------------------------
 
-RAW_VALUES = """rawv AS (SELECT l_orderkey * 10 + l_linenumber AS specimen, min(l_partkey) AS taxon, u.category, arg_min(u.raw, (l_partkey, l_suppkey, l_extendedprice)) AS raw FROM (SELECT *, unnest([
- {'category': 'leaf_arrangement', 'raw': CASE WHEN l_quantity < 15 THEN ' Alternate (spiral)' WHEN l_quantity < 30 THEN 'OPPOSITE' WHEN l_quantity < 35 THEN 'not observed' WHEN l_quantity < 40 THEN 'tufted' ELSE 'whorled or opposite' END},
- {'category': 'latex', 'raw': CASE WHEN l_tax < 0.03 THEN 'present' WHEN l_tax < 0.06 THEN 'absent' ELSE 'Not observed' END}]) AS u FROM lineitem) GROUP BY ALL)"""
+RAW_VALUES = """rawv AS MATERIALIZED (
+ SELECT l_orderkey * 10 + l_linenumber AS specimen, min(l_partkey) AS taxon, 'leaf_arrangement' AS category, arg_min(CASE WHEN l_quantity < 15 THEN ' Alternate (spiral)'
+  WHEN l_quantity < 30 THEN 'OPPOSITE' WHEN l_quantity < 35 THEN 'not observed' WHEN l_quantity < 40 THEN 'tufted' ELSE 'whorled or opposite' END, (l_partkey, l_suppkey, l_extendedprice)) AS raw FROM lineitem GROUP BY 1
+ UNION ALL SELECT l_orderkey * 10 + l_linenumber, min(l_partkey), 'latex', arg_min(CASE WHEN l_tax < 0.03 THEN 'present' WHEN l_tax < 0.06 THEN 'absent' ELSE 'Not observed' END,
+  (l_partkey, l_suppkey, l_extendedprice)) FROM lineitem GROUP BY 1)"""
 GRADED = f"""{MATRIX}, {RAW_VALUES}, rule(o, option_column, category, word) AS (VALUES (0, 'leaf_arrangement__alternate', 'leaf_arrangement', 'alternate'), (1, 'leaf_arrangement__opposite', 'leaf_arrangement', 'opposite'),
  (2, 'leaf_arrangement__whorled_or_clustered', 'leaf_arrangement', 'whorled'), (3, 'latex__present', 'latex', 'present'), (4, 'latex__absent', 'latex', 'absent')),
-hit AS (SELECT specimen, category, arg_min(option_column, o) AS chosen FROM rawv JOIN rule USING (category) WHERE lower(trim(raw)) NOT IN ('not observed', '') AND contains(lower(raw), word) GROUP BY ALL),
-pr AS (SELECT v.specimen, v.taxon, v.category, r.option_column, CASE WHEN chosen IS NOT NULL THEN (chosen = r.option_column)::INT END AS predicted, contains(lower(raw), 'not observed') AS nobs
+hit AS MATERIALIZED (SELECT specimen, category, arg_min(option_column, o) AS chosen FROM rawv JOIN rule USING (category) WHERE lower(trim(raw)) NOT IN ('not observed', '') AND contains(lower(raw), word) GROUP BY ALL),
+pr AS MATERIALIZED (SELECT v.specimen, v.taxon, v.category, r.option_column, CASE WHEN chosen IS NOT NULL THEN (chosen = r.option_column)::INT END AS predicted, contains(lower(raw), 'not observed') AS nobs
  FROM rawv v JOIN rule r USING (category) LEFT JOIN hit USING (specimen, category)),
-unc AS (SELECT taxon, category, value = 1 AS uncoded FROM mat WHERE source = 'two' AND option_column = category || '__uncoded'),
+unc AS MATERIALIZED (SELECT taxon, category, value = 1 AS uncoded FROM mat WHERE source = 'two' AND option_column = category || '__uncoded'),
 rec0 AS (SELECT pr.*, m.value::DOUBLE AS ground_truth, coalesce(uncoded, true) AS uncoded FROM pr LEFT JOIN (SELECT * FROM opt WHERE source = 'two') m USING (taxon, option_column) LEFT JOIN unc ON unc.taxon = pr.taxon AND unc.category = pr.category),
-rec AS (SELECT * FROM (SELECT *, CASE WHEN uncoded OR ground_truth IS NULL THEN 'skipped_uncoded' WHEN predicted IS NULL AND nobs THEN 'skipped_not_observed' WHEN predicted IS NULL THEN 'skipped_no_prediction'
+rec AS MATERIALIZED (SELECT * FROM (SELECT *, CASE WHEN uncoded OR ground_truth IS NULL THEN 'skipped_uncoded' WHEN predicted IS NULL AND nobs THEN 'skipped_not_observed' WHEN predicted IS NULL THEN 'skipped_no_prediction'
  WHEN predicted = 1 AND ground_truth = 1 THEN 'correct' WHEN predicted = 1 THEN 'incorrect' END AS verdict FROM rec0) WHERE verdict IS NOT NULL)"""
 
 

@@ -56,7 +56,7 @@ def test_blocked_scoring_equals_shipped_and_brute_force(separable, metric):
     vectors = [(r["record_id"], r["embedding"]) for r in separable.collect()]
     want = brute(vectors, vectors, 4, metric)
     items = separable.withColumnRenamed("record_id", "item")
-    for options in ({}, {"ship_rows": 3, "block_rows": 7}):
+    for options in ({}, {"ship_bytes": 0, "block_rows": 7}):
         got = fs.nearest_items(separable, items, 4, "record_id", "item", item_vector="embedding", metric=metric, **options)
         lists = {}
         for r in got.orderBy("record_id", "pos").collect():
@@ -70,7 +70,7 @@ def test_blocked_scoring_keeps_models_apart(separable):
     means, centroids = fs.centered_centroids(both, "label", "rank")
     queries = fs.center(both, means, "rank")
     a = fs.classify(queries, centroids, "record_id", "label", "rank", 2)
-    b = fs.classify(queries, centroids, "record_id", "label", "rank", 2, ship_rows=2, block_rows=4)
+    b = fs.classify(queries, centroids, "record_id", "label", "rank", 2, ship_bytes=0, block_rows=4)
     key = ["rank", "record_id", "rank_position", "rank_value"]
     assert a.select(key).exceptAll(b.select(key)).count() == 0 and b.count() == 120
     gap = a.join(b.select(*key, F.col("margin").alias("m2"), F.col("softmax_score").alias("s2")), key)
