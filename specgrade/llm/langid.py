@@ -129,12 +129,15 @@ def fit(
         .groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("c"))
     ).persist()
     languages = sorted(r[0] for r in words.select("_lang").distinct().collect())
-    by_lang = lambda df: df.groupBy("w").pivot("_lang", languages).agg(F.sum("c"))
-    total = lambda df: df.withColumn("_all", sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in languages), F.lit(0)))
+    # Columns by number: a language may have any name.
+    counts = [f"c{i}" for i in range(len(languages))]
+    number = F.concat(F.lit("c"), F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("_lang")) - 1)
+    by_lang = lambda df: df.groupBy("w").pivot("_n", counts).agg(F.sum("c"))
+    total = lambda df: df.withColumn("_all", sum((F.coalesce(F.col(c), F.lit(0)) for c in counts), F.lit(0)))
     if not languages:
         words.unpersist()
         return LanguageModel([], np.zeros((0, 0), np.float32))
-    top = lambda df, n: total(by_lang(df)).where("_all > 1").orderBy(F.desc("_all"), "w").limit(n).drop("_all").toPandas()
+    top = lambda df, n: total(by_lang(df.withColumn("_n", number))).where("_all > 1").orderBy(F.desc("_all"), "w").limit(n).drop("_all").toPandas()
     padded = F.concat(F.lit("\x02"), F.col("w"), F.lit("\x03"))
     pieces = F.flatten(
         F.transform(
@@ -148,11 +151,11 @@ def fit(
     grams = words.select("_lang", F.explode(pieces).alias("w")).groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("c"))
     tables, known = [], []
     for frame in (top(words, max_words), top(grams, max_grams)):
-        counts = frame[languages].fillna(0).to_numpy(np.float64)
+        seen = frame[counts].fillna(0).to_numpy(np.float64)
         size = np.array([len(w) for w in frame["w"]])
-        log = np.zeros_like(counts)
+        log = np.zeros_like(seen)
         for group in [size == n for n in range(1, longest + 1)] if known else [slice(None)]:
-            part = counts[group] + 0.1
+            part = seen[group] + 0.1
             log[group] = np.log(part / part.sum(axis=0)) if len(part) else part
         start = sum(map(len, tables))
         known.append({w: start + i for i, w in enumerate(frame["w"])})

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType
 
 from specgrade.llm.common import text_of
+from specgrade.operators.ranking import positions
 from specgrade.session import materialise
 
 # Rows in one bucket of the key order, about, and buckets at most: more rows make larger buckets.
@@ -122,6 +124,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     come first, rows with equal keys in the order of their texts' hashes. A single row follows itself.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(text).alias("text"))
+    if not isinstance(rows.schema["doc_id"].dataType, NumericType):
+        return _next_of_any(rows)
     keys = rows.select(F.col("doc_id").cast("double").alias("_key"))
     n = keys.count()
     parts = min(MAX_BUCKETS, max(1, -(-n // BUCKET_ROWS)))
@@ -152,6 +156,14 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return both.withColumn("next_text", F.lead("text").over(place)).where("_guard = 0").select("doc_id", "text", "next_text")
 
 
+def _next_of_any(rows: DataFrame) -> DataFrame:
+    """``with_next`` for keys that are no numbers: by their positions in the whole order."""
+    placed = positions(rows.withColumn("_tie", F.xxhash64("text")), [], [F.col("doc_id").asc_nulls_first(), F.col("_tie")], "_at", "_all")
+    placed = materialise(placed, "placed")
+    after = placed.select((F.pmod(F.col("_at") - 2, F.col("_all")) + 1).alias("_at"), F.col("text").alias("next_text"))
+    return placed.join(after, "_at").select("doc_id", "text", "next_text")
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 

@@ -106,7 +106,9 @@ def mix(
     made = ("mix_epoch", "mix_block", "mix_order")
     kept = [c for c in docs.columns if c not in made]
     name = F.when(F.col(f"`{source}`").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(f"`{source}`").cast("string")))
-    named = docs.select(*[F.col(f"`{c}`") for c in kept], name.alias("_source"), tokens.cast("long").alias("_tokens"))
+    # The row travels as one struct, so that no name of a column can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    named = docs.select(whole, F.col(f"`{key}`").alias("_key"), name.alias("_source"), tokens.cast("long").alias("_tokens"))
     sizes = materialise(named.groupBy("_source").agg(F.sum("_tokens").alias("_t"), F.count(F.lit(1)).alias("_n")), "sources")
     total = sizes.agg(F.sum("_t")).first()[0] or 0
     shares = sizes.withColumn("share", F.col("_t") / F.lit(float(total or 1)))
@@ -125,7 +127,7 @@ def mix(
         F.ceil(F.col("_n") / F.lit(BUCKET_ROWS)).alias("_buckets"),
     )
     uses = named.join(F.broadcast(plans) if sizes.count() <= 10_000 else plans, "_source").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_full"))))
-    order = F.xxhash64(F.lit(seed), "mix_epoch", F.col(f"`{key}`"), "_tokens")
+    order = F.xxhash64(F.lit(seed), "mix_epoch", "_key", "_tokens")
     ordered = uses.withColumn("_order", order).withColumn("_bucket", _bucket_of(F.col("_order"), F.col("_buckets")))
     slot = ["_source", "mix_epoch", "_bucket"]
     before = W.partitionBy("_source", "mix_epoch").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -137,7 +139,7 @@ def mix(
     reached = F.col("mix_epoch") * F.col("_t") + F.col("_upto") - F.col("_tokens")
     block = F.when(F.col("_w") > 0, F.floor(reached / (F.col("_w") * block_tokens))).otherwise(F.lit(0)).cast("long")
     return taken.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("mix_epoch"), block.alias("mix_block"),
+        "_row.*", F.col("mix_epoch"), block.alias("mix_block"),
         F.xxhash64(F.lit(seed + 1), "_order", "mix_epoch").alias("mix_order"),
     )
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from specgrade.llm.common import text_of
+from specgrade.llm.common import fresh, text_of
 
 
 @dataclass(frozen=True)
@@ -122,6 +122,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii", threshold: float
     is replaced.
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
+    found, spans, sure, more = (fresh(f"_{n}", docs) for n in ("found", "spans", "base", "more"))
     first = docs.select(
         *kept,
         F.struct(
@@ -133,16 +134,16 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii", threshold: float
                 ).alias(k.name)
                 for k in KINDS
             ]
-        ).alias("_found"),
+        ).alias(found),
     )
     located = first.select(
-        *kept, F.struct(*[_located(text_of(text), k, F.col(f"_found.{k.name}")).alias(k.name) for k in KINDS]).alias("_spans")
+        *kept, F.struct(*[_located(text_of(text), k, F.col(f"{found}.{k.name}")).alias(k.name) for k in KINDS]).alias(spans)
     )
-    base = F.concat(*[F.col(f"_spans.{k.name}") for k in KINDS if k.base])
-    more = F.concat(*[F.col(f"_spans.{k.name}") for k in KINDS if not k.base])
-    split = located.select(*kept, base.alias("_base"), F.filter(more, lambda s: s["score"] >= threshold).alias("_more"))
-    free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    both = F.when(F.size("_more") == 0, F.col("_base")).otherwise(F.concat("_base", free))
+    base = F.concat(*[F.col(f"{spans}.{k.name}") for k in KINDS if k.base])
+    rest = F.concat(*[F.col(f"{spans}.{k.name}") for k in KINDS if not k.base])
+    split = located.select(*kept, base.alias(sure), F.filter(rest, lambda s: s["score"] >= threshold).alias(more))
+    free = F.filter(more, lambda s: ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    both = F.when(F.size(more) == 0, F.col(sure)).otherwise(F.concat(sure, free))
     return split.select(*kept, F.array_sort(both).alias(out))
 
 
@@ -151,7 +152,8 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
 
     Columns and rows stay as they are, null text stays null.
     """
-    found = find(docs, text, "_pii", threshold)
+    pii = fresh("_pii", docs)
+    found = find(docs, text, pii, threshold)
     body, names = F.col(f"`{text}`"), F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
 
     def step(a: Column, s: Column) -> Column:
@@ -162,8 +164,8 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cleaned = F.aggregate("_pii", start, step, lambda a: F.concat(a["out"], body.substr(a["at"] + 1, F.length(body))))
-    changed = F.when(F.size("_pii") == 0, body).otherwise(cleaned)
+    cleaned = F.aggregate(pii, start, step, lambda a: F.concat(a["out"], body.substr(a["at"] + 1, F.length(body))))
+    changed = F.when(F.size(pii) == 0, body).otherwise(cleaned)
     return found.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specgrade.llm import minhash, resample, vector_codes
 from test_similar import brute, texts
@@ -174,3 +175,84 @@ def test_bounds_stay_valid():
         np.put_along_axis(others, bounds.ids.astype(int), 1 << 40, 1)
         assert (bounds.outer <= np.sqrt(others.min(1))).all()
         assert bounds.ids.shape[1] == tracked and needed.min() >= 1
+
+
+def test_names_of_columns_and_languages_cannot_clash(spark):
+    from specgrade.llm import langid, merkle, mixing, pii
+
+    reserved = ["_found", "_spans", "_base", "_more", "_pii"]
+    docs = spark.createDataFrame([(1, "mail a@b.cd now")], "doc_id long, text string")
+    for c in reserved:
+        docs = docs.withColumn(c, F.lit("x"))
+    cleaned = pii.redact(docs)
+    assert cleaned.columns == docs.columns and cleaned.first()["text"] == "mail [EMAIL] now"
+    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 5), (3, None, 5)], "doc_id long, source string, _tokens long")
+    for c in ("_source", "_row", "_key", "_w", "_full", "_bucket"):
+        rows = rows.withColumn(c, F.lit(1))
+    mixed = mixing.mix(rows, F.col("_tokens"), keep_all=True)
+    assert mixed.columns[: len(rows.columns)] == rows.columns and {r.doc_id for r in mixed.collect()} == {1, 2, 3}
+    keyed = spark.createDataFrame([("b", "2"), ("a", "1"), (None, "0"), ("c", "3")], "doc_id string, text string")
+    assert {r.text: r.next_text for r in merkle.with_next(keyed).collect()} == {"0": "1", "1": "2", "2": "3", "3": "0"}
+    assert merkle.with_next(keyed.limit(0)).collect() == []
+    languages = ["w", "_all", "c0", "c1", "_n", "W"]
+    train = [(i, f"{x.strip('_')}sound house{i % 6}", x) for i, x in enumerate(languages * 4)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(languages)
+    got = langid.identify(spark.createDataFrame([(1, "house2")], "doc_id long, text string"), model).first()
+    assert 0 <= got["lang_score"] <= 1
+
+
+def plain_language(train, texts, longest=4):
+    """Word-first backoff, written out."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    words, grams, langs = {}, {}, sorted({g for _, g in train})
+    for text, lang in train:
+        for w in letters(text):
+            words.setdefault(w, {}).setdefault(lang, 0)
+            words[w][lang] += 1
+    for w, by in words.items():
+        padded = f"\x02{w}\x03"
+        for n in range(1, longest + 1):
+            for i in range(len(padded) - n + 1):
+                for lang in by:
+                    cell = grams.setdefault(padded[i : i + n], {})
+                    cell[lang] = cell.get(lang, 0) + 1
+    logs = {}
+    for table, classes in ((words, [None]), (grams, range(1, longest + 1))):
+        for n in classes:
+            known = [k for k, by in table.items() if sum(by.values()) > 1 and (n is None or len(k) == n)]
+            for lang in langs:
+                total = sum(table[k].get(lang, 0) + 0.1 for k in known)
+                for k in known:
+                    logs[(n is None, k, lang)] = math.log((table[k].get(lang, 0) + 0.1) / total)
+    known = {(kind, k) for kind, k, _ in logs}
+    out = []
+    for text in texts:
+        found, score = letters(text), dict.fromkeys(langs, 0.0)
+        for w in found:
+            used = [(True, w)] if (True, w) in known else []
+            padded = f"\x02{w}\x03"
+            for n in range(longest, 0, -1):
+                used = used or [(False, padded[i : i + n]) for i in range(len(padded) - n + 1) if (False, padded[i : i + n]) in known]
+            for lang in langs:
+                score[lang] += sum(logs[(*u, lang)] for u in used) / len(used) if used else 0.0
+        best = min(langs, key=lambda g: -score[g])
+        share = 1 / sum(math.exp(score[g] - score[best]) for g in langs)
+        out.append((best, share) if found else ("und", 0.0))
+    return out
+
+
+def test_language_equals_plain_backoff(spark):
+    from specgrade.llm import langid
+
+    rng = random.Random(6)
+    sounds = {"aa": "ka lo mi nu".split(), "bb": "st er un ka".split(), "cc": "qui lo ço éa".split()}
+    word = lambda g: "".join(rng.choices(sounds[g], k=rng.choice([1, 2, 3])))
+    train = [(" ".join(word(g) for _ in range(rng.choice([1, 5, 12]))), g) for g in sounds for _ in range(15)]
+    texts = [" ".join(word(rng.choice(list(sounds))) for _ in range(rng.choice([0, 1, 4]))) for _ in range(60)] + ["zzz", "KALO, mi-nu! 12", "", "xka99lo"]
+    model = langid.fit(spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(train)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score) in enumerate(plain_language(train, texts)):
+        assert got[i].lang_score == pytest.approx(score, rel=1e-4), texts[i]
+        if score < 0.999 * 0.5 or score > 0.501:
+            assert got[i].lang_pred == lang, texts[i]

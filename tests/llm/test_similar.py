@@ -53,10 +53,45 @@ def test_groups_equal_brute_force(spark, monkeypatch, words, threshold, load):
     assert got == brute(rows, words, threshold)
 
 
+def test_pairs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 400)
+    rows = texts()
+    pairs, members = jaccard.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), words=3, threshold=Fraction(4, 5))
+    cls = {r.doc_id: r.cls for r in members.collect()}
+    got = {tuple(r) for r in pairs.collect()}
+    sets = {}
+    for i, x in rows:
+        w = (x or "").encode().lower().split()
+        sets[i] = set() if not w else {tuple(w)} if len(w) < 3 else {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+    assert set(cls) == {i for i in sets if sets[i]}
+    want = set()
+    for a in cls:
+        for b in cls:
+            common = len(sets[a] & sets[b])
+            if b < a and common * 5 >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                if cls[a] == cls[b]:
+                    assert sets[a] == sets[b]
+                else:
+                    want.add((min(cls[a], cls[b]), max(cls[a], cls[b])))
+    assert got == want and len(want) > 20
+
+
+def test_a_cluster_of_near_copies_is_one_group(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    _, _, found = jaccard._candidates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, Fraction(4, 5))
+    assert found.select("grp").distinct().count() <= 3
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long, "x"), (3, long + " end", "y"), (8, "start " + long, "z"), (9, "other", "x"), (None, long, "n"), (9, "other", "x"), (1, None, "x"), (2, "", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("_kept", F.lit(1)).withColumn("kept", F.lit(2))
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
     assert sorted([(r.doc_id, r.component_id) for r in kept.collect()], key=str) == sorted(
