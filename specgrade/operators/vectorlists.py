@@ -1,7 +1,8 @@
 """Nearest rows over inverted lists of vectors, exact by metric bounds or approximate by probes.
 
 Centres are fitted on a bounded sample; every row goes to the list of its nearest centre, and a list
-is cut into blocks of rows at similar distances from the centre (rings). A query knows its
+is cut into blocks of rows at similar distances from the centre (rings), whose borders come from the
+same sample; a ring that turns out too full is dealt into salted blocks. A query knows its
 distances to all centres. For the exact search it first scans one ring of its nearest lists, which
 bounds its k-th best result; then it opens only the rings that the triangle inequality (or, for inner
 products, a bound of centre, radius and norms) lets hold something as good. For the approximate search
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from specgrade.functions.columns import names, seeded_hash
 from specgrade.functions.vectors import as_double
 from specgrade.operators.fewshot import match_schema, matrix, score_block, tiles
-from specgrade.operators.ranking import positions, top_per_group
+from specgrade.operators.ranking import top_per_group
 from specgrade.session import materialise
 
 MAX_CENTRES = 512
@@ -34,6 +35,8 @@ SAMPLE_ROWS = 10_000
 BLOCK_ROWS = 4096
 # What sums of doubles may lose, so that a bound never closes a ring too early.
 SLACK = 1e-9
+SEED = 42
+PLACE = ["_list", "_block", "_salt"]
 
 
 @dataclass(frozen=True)
@@ -41,12 +44,13 @@ class Lists:
     """Stored blocks of rows, their figures, and what queries need to know of each list."""
 
     rows: DataFrame  # _list, _block, item keys, _x
-    blocks: DataFrame  # _list, _block, _near, _far, _norm, _n
+    blocks: DataFrame  # _list, _block, _salt, and of the ring _salts, _near, _far, _norm
     centres: np.ndarray
     sizes: np.ndarray  # rows of each list
     far: np.ndarray  # largest distance from the centre
     near: np.ndarray  # smallest
     norm: np.ndarray  # largest length of a vector
+    block: np.ndarray  # mean rows of a block
     keys: tuple[str, ...]
 
 
@@ -65,13 +69,8 @@ class Found:
         return self.opened.count() / every if every else 0.0
 
 
-def fit_centres(items: DataFrame, keys: list[str], count: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 6, seed: int = 42) -> np.ndarray:
-    """``count`` centres by plain k-means over a bounded sample drawn by the keys' hash."""
-    order = seeded_hash(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    drawn = items.select(order.alias("_h"), "_x").orderBy("_h").limit(sample_rows).toPandas()
-    if not len(drawn):
-        return np.zeros((0, 0))
-    x = matrix(drawn["_x"])
+def fit_centres(x: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
+    """``count`` centres by plain k-means over the rows of a sample."""
     centres = np.unique(x[:count], axis=0)
     for _ in range(rounds):
         own = np.argmin((centres * centres).sum(1) - 2 * (x @ centres.T), axis=1)
@@ -82,6 +81,18 @@ def fit_centres(items: DataFrame, keys: list[str], count: int, sample_rows: int
     return centres
 
 
+def ring_borders(x: np.ndarray, centres: np.ndarray, rows: int, block_rows: int) -> list[np.ndarray]:
+    """For each centre the distances at which its list is cut, so that a ring has about ``block_rows`` of all ``rows``."""
+    d = _distances(x, centres)
+    own, near = d.argmin(axis=1), d.min(axis=1)
+    out = []
+    for i in range(len(centres)):
+        mine = np.sort(near[own == i])
+        parts = max(1, math.ceil(len(mine) * rows / len(x) / block_rows))
+        out.append(np.unique(np.quantile(mine, np.arange(1, parts) / parts)) if parts > 1 else np.empty(0))
+    return out
+
+
 def _distances(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     square = (q * q).sum(1)[:, None] + (centres * centres).sum(1) - 2 * (q @ centres.T)
     return np.sqrt(np.maximum(square, 0.0))
@@ -93,31 +104,41 @@ def build(
 ) -> Lists:
     """Deal all rows with a vector into lists; by default about the root of their number, bounded."""
     keys = names(key)
-    items = items.select(*keys, as_double(F.col(vector)).alias("_x")).where("_x is not null")
-    count = min(MAX_CENTRES, lists or max(1, math.isqrt(items.count())))
-    centres = fit_centres(items, keys, count, sample_rows)
+    items = materialise(items.select(*keys, as_double(F.col(vector)).alias("_x")).where("_x is not null"), "items")
+    n = items.count()
+    order = seeded_hash(SEED, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    sample = items.select(order.alias("_h"), "_x").orderBy("_h").limit(sample_rows).toPandas()
+    x = matrix(sample["_x"]) if len(sample) else np.zeros((0, 0))
+    centres = fit_centres(x, min(MAX_CENTRES, lists or max(1, math.isqrt(n)))) if len(x) else x
+    borders = ring_borders(x, centres, n, block_rows) if n else []
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for tile in tiles(pdf, len(centres)):
                 x = matrix(tile["_x"])
-                d = _distances(x, centres)
-                own = d.argmin(axis=1)
+                own = _distances(x, centres).argmin(axis=1)
                 # The distance is taken again from the difference: rounding must not close a ring.
                 apart = np.sqrt(((x - centres[own]) ** 2).sum(axis=1))
-                yield tile.assign(_list=own.astype(np.int32), _apart=apart, _length=np.sqrt((x * x).sum(axis=1)))
-
-    fields = [*items.schema.fields, T.StructField("_list", T.IntegerType()), T.StructField("_apart", T.DoubleType()), T.StructField("_length", T.DoubleType())]
-    dealt = items.mapInPandas(deal, T.StructType(fields)) if len(centres) else items.selectExpr("*", "0 as _list", "0d as _apart", "0d as _length").limit(0)
-    placed = positions(dealt, "_list", [F.col("_apart"), *[F.col(k) for k in keys]], "_pos")
-    rows = materialise(placed.withColumn("_block", F.floor((F.col("_pos") - 1) / block_rows).cast("int")).drop("_pos"), "lists")
-    figures = lambda by: rows.groupBy(*by).agg(
+                ring = np.zeros(len(x), np.int32)
+                for i in np.unique(own):
+                    ring[own == i] = np.searchsorted(borders[i], apart[own == i], side="right")
+                yield tile.assign(_list=own.astype(np.int32), _block=ring, _apart=apart, _length=np.sqrt((x * x).sum(axis=1)))
+
+    made = [("_list", T.IntegerType()), ("_block", T.IntegerType()), ("_apart", T.DoubleType()), ("_length", T.DoubleType())]
+    fields = [*items.schema.fields, *[T.StructField(c, k) for c, k in made]]
+    dealt = items.mapInPandas(deal, T.StructType(fields)) if n else items.selectExpr("*", *[f"cast(0 as {k.simpleString()}) as {c}" for c, k in made])
+    rows = materialise(dealt, "lists")
+    rings = rows.groupBy("_list", "_block").agg(
         F.min("_apart").alias("_near"), F.max("_apart").alias("_far"), F.max("_length").alias("_norm"), F.count(F.lit(1)).alias("_n")
     )
-    blocks = materialise(figures(["_list", "_block"]), "blocks")
-    whole = {r["_list"]: r for r in figures(["_list"]).collect()}
+    rings = materialise(rings.withColumn("_salts", F.ceil(F.col("_n") / (2 * block_rows)).cast("int")), "rings")
+    whole = {
+        r["_list"]: r
+        for r in rings.groupBy("_list").agg(F.min("_near").alias("_near"), F.max("_far").alias("_far"), F.max("_norm").alias("_norm"), F.sum("_n").alias("_n"), (F.sum("_n") / F.sum("_salts")).alias("_mean")).collect()
+    }
     column = lambda name: np.array([whole[i][name] if i in whole else 0 for i in range(len(centres))], np.float64)
-    return Lists(rows, blocks, centres, column("_n"), column("_far"), column("_near"), column("_norm"), tuple(keys))
+    blocks = rings.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_n")
+    return Lists(rows, blocks, centres, column("_n"), column("_far"), column("_near"), column("_norm"), column("_mean"), tuple(keys))
 
 
 def _choose(lists: Lists, q: np.ndarray, tau: np.ndarray | None, k: int, probes: int | None, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +154,7 @@ def _choose(lists: Lists, q: np.ndarray, tau: np.ndarray | None, k: int, probes:
     if probes is not None:
         wanted = np.arange(c.shape[0])[None, :] < probes
     else:
-        held = np.minimum(lists.sizes, BLOCK_ROWS)[order]
+        held = lists.block[order]  # one block of each list is scanned
         wanted = np.cumsum(held, axis=1) - held < k
     chosen = np.zeros_like(value, bool)
     np.put_along_axis(chosen, order, np.broadcast_to(wanted, order.shape), axis=1)
@@ -163,20 +184,21 @@ def _meet(queries: DataFrame, lists: Lists, keys: list[str], k: int, probes: int
                 yield out.assign(_list=at.astype(np.int32), _value=value[row, at], _length=np.sqrt((q * q).sum(axis=1))[row])
 
     # Tasks get the figures of the lists, not the tables.
-    lists_only = Lists(None, None, lists.centres, lists.sizes, lists.far, lists.near, lists.norm, lists.keys)
+    lists_only = Lists(None, None, lists.centres, lists.sizes, lists.far, lists.near, lists.norm, lists.block, lists.keys)
     extra = [T.StructField("_list", T.IntegerType()), T.StructField("_value", T.DoubleType()), T.StructField("_length", T.DoubleType())]
     return queries.mapInPandas(choose, T.StructType([*queries.schema.fields, *extra]))
 
 
 def _scan(pairs: DataFrame, lists: Lists, keys: list[str], k: int, metric: str) -> DataFrame:
-    """The best ``k`` rows of each (query, block) pair; ``pairs`` has the keys, _q, _list and _block."""
+    """The best ``k`` rows of each (query, block) pair; ``pairs`` has the keys, _q and the place."""
     items = list(lists.keys)
     schema = match_schema(pairs, keys, lists.rows, items)
-    load = pairs.groupBy("_list", "_block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_chunks"))
+    load = pairs.groupBy(*PLACE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_chunks"))
     chunk = F.pmod(F.xxhash64(*keys), F.col("_chunks")).cast("int").alias("_chunk")
-    place = ["_list", "_block"]
-    asked = pairs.join(load, place).select(*place, chunk, *keys, "_q")
-    held = lists.rows.join(load, place).select(*place, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), *items, "_x")
+    asked = pairs.join(load, PLACE).select(*PLACE, chunk, *keys, "_q")
+    salts = lists.blocks.where("_salt = 0").select("_list", "_block", "_salts")
+    salted = lists.rows.join(salts, ["_list", "_block"]).withColumn("_salt", F.pmod(F.xxhash64(*items), F.col("_salts")).cast("int"))
+    held = salted.join(load, PLACE).select(*PLACE, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), *items, "_x")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -185,7 +207,7 @@ def _scan(pairs: DataFrame, lists: Lists, keys: list[str], k: int, metric: str)
         x = matrix(right["_x"])
         return pd.concat([score_block(tile, keys, right, items, x, k, metric) for tile in tiles(left, len(right))])
 
-    by = [*place, "_chunk"]
+    by = [*PLACE, "_chunk"]
     return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(score, schema)
 
 
@@ -212,12 +234,12 @@ def nearest(
     chosen = _meet(asked, lists, keys, k, probes, metric)
     blocks = lists.blocks
     if probes is not None:
-        pairs = materialise(chosen.join(blocks.select("_list", "_block"), "_list").select(*keys, "_q", "_list", "_block"), "pairs")
+        pairs = materialise(chosen.join(blocks.select(*PLACE), "_list").select(*keys, "_q", *PLACE), "pairs")
         return Found(_best(_scan(pairs, lists, keys, k, metric), keys, items, k, metric), pairs, asked, blocks)
     # One ring of each chosen list: the one that the query lies in, or next to.
     gap = F.greatest(F.col("_near") - F.col("_value"), F.col("_value") - F.col("_far"), F.lit(0.0)) if metric == "l2" else F.col("_far")
-    ring = chosen.join(blocks, "_list").groupBy(*keys, "_list").agg(F.min_by("_block", F.struct(gap, "_block")).alias("_block"), F.first("_q").alias("_q"))
-    first = materialise(ring.select(*keys, "_q", "_list", "_block"), "pairs")
+    ring = chosen.join(blocks, "_list").groupBy(*keys, "_list").agg(F.min(F.struct(gap.alias("gap"), "_block", "_salt")).alias("at"), F.first("_q").alias("_q"))
+    first = materialise(ring.select(*keys, "_q", "_list", "at._block", "at._salt"), "pairs")
     seeds = materialise(_scan(first, lists, keys, k, metric), "seeds")
     worst = F.max(F.round("l2_distance", 12)) if metric == "l2" else F.min(F.round("dot", 12))
     open_end = float("inf") if metric == "l2" else float("-inf")
@@ -225,7 +247,7 @@ def nearest(
     bounded = asked.join(bound, keys)
     reach = _reachable(F.col("_value"), F.col("_length"), F.col("_near"), F.col("_far"), F.col("_norm"), F.col("_tau"), metric)
     able = _meet(bounded, lists, keys, k, None, metric).join(blocks, "_list").where(reach)
-    rest = able.join(first.select(*keys, "_list", "_block"), [*keys, "_list", "_block"], "left_anti")
-    pairs = materialise(rest.select(*keys, "_q", "_list", "_block"), "pairs")
+    rest = able.join(first.select(*keys, *PLACE), [*keys, *PLACE], "left_anti")
+    pairs = materialise(rest.select(*keys, "_q", *PLACE), "pairs")
     found = seeds.unionByName(_scan(pairs, lists, keys, k, metric))
     return Found(_best(found, keys, items, k, metric), first.unionByName(pairs), asked, blocks)

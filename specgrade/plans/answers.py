@@ -237,10 +237,13 @@ sp_cen AS (WITH {pf.FIT.format(label='species')}, {pf.CENTER_POOLED}, {pf.SCORES
 
 def specimen_hits(t: Tables) -> DataFrame:
     """Twenty nearest train images per pooled test individual, by inner product."""
-    train = pf.unit_images(pf.train(t))
-    return rt.search(pf.pooled_test(t), train, "individual_id", ["vec_id", "species"], 20, -1.0).select(
-        "individual_id", "pos", F.col("item_vec_id").alias("vec_id"), F.col("item_species").alias("species"), "score"
-    )
+    def search() -> DataFrame:
+        train = pf.unit_images(pf.train(t))
+        return rt.search(pf.pooled_test(t), train, "individual_id", ["vec_id", "species"], 20, -1.0).select(
+            "individual_id", "pos", F.col("item_vec_id").alias("vec_id"), F.col("item_species").alias("species"), "score"
+        )
+
+    return t.once("hits", search)
 
 
 def specimen_truth(t: Tables) -> DataFrame:
@@ -249,8 +252,11 @@ def specimen_truth(t: Tables) -> DataFrame:
 
 
 def specimen_predictions(t: Tables) -> DataFrame:
-    means, centroids = fs.centered_centroids(pf.train(t), "species")
-    return fs.classify(fs.center(pf.pooled_test(t), means), centroids, "individual_id", "species", top_k=5)
+    def classify() -> DataFrame:
+        means, centroids = fs.centered_centroids(pf.train(t), "species")
+        return fs.classify(fs.center(pf.pooled_test(t), means), centroids, "individual_id", "species", top_k=5)
+
+    return t.once("specimen_predictions", classify)
 
 
 @query(

@@ -48,7 +48,7 @@ def test_bounds_leave_most_blocks_closed(spark):
     found = vl.nearest(frame(spark, x[:40], "qid"), lists, 5, "qid")
     assert hits(found.rows) == brute(x[:40], x, 5, "l2")
     assert found.opened_share() < 0.3
-    assert found.opened.groupBy("qid", "_list", "_block").count().where("count > 1").count() == 0
+    assert found.opened.groupBy("qid", *vl.PLACE).count().where("count > 1").count() == 0
 
 
 def test_recall_of_probes(spark):
