@@ -7,8 +7,9 @@
 3. Inside a bucket signatures are verified without comparing all pairs: leaders are chosen, classes
    near a leader (under ``NEAR``) leave, and a class is tied to every leader within ``NEAR`` plus the
    reach of a link. The share of differing minima is a metric, so two classes that can be linked are
-   always tied to a common leader. A bucket with more rows than a task should hold is dealt out;
-   the leaders of its parts then meet once more. Ties are linear in the rows of the bucket.
+   always tied to a common leader. Near copies have few leaders, so ties are about as many as rows.
+   A bucket with more rows than a task should hold is dealt out;
+   the leaders of its parts then meet once more.
 4. Alternating large and small stars turn ties into neighbourhoods. A neighbourhood's sets are brought
    together once (a large one in pairs of blocks), and links are confirmed on full sets.
 5. The same stars turn confirmed links into components.
