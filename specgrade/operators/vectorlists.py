@@ -32,7 +32,13 @@ from specgrade.session import materialise
 MAX_CENTRES = 512
 # Rows that the centres are fitted on: those with the smallest hashes of their keys.
 SAMPLE_ROWS = 10_000
-BLOCK_ROWS = 4096
+# Rows of a block and queries of a chunk. Every opened (query, block) pair sends the query to the block, and every
+# chunk reads the block again, so what is shuffled falls with this size.
+BLOCK_ROWS = 16_384
+# By default there are up to so many lists, and more only when lists would outgrow a block.
+FEW_LISTS = 64
+# Pairs that leave a Python task at once: a tile of queries may open every list.
+PAIR_ROWS = 50_000
 # What sums of doubles may lose, so that a bound never closes a ring too early.
 SLACK = 1e-9
 SEED = 42
@@ -69,6 +75,10 @@ class Found:
         return self.opened.count() / every if every else 0.0
 
 
+def default_lists(rows: int) -> int:
+    return max(1, min(math.isqrt(rows), FEW_LISTS), math.ceil(rows / BLOCK_ROWS))
+
+
 def fit_centres(x: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     """``count`` centres by plain k-means over the rows of a sample."""
     centres = np.unique(x[:count], axis=0)
@@ -102,14 +112,14 @@ def build(
     items: DataFrame, key: str | list[str], vector: str = "embedding", lists: int | None = None,
     sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> Lists:
-    """Deal all rows with a vector into lists; by default about the root of their number, bounded."""
+    """Deal all rows with a vector into lists; by default the root of their number or ``FEW_LISTS``, more for many blocks."""
     keys = names(key)
     items = materialise(items.select(*keys, as_double(F.col(vector)).alias("_x")).where("_x is not null"), "items")
     n = items.count()
     order = seeded_hash(SEED, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     sample = items.select(order.alias("_h"), "_x").orderBy("_h").limit(sample_rows).toPandas()
     x = matrix(sample["_x"]) if len(sample) else np.zeros((0, 0))
-    centres = fit_centres(x, min(MAX_CENTRES, lists or max(1, math.isqrt(n)))) if len(x) else x
+    centres = fit_centres(x, min(MAX_CENTRES, lists or default_lists(n))) if len(x) else x
     borders = ring_borders(x, centres, n, block_rows) if n else []
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,8 +180,12 @@ def _reachable(value, length, near, far, norm, tau, metric):
 
 
 def _meet(queries: DataFrame, lists: Lists, keys: list[str], k: int, probes: int | None, metric: str) -> DataFrame:
-    """Queries with each list they choose: adds _list, _value (to the centre) and _length."""
+    """Queries, by key and id, with each list they choose: adds _list, _value (to the centre) and _length.
+
+    The vectors stay behind; the scan fetches them by id.
+    """
     bounded = "_tau" in queries.columns
+    kept = [c for c in queries.columns if c != "_q"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,23 +193,26 @@ def _meet(queries: DataFrame, lists: Lists, keys: list[str], k: int, probes: int
                 q = matrix(tile["_q"])
                 tau = tile["_tau"].to_numpy(np.float64) if bounded else None
                 chosen, value = _choose(lists_only, q, tau, k, probes, metric)
-                row, at = np.nonzero(chosen)
-                out = tile.iloc[row].reset_index(drop=True)
-                yield out.assign(_list=at.astype(np.int32), _value=value[row, at], _length=np.sqrt((q * q).sum(axis=1))[row])
+                length, plain = np.sqrt((q * q).sum(axis=1)), tile[kept]
+                rows, lists_at = np.nonzero(chosen)
+                for start in range(0, len(rows), PAIR_ROWS):
+                    row, at = rows[start : start + PAIR_ROWS], lists_at[start : start + PAIR_ROWS]
+                    out = plain.iloc[row].reset_index(drop=True)
+                    yield out.assign(_list=at.astype(np.int32), _value=value[row, at], _length=length[row])
 
     # Tasks get the figures of the lists, not the tables.
     lists_only = Lists(None, None, lists.centres, lists.sizes, lists.far, lists.near, lists.norm, lists.block, lists.keys)
     extra = [T.StructField("_list", T.IntegerType()), T.StructField("_value", T.DoubleType()), T.StructField("_length", T.DoubleType())]
-    return queries.mapInPandas(choose, T.StructType([*queries.schema.fields, *extra]))
+    return queries.mapInPandas(choose, T.StructType([*queries.select(*kept).schema.fields, *extra]))
 
 
-def _scan(pairs: DataFrame, lists: Lists, keys: list[str], k: int, metric: str) -> DataFrame:
-    """The best ``k`` rows of each (query, block) pair; ``pairs`` has the keys, _q and the place."""
+def _scan(pairs: DataFrame, asked: DataFrame, lists: Lists, keys: list[str], k: int, metric: str) -> DataFrame:
+    """The best ``k`` rows of each (query, block) pair; ``pairs`` has _id and the place, ``asked`` the keys, _id and _q."""
     items = list(lists.keys)
-    schema = match_schema(pairs, keys, lists.rows, items)
+    schema = match_schema(asked, keys, lists.rows, items)
     load = pairs.groupBy(*PLACE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_chunks"))
-    chunk = F.pmod(F.xxhash64(*keys), F.col("_chunks")).cast("int").alias("_chunk")
-    asked = pairs.join(load, PLACE).select(*PLACE, chunk, *keys, "_q")
+    chunk = F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int").alias("_chunk")
+    asked = pairs.select("_id", *PLACE).join(load, PLACE).select("_id", *PLACE, chunk).join(asked, "_id").drop("_id")
     salts = lists.blocks.where("_salt = 0").select("_list", "_block", "_salts")
     salted = lists.rows.join(salts, ["_list", "_block"]).withColumn("_salt", F.pmod(F.xxhash64(*items), F.col("_salts")).cast("int"))
     held = salted.join(load, PLACE).select(*PLACE, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), *items, "_x")
@@ -227,27 +244,28 @@ def nearest(
     exact. Queries and rows without a vector take no part; fewer than ``k`` rows give what there is.
     """
     keys, items = names(key), list(lists.keys)
-    asked = materialise(queries.select(*keys, as_double(F.col(vector)).alias("_q")).where("_q is not null"), "asked")
+    wanted = queries.select(*keys, as_double(F.col(vector)).alias("_q")).where("_q is not null")
+    asked = materialise(wanted.withColumn("_id", F.monotonically_increasing_id()), "asked")
     if not len(lists.centres):
         nothing = asked.sparkSession.createDataFrame([], match_schema(asked, keys, lists.rows, items))
         return Found(_best(nothing, keys, items, k, metric), asked.limit(0), asked, lists.blocks)
     chosen = _meet(asked, lists, keys, k, probes, metric)
     blocks = lists.blocks
     if probes is not None:
-        pairs = materialise(chosen.join(blocks.select(*PLACE), "_list").select(*keys, "_q", *PLACE), "pairs")
-        return Found(_best(_scan(pairs, lists, keys, k, metric), keys, items, k, metric), pairs, asked, blocks)
+        pairs = materialise(chosen.join(blocks.select(*PLACE), "_list").select(*keys, "_id", *PLACE), "pairs")
+        return Found(_best(_scan(pairs, asked, lists, keys, k, metric), keys, items, k, metric), pairs, asked, blocks)
     # One ring of each chosen list: the one that the query lies in, or next to.
     gap = F.greatest(F.col("_near") - F.col("_value"), F.col("_value") - F.col("_far"), F.lit(0.0)) if metric == "l2" else F.col("_far")
-    ring = chosen.join(blocks, "_list").groupBy(*keys, "_list").agg(F.min(F.struct(gap.alias("gap"), "_block", "_salt")).alias("at"), F.first("_q").alias("_q"))
-    first = materialise(ring.select(*keys, "_q", "_list", "at._block", "at._salt"), "pairs")
-    seeds = materialise(_scan(first, lists, keys, k, metric), "seeds")
+    ring = chosen.join(blocks, "_list").groupBy(*keys, "_id", "_list").agg(F.min(F.struct(gap.alias("gap"), "_block", "_salt")).alias("at"))
+    first = materialise(ring.select(*keys, "_id", "_list", "at._block", "at._salt"), "pairs")
+    seeds = materialise(_scan(first, asked, lists, keys, k, metric), "seeds")
     worst = F.max(F.round("l2_distance", 12)) if metric == "l2" else F.min(F.round("dot", 12))
     open_end = float("inf") if metric == "l2" else float("-inf")
     bound = _best(seeds, keys, items, k, metric).groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= k, worst).otherwise(open_end).alias("_tau"))
     bounded = asked.join(bound, keys)
     reach = _reachable(F.col("_value"), F.col("_length"), F.col("_near"), F.col("_far"), F.col("_norm"), F.col("_tau"), metric)
     able = _meet(bounded, lists, keys, k, None, metric).join(blocks, "_list").where(reach)
-    rest = able.join(first.select(*keys, *PLACE), [*keys, *PLACE], "left_anti")
-    pairs = materialise(rest.select(*keys, "_q", *PLACE), "pairs")
-    found = seeds.unionByName(_scan(pairs, lists, keys, k, metric))
+    rest = able.join(first.select("_id", *PLACE), ["_id", *PLACE], "left_anti")
+    pairs = materialise(rest.select(*keys, "_id", *PLACE), "pairs")
+    found = seeds.unionByName(_scan(pairs, asked, lists, keys, k, metric))
     return Found(_best(found, keys, items, k, metric), first.unionByName(pairs), asked, blocks)

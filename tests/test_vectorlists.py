@@ -76,3 +76,17 @@ def test_one_value_fills_the_index_and_empty_sides(spark):
     assert vl.nearest(frame(spark, x[:1], "qid").limit(0), lists, 4, "qid").rows.collect() == []
     blank = spark.createDataFrame([(1, None)], "qid long, embedding array<double>")
     assert vl.nearest(blank, lists, 4, "qid").rows.collect() == []
+
+
+def test_pairs_carry_no_vectors_and_lists_stay_few(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4500, 4))
+    lists = vl.build(frame(spark, x), "id")
+    assert len(lists.centres) <= 64
+    found = vl.nearest(frame(spark, x[:50], "qid"), lists, 3, "qid", metric="dot")
+    assert not [c for c, kind in found.opened.dtypes if kind.startswith("array")]
+    assert hits(found.rows) == brute(x[:50], x, 3, "dot")
+
+
+def test_default_lists_follow_blocks():
+    assert [vl.default_lists(n) for n in (0, 1, 100, 4500, 100_000, 10_000_000)] == [1, 1, 10, 64, 64, 611]
