@@ -389,8 +389,10 @@ def table_function_values(t: Tables) -> DataFrame:
         if free:
             yield "untaxed", str(free[0])
 
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag")
-    return st.values_from_table_function(lines, "l_orderkey", describe, "l_linenumber")
+    # Several lines of an order may have one number and quantity; the one that the table holds first comes first.
+    place = F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("place")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", place)
+    return st.values_from_table_function(lines, "l_orderkey", describe, "place")
 
 
 @query(

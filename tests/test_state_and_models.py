@@ -164,3 +164,22 @@ def test_stalls_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
         rows = stream(spark, str(tmp_path / name), [[(c, at(m))] for c, m in order], "condition string, ts string")
         got = pg.stalled(rows, "condition", "ts", 60 * 60_000, "200 minutes").collect()
         assert sorted((r["condition"], r["last_seen"].hour * 60 + r["last_seen"].minute, r["n"]) for r in got) == sorted(want), name
+
+
+def test_tied_lines_go_by_their_place_in_the_table(spark, tmp_path):
+    from specgrade.plans.conditions import table_function_values
+    from specgrade.plans.registry import Tables
+
+    rng, want = random.Random(8), {}
+    for part in range(6):
+        rows = [(rng.randrange(150), 1, float(rng.randrange(2)), 0.5, rng.choice("ANR")) for _ in range(400)]
+        for order, _, quantity, _, flag in rows:
+            if order not in want or quantity > want[order][0]:
+                want[order] = (quantity, flag)
+        lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string").coalesce(1)
+        lines.write.parquet(str(tmp_path / "one"), mode="overwrite")
+        file = next((tmp_path / "one").glob("*.parquet"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        (tmp_path / "lineitem.parquet" / f"part-{part}.parquet").write_bytes(file.read_bytes())
+    got = table_function_values(Tables(spark, str(tmp_path))).where("trait = 'largest'").collect()
+    assert {r.l_orderkey: r.token for r in got} == {k: flag for k, (_, flag) in want.items()}
