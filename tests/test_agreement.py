@@ -106,3 +106,37 @@ def test_headroom_verdicts(spark):
     dist = spark.createDataFrame([("t", "s", 5), ("t", "s", 5), ("u", "s", 5), ("v", "s", 95), ("v", "s", 5)], "trait string, source string, n int")
     got = {r["trait"]: r["verdict"] for r in ag.headroom(scores, dist).collect()}
     assert got == {"t": "NO-GO", "u": "CAUTION", "v": "CAUTION"}
+
+
+def test_cells_side_by_side_equal_long_modes_and_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    cells = {("m", "x"): ["p", "q"], ("a", "x"): ["q", "p"], ("a", "y"): ["u", "v", "w"], ("m", "y"): ["u", "v", "w"]}
+    rows = [(rng.randrange(40) if i % 3 else 0, i, *[rng.choice([*v, None]) for v in cells.values()]) for i in range(600)]
+    wide = spark.createDataFrame(rows, "specimen long, pos long, c0 string, c1 string, c2 string, c3 string").repartition(5)
+    long = spark.createDataFrame([(r[0], r[1], s, k, r[2 + i]) for r in rows for i, (s, k) in enumerate(cells)], "specimen long, pos long, source string, trait string, token string")
+    coded = wide.select("specimen", "pos", ag.cell_code(cells, ["c0", "c1", "c2", "c3"]).alias("code"))
+    found = ag.cell_modes(ag.code_counts(coded, "specimen", "pos"), cells, "specimen", "specimen")
+    got = found.select("specimen", F.explode("cells").alias("c")).select("specimen", "c.source", "c.trait", "c.n_views", "c.n_present", "c.token", "c.n_mode")
+    keys = ["specimen", "source", "trait"]
+    want = ag.modal_values(long, keys, "token", "pos").select(*keys, "n_views", "n_present", "mode", "n_mode")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.withColumnRenamed("mode", "token").collect()))
+    axes = {"m_a": ("m", "a")}
+    pairs = ag.cell_pairs(found, cells, axes, "specimen")
+    wanted = ag.pair_axes(want.withColumnRenamed("mode", "token"), axes, ["specimen", "trait"])
+    columns = ["specimen", "axis", "trait", "value_a", "value_b", "agree"]
+    assert sorted(map(tuple, pairs.select(*columns).collect())) == sorted(map(tuple, wanted.select(*columns).collect()))
+    with pytest.raises(ValueError):
+        ag.cell_code({("s", str(i)): list("abcdefghi") for i in range(20)}, [f"c{i}" for i in range(20)])
+
+
+def test_rater_lines_are_shuffled_by_specimen_not_by_cell(spark):
+    from specgrade.plans import agreement as pa
+    from specgrade.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lines = t.lineitem.count()
+    assert pa.counts(t).agg(F.sum("n")).first()[0] == lines and pa.counts(t).count() <= lines
+    plan = pa.trait_comparison(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 2 + plan.count("ReusedExchange")
