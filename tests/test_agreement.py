@@ -140,3 +140,13 @@ def test_rater_lines_are_shuffled_by_specimen_not_by_cell(spark):
     assert pa.counts(t).agg(F.sum("n")).first()[0] == lines and pa.counts(t).count() <= lines
     plan = pa.trait_comparison(t)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") <= 2 + plan.count("ReusedExchange")
+
+
+def test_gradable_rows_are_counted_before_they_meet_the_traits(spark):
+    from specgrade.plans import agreement as pa
+    from specgrade.plans.registry import Tables
+
+    df = pa.gradable_rows(Tables(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.index("Join Inner") < plan.index("Aggregate [source")
+    assert {r.n for r in df.collect()} == {spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()}
