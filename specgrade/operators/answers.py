@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from specgrade.functions import fixed_values as fv
@@ -294,51 +295,42 @@ class _KeyPage(HTMLParser):
                 return
 
 
-def _rows_of(**fields: T.DataType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
-
-
-# Types are objects here: a type given as text would need a session at import.
-_PAGE_TYPE = T.StructType(
-    [
-        T.StructField(
-            "taxa",
-            _rows_of(pos=T.IntegerType(), taxon_id=T.LongType(), scientific_name=T.StringType(), family=T.StringType()),
-        ),
-        T.StructField(
-            "options",
-            _rows_of(category_id=T.IntegerType(), option_id=T.IntegerType(), category=T.StringType(), label=T.StringType(), group_id=T.IntegerType()),
-        ),
-    ]
-)
-
-
-@F.pandas_udf(_PAGE_TYPE)
-def _key_page(html: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in html:
-        page = _KeyPage()
-        page.feed(text or "")
-        page.close()
-        page.end_group()
-        out.append(
-            (
-                [dict(zip(("pos", "taxon_id", "scientific_name", "family"), t)) for t in page.taxa],
-                [dict(zip(("category_id", "option_id", "category", "label", "group_id"), o)) for o in page.options],
-            )
-        )
-    return pd.DataFrame(out, columns=["taxa", "options"])
+_TAXA = {"pos": T.IntegerType(), "taxon_id": T.LongType(), "scientific_name": T.StringType(), "family": T.StringType()}
+_OPTIONS = {"category_id": T.IntegerType(), "option_id": T.IntegerType(), "category": T.StringType(), "label": T.StringType(), "group_id": T.IntegerType()}
+_ARROW = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
+# Pages that are parsed at once: what they list leaves the task before the next ones are read.
+PAGES_AT_ONCE = 100
+
+
+def _key_page(html: str | None) -> tuple[list[dict], list[dict]]:
+    page = _KeyPage()
+    page.feed(html or "")
+    page.close()
+    page.end_group()
+    return [dict(zip(_TAXA, t)) for t in page.taxa], [dict(zip(_OPTIONS, o)) for o in page.options]
 
 
 def parse_key_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``taxa``, ``options`` and ``species_count`` to fetched pages."""
     count = F.replace(F.regexp_extract(html, r"Species Count:\s*([\d,]+)", 1), F.lit(","), F.lit(""))
-    return pages.withColumn("_p", _key_page(F.col(html))).select(
-        *[c for c in pages.columns if c != html],
-        "_p.taxa",
-        "_p.options",
-        F.coalesce(F.when(count != "", count).cast("long"), F.lit(0).cast("long")).alias("species_count"),
+    kept = [c for c in pages.columns if c != html]
+    rows = pages.select(
+        *kept, F.coalesce(F.when(count != "", count).cast("long"), F.lit(0).cast("long")).alias("species_count"), F.col(html).alias("_html")
     )
+    lists = {"taxa": _TAXA, "options": _OPTIONS}
+    made = [T.StructField(n, T.ArrayType(T.StructType([T.StructField(k, v) for k, v in f.items()]))) for n, f in lists.items()]
+    types = [pa.list_(pa.struct([(k, _ARROW[v]) for k, v in f.items()])) for f in lists.values()]
+    schema = T.StructType([*rows.drop("_html").schema.fields, *made])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(start, PAGES_AT_ONCE)
+                found = [_key_page(text) for text in part.column(part.num_columns - 1).to_pylist()]
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema.fieldNames())
+
+    return rows.mapInArrow(parse, schema).select(*kept, "taxa", "options", "species_count")
 
 
 def listed_taxa(parsed: DataFrame, *keep: str) -> DataFrame:

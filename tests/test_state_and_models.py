@@ -183,3 +183,13 @@ def test_tied_lines_go_by_their_place_in_the_table(spark, tmp_path):
         (tmp_path / "lineitem.parquet" / f"part-{part}.parquet").write_bytes(file.read_bytes())
     got = table_function_values(Tables(spark, str(tmp_path))).where("trait = 'largest'").collect()
     assert {r.l_orderkey: r.token for r in got} == {k: flag for k, (_, flag) in want.items()}
+
+
+def test_key_pages_are_parsed_in_pieces(spark):
+    from specgrade.operators import answers as an
+
+    n = 2 * an.PAGES_AT_ONCE + 7
+    page = '<div id="key-taxa"><div class="family-div">F</div><div class="taxon-div"><a href="?taxon={0}"><i>T{0}</i></a></div></div>'
+    pages = spark.createDataFrame([(i, page.format(i) if i % 5 else None, i * 2) for i in range(n)], "id long, html string, twice long").coalesce(1)
+    got = an.parse_key_pages(pages).collect()
+    assert [(r.id, r.twice, r.species_count, [tuple(t) for t in r.taxa]) for r in got] == [(i, i * 2, 0, [(1, i, f"T{i}", "F")] if i % 5 else []) for i in range(n)]
