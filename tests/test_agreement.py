@@ -150,3 +150,21 @@ def test_gradable_rows_are_counted_before_they_meet_the_traits(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan and plan.index("Join Inner") < plan.index("Aggregate [source")
     assert {r.n for r in df.collect()} == {spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()}
+
+
+def test_lines_are_dealt_before_they_are_counted(spark):
+    from specgrade.plans import agreement as pa
+    from specgrade.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    assert t.parts("lineitem", 7_000) == -(-t.lineitem.count() // 7_000)
+    rows = spark.createDataFrame([(1, i, 5) for i in range(40)] + [(i, 0, 2) for i in range(40)], "specimen long, pos long, code long").repartition(4)
+    counted = ag.code_counts(rows, "specimen", "pos", parts=3)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("REPARTITION_BY_NUM")
+    assert "HashAggregate" in plan[:dealt] and "HashAggregate" not in plan[dealt:]
+    # A large group is as many pieces as tasks read it.
+    got = counted.where("specimen = 1 and code = 5")
+    assert 1 <= got.count() <= 4 and tuple(got.agg(F.sum("n"), F.min("first")).first()) == (40, 0)
+    modes = pa.wide_modes(t)._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(specimen#{modes.split('hashpartitioning(specimen#')[1].split(',')[0]}, {t.parts('lineitem', ag.ROWS_PER_TASK)}), REPARTITION_BY_NUM" in modes
