@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specgrade.functions import fixed_values as fv
-from specgrade.functions.columns import count_where, names, not_blank, ratio, ratio0
+from specgrade.functions.columns import count_where, growing, names, not_blank, ratio, ratio0
 from specgrade.functions.text import classify_prediction, is_abstention, normalize_prediction, truth_values
 from specgrade.operators.classmetrics import binary_metrics
 from specgrade.session import local_table
@@ -71,7 +71,7 @@ def attach_matrix(values: DataFrame, matrix: DataFrame, taxon: str, suffix: str
     )
     flag = F.try_element_at("options", F.concat("category", F.lit("__uncoded")))
     uncoded = F.coalesce(flag == 1, ~F.array_contains("_coded", F.col("category")), F.lit(True))
-    return values.join(rows, taxon, "left").withColumn("uncoded", uncoded).drop("_coded")
+    return values.join(growing(rows), taxon, "left").withColumn("uncoded", uncoded).drop("_coded")
 
 
 def _with_truth(predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from specgrade.functions.columns import growing
 from specgrade.functions.text import classify_prediction, normalize_prediction, strip_justification
 from specgrade.operators import classmetrics as cm, grading as gr, identification as idn, matrix as mx, reports, taxonomy as tx
 from specgrade.plans.agreement import rounded
@@ -140,7 +141,7 @@ def model_scored(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("model"), F.col("l_partkey").alias("p_partkey"), F.expr(VIEW_POS).alias("pos"), F.explode(values).alias("u")
     )
     answers = rows.groupBy("model", "p_partkey", "u.trait").agg(F.min_by("u.prediction", "pos").alias("prediction"))
-    return answers.join(truth(t), ["p_partkey", "trait"]).withColumn("result", classify_prediction(F.col("prediction"), F.col("truth")))
+    return answers.join(growing(truth(t)), ["p_partkey", "trait"]).withColumn("result", classify_prediction(F.col("prediction"), F.col("truth")))
 
 
 @query(
@@ -643,7 +644,7 @@ cmp AS (SELECT *, coalesce(lower(trim(pred_family)), '') = lower(true_family) AS
 def identifications(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     joined = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        t.orders.join(growing(t.customer), F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -709,7 +710,7 @@ CORR = """corr AS (SELECT specimen_id, rank, arg_max({'o': original, 'c': canoni
 def corrections(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     joined = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        t.orders.join(growing(t.customer), F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     )

@@ -172,3 +172,16 @@ def test_synonyms_and_ids(spark):
 def test_label_ids_are_first_seen(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4)], "label string, pos int")
     assert {r["label"]: r["label_id"] for r in tx.label_ids(df, "label", "pos").collect()} == {"b": 0, "a": 1, "c": 2}
+
+
+def test_sides_that_grow_with_the_input_are_not_broadcast(spark):
+    from specgrade.plans import conditions as pc, grading as pg
+    from specgrade.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df, column in ((pc.results(t), "c_custkey"), (pg.identifications(t), "c_custkey"), (pg.mapped(t), "options")):
+        # The small tables of nations, regions, options and rules still travel whole.
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan and column in plan
+    plan = pc.results(t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [o_custkey" in plan
