@@ -6,9 +6,9 @@ pivots for output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from specgrade.functions.columns import names, ratio
+from specgrade.functions.columns import growing, names, ratio
 from specgrade.operators.classmetrics import kappa, pair_counts
 
 
@@ -18,14 +18,20 @@ def build_matrix(species: DataFrame, members: DataFrame, options: DataFrame, tax
     ``options`` (category, option_column) is the schema of the page, ``members`` (taxon,
     option_column). Every taxon gets its row of options, as the dense matrix asks.
     """
-    schema = options.groupBy().agg(F.collect_list(F.struct("category", "option_column")).alias("_o"))
-    dense = species.select(taxon, F.explode(schema.scalar()).alias("_o")).select(taxon, "_o.*")
-    held = members.select(taxon, "option_column").distinct().withColumn("value", F.lit(1))
-    values = dense.join(held, [taxon, "option_column"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    flags = values.groupBy(taxon, "category").agg((F.max("value") == 0).cast("int").alias("value")).withColumn(
-        "option_column", F.concat("category", F.lit("__uncoded"))
-    )
-    return values.select(taxon, "category", "option_column", "value").unionByName(flags)
+    schema = options.groupBy().agg(F.collect_list(F.struct("category", "option_column")).alias("_o")).scalar()
+    held = members.groupBy(taxon).agg(F.collect_set("option_column").alias("_held"))
+    # A taxon has one row until its options are unfolded; one listed twice keeps its repeats, but has its flags once.
+    rows = species.groupBy(taxon).agg(F.count(F.lit(1)).cast("int").alias("_n")).join(growing(held), taxon, "left").withColumn("_o", schema)
+    has = lambda o: F.coalesce(F.array_contains("_held", o["option_column"]), F.lit(False)).cast("int")
+
+    def entry(category: Column, option: Column, value: Column) -> Column:
+        return F.struct(category.alias("category"), option.alias("option_column"), value.alias("value"))
+
+    values = F.flatten(F.transform("_o", lambda o: F.array_repeat(entry(o["category"], o["option_column"], has(o)), F.col("_n"))))
+    categories = F.array_distinct(F.transform("_o", lambda o: o["category"]))
+    coded = lambda c: F.exists("_o", lambda o: o["category"].eqNullSafe(c) & (has(o) == 1))
+    flags = F.transform(categories, lambda c: entry(c, F.concat(c, F.lit("__uncoded")), (~coded(c)).cast("int")))
+    return rows.select(taxon, F.explode(F.concat(values, flags)).alias("_e")).select(taxon, "_e.*")
 
 
 def widen(matrix: DataFrame, key: str | list[str], columns: list[str], column: str = "option_column", value: str = "value") -> DataFrame:

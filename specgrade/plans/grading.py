@@ -361,8 +361,10 @@ def matrix(t: Tables) -> DataFrame:
     """Long matrices of both sources, built from membership sets."""
     schema = local_table(t.spark, [(c, o) for o, c, *_ in OPTIONS], "category string, option_column string")
     out = None
+    # A narrow table is one or two splits at any size; its rows unfold to many, so they are dealt out first.
+    parts = t.part.select(F.col("p_partkey").alias("taxon"), "p_partkey", "p_size").repartition(t.parts("part", 20_000), "taxon")
     for i, source in enumerate(("one", "two")):
-        species = t.part.select(F.col("p_partkey").alias("taxon"), "p_partkey", "p_size")
+        species = parts
         species = species if i == 0 else species.where("p_partkey % 3 <> 1")
         held = F.array(*[F.when(F.expr(e[i]), F.lit(o)) for o, _, *e in OPTIONS])
         members = species.select("taxon", F.explode(F.array_compact(held)).alias("option_column"))

@@ -185,3 +185,20 @@ def test_sides_that_grow_with_the_input_are_not_broadcast(spark):
         assert "strategy=merge" in plan and column in plan
     plan = pc.results(t)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [o_custkey" in plan
+
+
+def test_matrix_of_one_split_is_dealt_out_and_unfolded_without_joins_of_options(spark):
+    from specgrade.operators import matrix as mx
+    from specgrade.plans import grading as pg
+    from specgrade.plans.registry import Tables
+
+    species = spark.createDataFrame([(1,), (1,), (2,), (None,)], "taxon long")
+    members = spark.createDataFrame([(1, "a__x"), (1, "a__x"), (3, "a__x"), (2, "b__z"), (2, None)], "taxon long, option_column string")
+    options = spark.createDataFrame([("a", "a__x"), ("a", "a__y"), ("b", "b__z")], "category string, option_column string")
+    got = sorted(tuple(r) for r in mx.build_matrix(species, members, options, "taxon").where("taxon is not null").collect())
+    one = [(1, "a", "a__uncoded", 0), *[(1, "a", "a__x", 1)] * 2, *[(1, "a", "a__y", 0)] * 2, (1, "b", "b__uncoded", 1), *[(1, "b", "b__z", 0)] * 2]
+    two = [(2, "a", "a__uncoded", 1), (2, "a", "a__x", 0), (2, "a", "a__y", 0), (2, "b", "b__uncoded", 0), (2, "b", "b__z", 1)]
+    assert got == one + two
+    t = Tables(spark, "/root/testdata/sf0.1")
+    plan = pg.matrix(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"RepartitionByExpression [taxon" in plan and plan.count("Join") == 2 and t.parts("part", 5_000) == 4
