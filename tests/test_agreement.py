@@ -168,3 +168,21 @@ def test_lines_are_dealt_before_they_are_counted(spark):
     assert 1 <= got.count() <= 4 and tuple(got.agg(F.sum("n"), F.min("first")).first()) == (40, 0)
     modes = pa.wide_modes(t)._jdf.queryExecution().executedPlan().toString()
     assert f"hashpartitioning(specimen#{modes.split('hashpartitioning(specimen#')[1].split(',')[0]}, {t.parts('lineitem', ag.ROWS_PER_TASK)}), REPARTITION_BY_NUM" in modes
+
+
+def test_view_values_number_lines_before_cells_unfold(spark, tmp_path):
+    import duckdb
+
+    from specgrade.plans import agreement as pa
+    from specgrade.plans.registry import REGISTRY, Tables
+
+    # Lines in one place with different values, equal lines, and a group read by several tasks.
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(400)
+    copies = lines.withColumn("l_quantity", F.lit(48.0)).union(lines).union(lines).union(lines.withColumn("l_orderkey", F.lit(1).cast("long")))
+    copies.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = pa.view_values(Tables(spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(REGISTRY["view_values"].sql).fetchall()))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [specimen" in plan and "_ranges" not in plan
