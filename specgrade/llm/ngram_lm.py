@@ -2,8 +2,10 @@
 
 Counting. Tasks turn texts into word ids (64-bit hashes) and count the words and bigrams of a
 block of texts. The counts are shuffled by hash as compact arrays; a shard merges them by sorting. A
-frequent word or bigram thus costs one entry a block, and shards are even because they are cut by
-hash. The bigram shards also tell each word its number of predecessors and of followers by count, again
+frequent word or bigram thus costs one entry a block. Bigram shards are a grid: one half of the bits
+comes from the hash of the context, the other from that of the word. A shard thus meets few words many
+times, and a block names each of them to it once; a frequent word is still spread over a row of the grid.
+The bigram shards also tell each word its number of predecessors and of followers by count, again
 as arrays shuffled by hash.
 
 Storing. Every shard is a flat file of sorted 64-bit hashes beside files of its values, written by
@@ -99,8 +101,24 @@ def _word_key(ids: np.ndarray) -> np.ndarray:
     return chain([ids])
 
 
-def _bigram_key(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return chain([contexts, words])
+def _bigram_key(contexts: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """64 bits: the shard, from a hash of the context and one of the word, then a hash of both."""
+    half = bits // 2
+    place = _shard(_word_key(contexts), half) << (bits - half) | _shard(_word_key(words), bits - half)
+    return place.astype(np.uint64) << np.uint64(64 - bits) | chain([contexts, words]) >> np.uint64(bits)
+
+
+def _pack(contexts: np.ndarray, words: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Bigrams by context: the contexts and their numbers of bigrams, the distinct words, each bigram's word and count."""
+    order = np.argsort(contexts, kind="stable")
+    held, runs = np.unique(contexts, return_counts=True)
+    seen, place = np.unique(words[order], return_inverse=True)
+    return [held.tobytes(), _counts(runs), seen.tobytes(), _counts(place), _counts(n[order])]
+
+
+def _unpack(held: bytes, runs: bytes, seen: bytes, place: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    contexts = np.repeat(np.frombuffer(held, np.uint64), _read_counts(runs))
+    return contexts, np.frombuffer(seen, np.uint64)[_read_counts(place)], _read_counts(n)
 
 
 def _sum_by(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -130,9 +148,9 @@ def _count(texts: DataFrame, bits: int) -> DataFrame:
             keys, at, (n,) = _sum_by(_word_key(words), [np.ones(len(words), np.int64)])
             for s, r in _cut(_shard(keys, bits), 1 << bits):
                 rows.append(("w", s, *_halves(words[at[r]]), _counts(n[r]), None, None))
-            keys, at, (n,) = _sum_by(_bigram_key(contexts, words), [np.ones(len(words), np.int64)])
+            keys, at, (n,) = _sum_by(_bigram_key(contexts, words, bits), [np.ones(len(words), np.int64)])
             for s, r in _cut(_shard(keys, bits), 1 << bits):
-                rows.append(("b", s, *_halves(contexts[at[r]]), *_halves(words[at[r]]), _counts(n[r])))
+                rows.append(("b", s, *_pack(contexts[at[r]], words[at[r]], n[r])))
             starts = np.array([len(block)], np.int64)
             rows.append(("w", int(_shard(_word_key(np.array([START])), bits)[0]), *_halves(np.array([START])), _counts(starts), None, None))
             yield _part(rows)
@@ -150,15 +168,15 @@ def _merge(parts: DataFrame, bits: int) -> DataFrame:
     def merge(key, table):
         kind, shard = key[0].as_py(), key[1].as_py()
         read = lambda name: [x.as_py() for x in table.column(name)]
-        ids = lambda low, high: np.concatenate([_whole(x, y) for x, y in zip(read(low), read(high))])
         files = []
         if kind == "w":
-            words, n = ids("a", "b"), np.concatenate([_read_counts(x) for x in read("c")])
+            words = np.concatenate([_whole(x, y) for x, y in zip(read("a"), read("b"))])
+            n = np.concatenate([_read_counts(x) for x in read("c")])
             _, at, (n,) = _sum_by(_word_key(words), [n])
             files.append(_file("words", shard, np.concatenate([words[at].view(np.int64), n])))
         else:
-            contexts, words, n = ids("a", "b"), ids("c", "d"), np.concatenate([_read_counts(x) for x in read("e")])
-            keys, at, (n,) = _sum_by(_bigram_key(contexts, words), [n])
+            contexts, words, n = (np.concatenate(x) for x in zip(*[_unpack(*x) for x in zip(*[read(c) for c in "abcde"])]))
+            keys, at, (n,) = _sum_by(_bigram_key(contexts, words, bits), [n])
             contexts, words = contexts[at], words[at]
             large = np.flatnonzero(n > 254)
             files += [
@@ -353,7 +371,7 @@ def probabilities(model: KneserNey, files: _Mapped, contexts: np.ndarray, words:
     if not model.bigrams:
         return np.full(len(words), uniform), np.zeros(len(words), np.int64)
     lower = (_discounted(before, model.word_discounts) + model.word_backoff * uniform) / model.bigrams
-    pairs, place = np.unique(_bigram_key(contexts, words), return_inverse=True)
+    pairs, place = np.unique(_bigram_key(contexts, words, model.bits), return_inverse=True)
     pair = _discounted(files.bigram_counts(pairs), model.pair_discounts)[place]
     total = count[context]
     known = total > 0

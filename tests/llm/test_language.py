@@ -76,6 +76,17 @@ def test_words_that_share_40_bits_of_their_hash_are_counted_apart(spark):
     assert (both.words, both.bigrams) == (3, 3)
 
 
+def test_bigrams_travel_in_few_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").coalesce(1)
+    size = sum(F.coalesce(F.length(c), F.lit(0)) for c in "abcde")
+    parts = ngram_lm._count(docs, 6).where("kind = 'b'").groupBy("shard").agg(F.sum(size).alias("n"))
+    total, largest = parts.agg(F.sum("n"), F.max("n")).first()
+    blocks = ngram_lm._blocks(docs.toArrow().to_batches(), 0)
+    pairs = sum(len({*zip(*(x.tolist() for x in ngram_lm._bigrams(texts)))}) for _, texts in blocks)
+    # Two ids of 64 bits and a count are 17 bytes; the grid spreads frequent words.
+    assert total < 13 * pairs and largest < 3 * total / 64
+
+
 def test_model_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
     model = ngram_lm.fit(docs.limit(0))
