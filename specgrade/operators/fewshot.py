@@ -22,8 +22,8 @@ from specgrade.session import materialise
 # A model whose vectors take up to this many bytes is shipped to the tasks.
 SHIP_BYTES = 64 << 20
 BLOCK_ROWS = 4096
-# Scores that are held at once: 16 MB for each array of them.
-TILE_SCORES = 2_000_000
+# Scores that are held at once: 2 MB for each of the ten or so arrays of them, so that a worker stays small.
+TILE_SCORES = 250_000
 
 
 def pool(images: DataFrame, group: str | list[str], vector: str = "embedding") -> DataFrame:

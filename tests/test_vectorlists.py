@@ -90,3 +90,24 @@ def test_pairs_carry_no_vectors_and_lists_stay_few(spark):
 
 def test_default_lists_follow_blocks():
     assert [vl.default_lists(n) for n in (0, 1, 100, 4500, 100_000, 10_000_000)] == [1, 1, 10, 64, 64, 611]
+
+
+def test_a_task_holds_few_scores_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from specgrade.operators import fewshot as fs
+
+    rng = np.random.default_rng(1)
+    asked = pd.DataFrame({"q": np.arange(3_000), "_q": list(rng.normal(size=(3_000, 16)))})
+    x = rng.normal(size=(2_000, 16))
+    held = pd.DataFrame({"i": np.arange(2_000)})
+    tracemalloc.start()
+    n = sum(len(fs.score_block(tile, ["q"], held, ["i"], x, 20, "dot")) for tile in fs.tiles(asked, len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000
+    # All scores are 48 MB, and several arrays of a tile live at once.
+    assert peak < 25e6
