@@ -1,12 +1,15 @@
 """Jaccard join, components, exact top-k search."""
 
 import random
+import time
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from specgrade import session
 from specgrade.llm import jaccard, topk
 from specgrade.llm.components import components
 
@@ -88,6 +91,27 @@ def test_a_cluster_of_near_copies_is_one_group(spark):
     assert found.select("grp").distinct().count() <= 3
 
 
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = shuffled()
+    stored = session.materialise(spark.range(100).repartition(3, "id"), "rows")
+    for _ in range(40):  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffled() - before and stored.count() == 100
+
+
+def test_groups_leave_no_sets_behind(spark, tmp_path, monkeypatch):
+    rows = [r for r in texts() if r[0] < 60]
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    found = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=Fraction(9, 10))
+    kept = {f.parent.name.rsplit("-", 1)[0] for f in tmp_path.rglob("*.parquet")}
+    assert kept and not kept & {"sketch", "left", "sets", "pairs", "linked", "opened"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 3, Fraction(9, 10))
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(5, long, "x"), (3, long + " end", "y"), (8, "start " + long, "z"), (9, "other", "x"), (None, long, "n"), (9, "other", "x"), (1, None, "x"), (2, "", "x")]
