@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from specgrade.functions.columns import names, seeded_hash
 from specgrade.functions.vectors import as_double
-from specgrade.operators.fewshot import match_schema, matrix, score_block, tiles
+from specgrade.operators.fewshot import match_schema, matrix, tiles
 from specgrade.operators.ranking import top_per_group
 from specgrade.session import materialise
 
@@ -37,6 +37,8 @@ SAMPLE_ROWS = 10_000
 BLOCK_ROWS = 16_384
 # By default there are up to so many lists, and more only when lists would outgrow a block.
 FEW_LISTS = 64
+# Rows of a block that are scored at once.
+TILE_ROWS = 1_024
 # Pairs that leave a Python task at once: a tile of queries may open every list.
 PAIR_ROWS = 50_000
 # What sums of doubles may lose, so that a bound never closes a ring too early.
@@ -206,13 +208,66 @@ def _meet(queries: DataFrame, lists: Lists, keys: list[str], k: int, probes: int
     return queries.mapInPandas(choose, T.StructType([*queries.select(*kept).schema.fields, *extra]))
 
 
+def _order(rows: np.ndarray, items: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest scores of each row, ties to the smaller item, row by row."""
+    order = np.lexsort((items, score, rows))
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    return order[rank < k]
+
+
+def best_of_block(q: np.ndarray, x: np.ndarray, k: int, metric: str, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, dot, distance) of the best ``k`` rows of a block for each query that are no worse than its ``tau``.
+
+    Scores that agree to 12 digits are ties, which go to the earlier row. The block is scored in tiles. A tile is
+    never sorted: of its scores only those leave it that reach what the query's k-th best has been so far.
+    """
+    q2, x2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    far = lambda r, c, dot: np.sqrt(np.maximum(q2[r] + x2[c] - 2.0 * dot, 0.0))
+    # Both metrics as values of which the largest is best: the product, or twice the product without the row's square.
+    lower = lambda v: v - SLACK * (1 + np.abs(v) + (q2 if metric == "l2" else 0))
+    odd = not (np.isfinite(q2).all() and np.isfinite(x2).all())
+    bound = lower(q2 - tau * tau if metric == "l2" else tau)
+    hits, held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+    for start in range(0, len(x), TILE_ROWS):
+        side = x[start : start + TILE_ROWS]
+        dots = q @ side.T
+        value = 2.0 * dots - x2[start : start + TILE_ROWS] if metric == "l2" else dots
+        if odd:  # scores that are no numbers come last
+            value = np.where(np.isnan(value), -np.inf, value)
+        if not start and len(side) > k:
+            bound = np.maximum(bound, lower(np.partition(value, len(side) - k, axis=1)[:, len(side) - k]))
+        r, c = np.nonzero(value >= bound[:, None])
+        hits.append((r, c + start, dots[r, c]))
+        held += len(r)
+        if held > 4 * k * len(q) or start + TILE_ROWS >= len(x):
+            r, c, dot = (np.concatenate(part) for part in zip(*hits))
+            kept = _order(r, c, np.round(far(r, c, dot) if metric == "l2" else -dot, 12), k)
+            r, c, dot = r[kept], c[kept], dot[kept]
+            hits, held = [(r, c, dot)], len(r)
+            full = np.bincount(r, minlength=len(q)) == k
+            worst, own = np.full(len(q), np.inf), 2.0 * dot - x2[c] if metric == "l2" else dot
+            np.minimum.at(worst, r, np.where(np.isnan(own), -np.inf, own))
+            worst = np.where(full, worst, -np.inf)
+            # Of products, a later row must beat the k-th best in the twelfth digit; doubles of this size show it.
+            beats = (metric == "dot") & (np.abs(worst) < 100)
+            bound = np.maximum(bound, np.where(beats, np.round(np.where(beats, worst, 0.0), 12) + 4e-13, lower(worst)))
+    r, c, dot = hits[0] if held else (np.concatenate(part) for part in zip(*hits))
+    return r, c, dot, far(r, c, dot)
+
+
 def _scan(pairs: DataFrame, asked: DataFrame, lists: Lists, keys: list[str], k: int, metric: str) -> DataFrame:
-    """The best ``k`` rows of each (query, block) pair; ``pairs`` has _id and the place, ``asked`` the keys, _id and _q."""
-    items = list(lists.keys)
-    schema = match_schema(asked, keys, lists.rows, items)
+    """The best ``k`` rows of each (query, block) pair; ``pairs`` has _id and the place, ``asked`` the keys, _id and _q.
+
+    With ``_tau`` in ``pairs``, rows worse than that score are left out.
+    """
+    items, tau = list(lists.keys), [c for c in pairs.columns if c == "_tau"]
+    matches = match_schema(asked, keys, lists.rows, items)
+    schema = T.StructType([f for f in matches if f.name not in ("pos", "next_l2", "exp_sum")])
     load = pairs.groupBy(*PLACE).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_chunks"))
     chunk = F.pmod(F.xxhash64("_id"), F.col("_chunks")).cast("int").alias("_chunk")
-    asked = pairs.select("_id", *PLACE).join(load, PLACE).select("_id", *PLACE, chunk).join(asked, "_id").drop("_id")
+    asked = pairs.select("_id", *PLACE, *tau).join(load, PLACE).select("_id", *PLACE, *tau, chunk).join(asked, "_id").drop("_id")
     salts = lists.blocks.where("_salt = 0").select("_list", "_block", "_salts")
     salted = lists.rows.join(salts, ["_list", "_block"]).withColumn("_salt", F.pmod(F.xxhash64(*items), F.col("_salts")).cast("int"))
     held = salted.join(load, PLACE).select(*PLACE, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), *items, "_x")
@@ -222,7 +277,15 @@ def _scan(pairs: DataFrame, asked: DataFrame, lists: Lists, keys: list[str], k:
             return pd.DataFrame(columns=schema.fieldNames())
         right = right.sort_values(items, kind="stable").reset_index(drop=True)
         x = matrix(right["_x"])
-        return pd.concat([score_block(tile, keys, right, items, x, k, metric) for tile in tiles(left, len(right))])
+        length, out = np.sqrt(np.einsum("ij,ij->i", x, x)), []
+        for tile in tiles(left, min(len(right), TILE_ROWS)):
+            q = matrix(tile["_q"])
+            worst = tile["_tau"].to_numpy(np.float64) if tau else np.full(len(q), np.inf if metric == "l2" else -np.inf)
+            rows, at, dot, apart = best_of_block(q, x, k, metric, worst)
+            found = {c: tile[c].to_numpy()[rows] for c in keys} | {f"item_{c}": right[c].to_numpy()[at] for c in items}
+            norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", q, q))[rows] * length[at], 1e-8)
+            out.append(pd.DataFrame(found | {"l2_distance": apart, "dot": dot, "cosine": dot / norms}))
+        return pd.concat(out)
 
     by = [*PLACE, "_chunk"]
     return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(score, schema)
@@ -231,7 +294,7 @@ def _scan(pairs: DataFrame, asked: DataFrame, lists: Lists, keys: list[str], k:
 def _best(found: DataFrame, keys: list[str], items: list[str], k: int, metric: str) -> DataFrame:
     lead = F.round("l2_distance", 12).asc() if metric == "l2" else F.round("dot", 12).desc()
     order = [lead, *[F.col(f"item_{c}") for c in items]]
-    return top_per_group(found.drop("pos", "next_l2", "exp_sum"), keys, order, k, "pos")
+    return top_per_group(found, keys, order, k, "pos")
 
 
 def nearest(
@@ -247,7 +310,7 @@ def nearest(
     wanted = queries.select(*keys, as_double(F.col(vector)).alias("_q")).where("_q is not null")
     asked = materialise(wanted.withColumn("_id", F.monotonically_increasing_id()), "asked")
     if not len(lists.centres):
-        nothing = asked.sparkSession.createDataFrame([], match_schema(asked, keys, lists.rows, items))
+        nothing = asked.sparkSession.createDataFrame([], match_schema(asked, keys, lists.rows, items)).drop("pos", "next_l2", "exp_sum")
         return Found(_best(nothing, keys, items, k, metric), asked.limit(0), asked, lists.blocks)
     chosen = _meet(asked, lists, keys, k, probes, metric)
     blocks = lists.blocks
@@ -266,6 +329,6 @@ def nearest(
     reach = _reachable(F.col("_value"), F.col("_length"), F.col("_near"), F.col("_far"), F.col("_norm"), F.col("_tau"), metric)
     able = _meet(bounded, lists, keys, k, None, metric).join(blocks, "_list").where(reach)
     rest = able.join(first.select("_id", *PLACE), ["_id", *PLACE], "left_anti")
-    pairs = materialise(rest.select(*keys, "_id", *PLACE), "pairs")
+    pairs = materialise(rest.select(*keys, "_id", *PLACE, "_tau"), "pairs")
     found = seeds.unionByName(_scan(pairs, asked, lists, keys, k, metric))
-    return Found(_best(found, keys, items, k, metric), first.unionByName(pairs), asked, blocks)
+    return Found(_best(found, keys, items, k, metric), first.unionByName(pairs.drop("_tau")), asked, blocks)

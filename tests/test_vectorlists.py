@@ -111,3 +111,39 @@ def test_a_task_holds_few_scores_at_once():
     assert n == 60_000
     # All scores are 48 MB, and several arrays of a tile live at once.
     assert peak < 25e6
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_a_block_gives_its_best_rows_and_no_worse_than_the_bound(metric, monkeypatch):
+    monkeypatch.setattr(vl, "TILE_ROWS", 16)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    x[40:90] = x[3]  # many ties
+    x[100] = np.nan
+    q, k = np.vstack([x[:30], np.zeros((1, 3))]), 6
+    dots = q @ x.T
+    score = -dots if metric == "dot" else np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * dots, 0))
+    order = [sorted(range(150), key=lambda j: (np.isnan(s[j]), np.round(s[j], 12), j))[:k] for s in score]
+    ends = np.array([s[o[-1]] for s, o in zip(score, order)])
+    for tau in (np.full(len(q), np.inf), ends, ends - 0.5):
+        rows, at, dot, _ = vl.best_of_block(q, x, k, metric, -tau if metric == "dot" else tau)
+        want = [(i, j) for i, o in enumerate(order) for j in o if score[i, j] <= tau[i] + 1e-9]
+        assert [(i, j) for i, j in zip(rows.tolist(), at.tolist()) if score[i, j] <= tau[i] + 1e-9] == want
+        assert len(rows) <= k * len(q) and np.allclose(dot, dots[rows, at])
+
+
+def test_later_blocks_send_only_what_can_still_win(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8))
+    lists = vl.build(frame(spark, x, "id"), "id", lists=12, block_rows=25)
+    sent, plain = [], vl._scan
+
+    def scan(pairs, *args):
+        sent.append((pairs, plain(pairs, *args)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(vl, "_scan", scan)
+    found = vl.nearest(frame(spark, x, "qid"), lists, 5, "qid", metric="dot")
+    pairs, rows = sent[-1]
+    assert 1000 < rows.count() < 0.4 * 5 * pairs.count()
+    assert hits(found.rows) == brute(x, x, 5, "dot")
