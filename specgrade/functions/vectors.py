@@ -24,7 +24,8 @@ def l2_norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the norm is floored, so a zero vector stays zero."""
     norm = F.greatest(l2_norm(v), F.lit(NORM_FLOOR))
-    return F.transform(as_double(v), lambda x: x / norm)
+    # Beside the vector, not inside the lambda, which would take the norm again for every component.
+    return F.zip_with(as_double(v), F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def subtract(a: Column, b: Column) -> Column:

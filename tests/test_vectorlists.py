@@ -1,5 +1,7 @@
 """Lists with metric bounds against brute force; recall of the approximate search."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -147,3 +149,15 @@ def test_later_blocks_send_only_what_can_still_win(spark, monkeypatch):
     pairs, rows = sent[-1]
     assert 1000 < rows.count() < 0.4 * 5 * pairs.count()
     assert hits(found.rows) == brute(x, x, 5, "dot")
+
+
+def test_unit_vectors_take_their_norm_once(spark):
+    from pyspark.sql import functions as F
+    from specgrade.functions.vectors import l2_normalize
+
+    rows = [([3.0, 4.0],), ([],), (None,), ([0.0, 0.0],), ([2.0, None],)]
+    unit = spark.createDataFrame(rows, "e array<float>").select(l2_normalize(F.col("e")).alias("u"))
+    assert [r.u for r in unit.collect()] == [[0.6, 0.8], [], None, [0.0, 0.0], [2.0 / 1e-12, None]]
+    # The body of a lambda runs for every component; the norm must stand outside.
+    plan = unit._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"lambda \w+#\d+ / lambda \w+#\d+", plan), plan
